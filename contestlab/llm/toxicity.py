@@ -44,8 +44,10 @@ def _document_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class ToxicityModel:
-    def __init__(self, weights: dict[str, float], bias: float):
-        self.weights, self.bias = weights, bias
+    """shift: added to the score's log-odds, so that the best cut comes to stand at THRESHOLD."""
+
+    def __init__(self, weights: dict[str, float], bias: float, shift: float = 0.0):
+        self.weights, self.bias, self.shift = weights, bias, shift
         self.starts = {f.rstrip("*")[:PREFIXES[0]] for f in weights}
 
     def sentence_features(self, text: str) -> tuple[int, list[tuple[str, list[str]]]]:
@@ -65,7 +67,9 @@ class ToxicityModel:
         n, found = self.sentence_features(text or "")
         z = np.array([self.bias + sum(self.weights[f] for f in set(own)) for _, own in found])
         left = (n - len(found)) * np.log1p(np.exp(self.bias)) + np.logaddexp(0, z).sum()
-        return float(-np.expm1(-left)), [(s, float(p)) for (s, _), p in zip(found, 1 / (1 + np.exp(-z)))]
+        p = -np.expm1(-left)
+        score = p / (p + (1 - p) * np.exp(-self.shift)) if p > 0 else 0.0
+        return float(score), [(s, float(x)) for (s, _), x in zip(found, 1 / (1 + np.exp(-z)))]
 
 
 def _bags(vocabulary: list[str]):
@@ -82,7 +86,7 @@ def _bags(vocabulary: list[str]):
     return run
 
 
-def fit_noisy_or(y, weight, plain, bags, n_features: int, steps: int = 400, ridge: float = 2e-4) -> tuple[np.ndarray, float]:
+def fit_noisy_or(y, weight, plain, bags, n_features: int, steps: int = 600, ridge: float = 2e-5) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the documents' log-loss through the noisy-or (Adam on the whole sample)."""
     y, weight, plain = (np.asarray(x, float) for x in (y, weight, plain))
     doc = np.array([d for d, own in enumerate(bags) for _ in own], np.int64)
@@ -104,6 +108,20 @@ def fit_noisy_or(y, weight, plain, bags, n_features: int, steps: int = 400, ridg
     return theta[:-1], float(theta[-1])
 
 
+def noisy_or(plain, bags, weights: np.ndarray, bias: float) -> np.ndarray:
+    return np.array([-np.expm1(-(n * np.logaddexp(0, bias) + sum(np.logaddexp(0, bias + weights[bag].sum()) for bag in own))) for n, own in zip(plain, bags)])
+
+
+def best_cut(y, weight, score) -> float:
+    """The cut of the score that gives the best F1, midway between the two scores around it."""
+    order = np.argsort(-score, kind="stable")
+    y, weight, score = np.asarray(y)[order], np.asarray(weight)[order], score[order]
+    hits, taken, all_hits = np.cumsum(weight * y), np.cumsum(weight), (weight * y).sum()
+    f1 = np.where(np.append(score[1:], -1) < score, 2 * hits / (taken + all_hits), 0)
+    k = int(f1.argmax())
+    return float(np.clip((score[k] + (score[k + 1] if k + 1 < len(score) else 0)) / 2, 1e-4, 0.9999))
+
+
 def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", per_class: int = SAMPLE_PER_CLASS) -> ToxicityModel:
     """A model from labelled rows (label 0 or 1); rows without text or label are left out. Without both classes every score is near 0.
 
@@ -125,8 +143,16 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id: s
     vocabulary = sorted(r.feature for r in chosen.select("feature").collect())
     bags = sample.mapInPandas(_bags(vocabulary), "y int, weight double, plain int, bags array<array<int>>").collect()
     bags.sort(key=lambda r: (r.y, r.weight, r.plain, r.bags))  # sums don't depend on the order in which tasks end
-    weights, bias = fit_noisy_or(*([r[k] for r in bags] for k in range(4)), len(vocabulary))
-    return ToxicityModel(dict(zip(vocabulary, weights.tolist())), bias)
+    y, weight, plain, own = ([r[k] for r in bags] for k in range(4))
+    weights, bias = fit_noisy_or(y, weight, plain, own, len(vocabulary))
+    # where to cut is told by documents that the weights were not fitted to
+    unseen = np.zeros(len(bags))
+    for part in range(3):
+        here, rest = [k for k in range(len(bags)) if k % 3 == part], [k for k in range(len(bags)) if k % 3 != part]
+        w, b = fit_noisy_or(*([x[k] for k in rest] for x in (y, weight, plain, own)), len(vocabulary), steps=300)
+        unseen[here] = noisy_or([plain[k] for k in here], [own[k] for k in here], w, b)
+    cut = best_cut(y, weight, unseen)
+    return ToxicityModel(dict(zip(vocabulary, weights.tolist())), bias, float(np.log(THRESHOLD / (1 - THRESHOLD)) - np.log(cut / (1 - cut))))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
