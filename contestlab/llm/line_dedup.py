@@ -1,10 +1,11 @@
 """Fuzzy line deduplication (operator 10), in DataFrame functions only.
 
-Lines are normalised to their lower-cased words. Equal lines fold into one by the hash of their words. The others are compared
-by SimHash: 64 sums over the words' hashes, kept as two 32-bit counters in each of 32 long columns, so that one hash aggregate
-makes all fingerprints. Lines whose fingerprints differ in at most 3 bits share two of five blocks of bits: ten keys a line, on
-which candidates are joined. Candidates of edit similarity 0.8 or more are linked, and one occurrence of each connected group
-stays: the first by document id and line number.
+Lines are normalised to their lower-cased words. They are split once, into a written table of 32-bit word hashes that all later
+steps read. Equal lines fold into one by the hash of their words. The others are compared by SimHash. Eight 8-bit
+counters fit in a long, so eight sums over the word hashes count all 64 bits for up to 127 words; longer lines are counted in
+chunks, whose counters are then summed at full width. Lines whose fingerprints differ in at most 3 bits share two of five
+blocks of bits: ten keys a line, on which candidates are joined. Candidates of edit similarity 0.8 or more, over words, are
+linked, and one occurrence of each connected group stays: the first by document id and line number.
 """
 
 from __future__ import annotations
@@ -19,35 +20,36 @@ from .common import connected_components, written
 #: (first bit, bits) of the five blocks.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 MOST_BITS, SIMILARITY = 3, 0.8
-#: Lines up to so many characters are compared by characters, longer ones by words.
-LONG = 1000
-#: Keys of 8 bytes that may be broadcast to pick the candidates' texts; more of them are joined by a shuffle.
+#: Keys of 8 bytes that may be broadcast to pick the candidates' words; more of them are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
-#: Blanks and ASCII punctuation part the words of a line.
-PARTS = r"[\s\p{Punct}]+"
-LANES = 0x0000000100000001
-
-
-def line_words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), PARTS), lambda w: w != "")
+#: Blanks, control characters and ASCII punctuation part the words of a line.
+PARTS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The lowest bit of each of a long's eight bytes; words that one such counter can count.
+LANES, CHUNK = 0x0101010101010101, 127
 
 
 def lines_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, version, line_no, words): one row for each line that has words; version tells apart texts under one id."""
+    """(doc_id, version, line_no, key, words, row): a row for each line that has words, with their hashes; version tells apart texts under one id."""
     body = F.col(f"`{text}`")
+    words = F.filter(F.split(F.lower(F.col("line")), PARTS), lambda w: w != "")
     return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(body).alias("version"), F.posexplode(F.split(body, "\n")).alias("line_no", "line")).select(
-        "doc_id", "version", "line_no", line_words(F.col("line")).alias("words")).where(F.size("words") > 0)
+        "doc_id", "version", "line_no", words.alias("found")).where(F.size("found") > 0).select(
+        "doc_id", "version", "line_no", F.xxhash64("found").alias("key"), F.transform("found", lambda w: F.hash(w)).alias("words"), F.monotonically_increasing_id().alias("row"))
 
 
 def _fingerprints(lines: DataFrame) -> DataFrame:
-    """(key, fp): all words of all lines with the same key are summed; copies scale every counter alike."""
-    counted = lines.select(F.xxhash64("words").alias("key"), F.explode("words").alias("word")).select("key", F.xxhash64("word").alias("h")).groupBy("key").agg(
-        F.count("*").alias("n"), *[F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(LANES))).alias(f"s{k}") for k in range(32)])
+    """(key, fp) of written lines; one copy of each line is counted."""
+    chunked = lines.select("key", "row", F.posexplode("words").alias("at", "word")).select("key", "row", (F.col("at") / CHUNK).cast("int").alias("chunk"), F.xxhash64("word").alias("h"))
+    packed = chunked.groupBy("key", "row", "chunk").agg(
+        F.count("*").alias("n"), *[F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(LANES))).alias(f"s{k}") for k in range(8)]).dropDuplicates(["key", "chunk"])
+    # two counters of 32 bits a long: bytes j and j + 4 of each sum
+    wide = packed.groupBy("key").agg(F.sum("n").alias("n"), *[
+        F.sum(F.shiftrightunsigned(f"s{k}", 8 * j).bitwiseAND(F.lit(0x000000FF000000FF))).alias(f"c{8 * j + k}") for k in range(8) for j in range(4)])
     bits: list[Column] = []
     for k in range(32):
-        low, high = F.col(f"s{k}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f"s{k}", 32)
+        low, high = F.col(f"c{k}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f"c{k}", 32)
         bits += [F.when(2 * low > F.col("n"), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"), F.when(2 * high > F.col("n"), F.shiftleft(F.lit(1).cast("long"), 32 + k)).otherwise(F.lit(0).cast("long"))]
-    return counted.select("key", reduce(lambda a, b: a.bitwiseOR(b), bits).alias("fp"))
+    return wide.select("key", reduce(lambda a, b: a.bitwiseOR(b), bits).alias("fp"))
 
 
 def _candidates(prints: DataFrame) -> DataFrame:
@@ -66,19 +68,15 @@ def _candidates(prints: DataFrame) -> DataFrame:
     return a.join(b, (F.col("a.at") == F.col("b.at")) & near & (F.shiftright("a.at", 32) == first)).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
 
 
-def edit_similarity(a: Column, b: Column, least: float = SIMILARITY) -> Column:
-    """Whether 1 - edits / longer length is at least `least`, for arrays of words: by characters, or by words if a line is long.
+def letters(words: Column) -> Column:
+    """One character for each word hash, below the surrogates, so that edits between strings are edits between words."""
+    return F.decode(F.unhex(F.array_join(F.transform(words, lambda w: F.lpad(F.hex(F.pmod(w, F.lit(55000)) + 256), 4, "0")), "")), "UTF-16BE")
 
-    For long lines each word becomes one character (its hash in the range below the surrogates).
-    """
-    def letters(words: Column) -> Column:
-        return F.decode(F.unhex(F.array_join(F.transform(words, lambda w: F.lpad(F.hex(F.pmod(F.hash(w), F.lit(55000)) + 256), 4, "0")), "")), "UTF-16BE")
 
-    x, y = F.array_join(a, " "), F.array_join(b, " ")
-    long = F.greatest(F.length(x), F.length(y)) > LONG
-    x, y = F.when(long, letters(a)).otherwise(x), F.when(long, letters(b)).otherwise(y)
-    longer = F.greatest(F.length(x), F.length(y))
-    return F.call_function("levenshtein", x, y) <= F.floor(longer * (1 - least) + 1e-9)
+def similar(a: Column, b: Column, least: float = SIMILARITY) -> Column:
+    """Whether 1 - edits / longer length is at least `least`, for strings of `letters`."""
+    most = F.floor(F.greatest(F.length(a), F.length(b)) * (1 - least) + 1e-9).cast("int")
+    return (F.abs(F.length(a) - F.length(b)) <= most) & (F.call_function("levenshtein", a, b, most) >= 0)
 
 
 def line_groups(lines: DataFrame) -> DataFrame:
@@ -86,18 +84,17 @@ def line_groups(lines: DataFrame) -> DataFrame:
     pairs = written(_candidates(_fingerprints(lines)))
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
     few = wanted.count() <= BROADCAST_KEYS
-    texts = lines.select(F.xxhash64("words").alias("key"), "words").join(F.broadcast(wanted) if few else wanted, "key", "left_semi").groupBy("key").agg(F.first("words").alias("words"))
+    texts = lines.select("key", "words").join(F.broadcast(wanted) if few else wanted, "key", "left_semi").dropDuplicates(["key"]).select("key", letters(F.col("words")).alias("w"))
     texts = written(texts)
-    links = pairs.join(texts.select(F.col("key").alias("a"), F.col("words").alias("aw")), "a").join(texts.select(F.col("key").alias("b"), F.col("words").alias("bw")), "b").where(
-        edit_similarity(F.col("aw"), F.col("bw"))).select("a", "b")
+    links = pairs.join(texts.select(F.col("key").alias("a"), F.col("w").alias("aw")), "a").join(texts.select(F.col("key").alias("b"), F.col("w").alias("bw")), "b").where(
+        similar(F.col("aw"), F.col("bw"))).select("a", "b")
     return connected_components(links).select(F.col("node").alias("key"), "component")
 
 
 def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, version, gone): the numbers of the lines of each text that repeat an earlier line, equal or nearly so."""
-    lines = lines_of(docs, text, doc_id)
-    groups = line_groups(lines)
-    placed = lines.select("doc_id", "version", "line_no", F.xxhash64("words").alias("key")).join(groups, "key", "left").select(
+    lines = written(lines_of(docs, text, doc_id))
+    placed = lines.select("doc_id", "version", "line_no", "key").join(line_groups(lines), "key", "left").select(
         "doc_id", "version", "line_no", F.coalesce("component", "key").alias("part"))
     placed = written(placed)
     first = placed.groupBy("part").agg(F.min(F.struct("doc_id", "version", "line_no")).alias("first"))
