@@ -4,8 +4,10 @@ Lines are normalised to their lower-cased words. They are split once, into a wri
 steps read. Equal lines fold into one by the hash of their words. The others are compared by SimHash. Eight 8-bit
 counters fit in a long, so eight sums over the word hashes count all 64 bits for up to 127 words; longer lines are counted in
 chunks, whose counters are then summed at full width. Lines whose fingerprints differ in at most 3 bits share two of five
-blocks of bits: ten keys a line, on which candidates are joined. Candidates of edit similarity 0.8 or more, over words, are
-linked, and one occurrence of each connected group stays: the first by document id and line number.
+blocks of bits: ten keys, on which the distinct fingerprints are joined first. Of the lines whose fingerprints have company,
+those are linked that are as near and of edit similarity 0.8 or more, over words. So that a crowd of near copies does not make all
+its pairs, each line is first linked to the first line under each of its keys; then all pairs are tried whose lines
+are not yet connected. One occurrence of each connected group stays: the first by document id and line number.
 """
 
 from __future__ import annotations
@@ -29,11 +31,11 @@ LANES, CHUNK = 0x0101010101010101, 127
 
 
 def lines_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, version, line_no, key, words, row): a row for each line that has words, with their hashes; version tells apart texts under one id."""
+    """(doc_id, version, line_no, key, words, row): a row for each line, with its words' hashes (none: a blank line); version tells apart texts under one id."""
     body = F.col(f"`{text}`")
-    words = F.filter(F.split(F.lower(F.col("line")), PARTS), lambda w: w != "")
+    words = F.array_remove(F.split(F.lower(F.col("line")), PARTS), "")
     return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(body).alias("version"), F.posexplode(F.split(body, "\n")).alias("line_no", "line")).select(
-        "doc_id", "version", "line_no", words.alias("found")).where(F.size("found") > 0).select(
+        "doc_id", "version", "line_no", words.alias("found")).select(
         "doc_id", "version", "line_no", F.xxhash64("found").alias("key"), F.transform("found", lambda w: F.hash(w)).alias("words"), F.monotonically_increasing_id().alias("row"))
 
 
@@ -52,20 +54,29 @@ def _fingerprints(lines: DataFrame) -> DataFrame:
     return wide.select("key", reduce(lambda a, b: a.bitwiseOR(b), bits).alias("fp"))
 
 
-def _candidates(prints: DataFrame) -> DataFrame:
-    """(a, b), a < b: keys of lines that differ in at most 3 bits of fingerprint, each pair once."""
-    pairs = [(i, j) for i in range(5) for j in range(i + 1, 5)]
+PAIRS = [(i, j) for i in range(5) for j in range(i + 1, 5)]
 
-    def block(x: Column, k: int) -> Column:
-        return F.shiftrightunsigned(x, BLOCKS[k][0]).bitwiseAND(F.lit((1 << BLOCKS[k][1]) - 1))
 
-    keys = [F.lit(c << 32).bitwiseOR(F.shiftleft(block(F.col("fp"), i), 16)).bitwiseOR(block(F.col("fp"), j)) for c, (i, j) in enumerate(pairs)]
-    keyed = prints.select("key", "fp", F.explode(F.array(*keys)).alias("at"))
+def _block(x: Column, k: int) -> Column:
+    return F.shiftrightunsigned(x, BLOCKS[k][0]).bitwiseAND(F.lit((1 << BLOCKS[k][1]) - 1))
+
+
+def _keyed(prints: DataFrame) -> DataFrame:
+    """The rows of `prints`, once for each pair of blocks, with that key as `at`."""
+    keys = [F.lit(c << 32).bitwiseOR(F.shiftleft(_block(F.col("fp"), i), 16)).bitwiseOR(_block(F.col("fp"), j)) for c, (i, j) in enumerate(PAIRS)]
+    return prints.select("*", F.explode(F.array(*keys)).alias("at"))
+
+
+def _near_pairs(prints: DataFrame, key: str, apart: str | None = None) -> DataFrame:
+    """(a, b), a < b: values of `key` whose fingerprints differ in at most 3 bits, each pair once; only those that differ in `apart`."""
+    keyed = _keyed(prints)
     a, b = keyed.alias("a"), keyed.alias("b")
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    first = F.coalesce(*[F.when((block(x, i) == 0) & (block(x, j) == 0), F.lit(c)) for c, (i, j) in enumerate(pairs)])
-    near = (F.col("a.key") < F.col("b.key")) & (F.bit_count(x) <= MOST_BITS)
-    return a.join(b, (F.col("a.at") == F.col("b.at")) & near & (F.shiftright("a.at", 32) == first)).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
+    first = F.coalesce(*[F.when((_block(x, i) == 0) & (_block(x, j) == 0), F.lit(c)) for c, (i, j) in enumerate(PAIRS)])
+    near = (F.col(f"a.{key}") < F.col(f"b.{key}")) & (F.bit_count(x) <= MOST_BITS)
+    if apart:
+        near = near & (F.col(f"a.{apart}") != F.col(f"b.{apart}"))
+    return a.join(b, (F.col("a.at") == F.col("b.at")) & near & (F.shiftright("a.at", 32) == first)).select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"))
 
 
 def letters(words: Column) -> Column:
@@ -79,21 +90,36 @@ def similar(a: Column, b: Column, least: float = SIMILARITY) -> Column:
     return (F.abs(F.length(a) - F.length(b)) <= most) & (F.call_function("levenshtein", a, b, most) >= 0)
 
 
+def _verified(pairs: DataFrame, crowd: DataFrame) -> DataFrame:
+    """The pairs of line keys whose lines are similar."""
+    one, two = (crowd.select(F.col("key").alias(k), F.col("letters").alias(f"{k}_letters")) for k in "ab")
+    return pairs.join(one, "a").join(two, "b").where(similar(F.col("a_letters"), F.col("b_letters"))).select("a", "b")
+
+
 def line_groups(lines: DataFrame) -> DataFrame:
     """(key, component): keys of lines that are linked to others, with the smallest key of their group."""
-    pairs = written(_candidates(_fingerprints(lines)))
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    prints = written(_fingerprints(lines))
+    parts = connected_components(_near_pairs(prints.select("fp").distinct(), "fp"))
+    placed = prints.join(parts, prints["fp"] == parts["node"], "left").select("key", "fp", F.coalesce("component", "fp").alias("part"))
+    company = placed.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part")
+    wanted = written(placed.join(company, "part", "left_semi").select("key", "fp"))
     few = wanted.count() <= BROADCAST_KEYS
-    texts = lines.select("key", "words").join(F.broadcast(wanted) if few else wanted, "key", "left_semi").dropDuplicates(["key"]).select("key", letters(F.col("words")).alias("w"))
-    texts = written(texts)
-    links = pairs.join(texts.select(F.col("key").alias("a"), F.col("w").alias("aw")), "a").join(texts.select(F.col("key").alias("b"), F.col("w").alias("bw")), "b").where(
-        similar(F.col("aw"), F.col("bw"))).select("a", "b")
-    return connected_components(links).select(F.col("node").alias("key"), "component")
+    words = lines.select("key", "words").join(F.broadcast(wanted.select("key")) if few else wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    crowd = written(wanted.join(words.select("key", letters(F.col("words")).alias("letters")), "key"))
+    keyed = _keyed(crowd.select("key", "fp"))
+    leads = keyed.groupBy("at").agg(F.min(F.struct("key", "fp")).alias("lead"))
+    led = keyed.join(leads, "at").where((F.col("key") != F.col("lead.key")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("lead.fp"))) <= MOST_BITS)).select(
+        F.col("lead.key").alias("a"), F.col("key").alias("b")).distinct()
+    links = written(_verified(led, crowd))
+    joined = connected_components(links).select(F.col("node").alias("key"), "component")
+    halves = written(crowd.select("key", "fp").join(joined, "key", "left").select("key", "fp", F.coalesce("component", "key").alias("component")))
+    across = _verified(_near_pairs(halves, "key", "component"), crowd)
+    return connected_components(links.unionByName(across)).select(F.col("node").alias("key"), "component")
 
 
 def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, version, gone): the numbers of the lines of each text that repeat an earlier line, equal or nearly so."""
-    lines = written(lines_of(docs, text, doc_id))
+    lines = written(lines_of(docs, text, doc_id)).where(F.size("words") > 0)
     placed = lines.select("doc_id", "version", "line_no", "key").join(line_groups(lines), "key", "left").select(
         "doc_id", "version", "line_no", F.coalesce("component", "key").alias("part"))
     placed = written(placed)
