@@ -30,7 +30,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WINDOW = 13
 #: Seeds in a block of the index, on average; a block is handled in one task's memory (about 100 bytes a seed).
-BLOCK_SEEDS = 1_000_000
+BLOCK_SEEDS = 500_000
+#: Words that a task settles among themselves before it sends seeds (one longer document is settled alone).
+SETTLE_WORDS = 400_000
 RANGES = "doc_id long, start int, seeds int, ref_doc long, ref_start int"
 
 
@@ -96,38 +98,56 @@ def _settle(hashes, docs, starts):
     return h, d, s, d[first][group], s[first][group]
 
 
+def _send(ids: list[int], counts: list[int], words: list[bytes], window: int, blocks: int) -> pa.RecordBatch | None:
+    """Settle what repeats among these documents; the rows to send: seeds by block, and the settled ranges."""
+    ids, counts = np.array(ids, np.int64), np.array(counts, np.int64)
+    hashes = _seed_hashes(words, window)
+    if not len(hashes):
+        return None
+    ends = np.cumsum(counts)
+    doc = np.repeat(np.arange(len(ids)), counts)[: len(hashes)]
+    at = np.arange(len(hashes))
+    whole = at + window <= ends[doc]
+    h, d, s, least_doc, least_start = _settle(hashes[whole], ids[doc[whole]], (at - (ends - counts)[doc])[whole])
+    later = d > least_doc
+    keep = np.lexsort((s[later], d[later]))
+    here = _ranges(*(x[later][keep] for x in (d, s, least_doc, least_start)))
+    block = (h >> np.uint64(40)) % np.uint64(blocks)
+    rest = ~later
+    order = np.lexsort((s[rest], d[rest], block[rest]))
+    block, h, d, s = (x[rest][order] for x in (block, h, d, s))
+    cuts = np.append(np.flatnonzero(np.diff(block)) + 1, len(block)) if len(block) else []
+    rows, a = [], 0
+    for b in cuts:
+        rows.append((int(block[a]), False, _pack(h[a:b], d[a:b], s[a:b])))
+        a = b
+    if here.num_rows:  # rides along, spread over the blocks
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, here.schema) as out:
+            out.write_batch(here)
+        rows.append((int(ids[0] % blocks), True, sink.getvalue().to_pybytes()))
+    if not rows:
+        return None
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.binary()))], names=["block", "settled", "records"])
+
+
 def _seeds(window: int, blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, counts, words = [], [], []
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            words, counts = [], np.zeros(len(ids), np.int64)
-            for k, text in enumerate(batch.column(1)):
+            for doc_id, text in zip(batch.column(0), batch.column(1)):
                 own = (text.as_py() or b"").split()
-                counts[k] = len(own)
+                if words and len(words) + len(own) > SETTLE_WORDS:
+                    made = _send(ids, counts, words, window, blocks)
+                    ids, counts, words = [], [], []
+                    if made:
+                        yield made
+                ids.append(doc_id.as_py())
+                counts.append(len(own))
                 words += own
-            hashes = _seed_hashes(words, window)
-            ends = np.cumsum(counts)
-            doc = np.repeat(np.arange(len(ids)), counts)[: len(hashes)]
-            at = np.arange(len(hashes))
-            whole = at + window <= ends[doc] if len(hashes) else np.zeros(0, bool)
-            starts = (at - (ends - counts)[doc])[whole] if len(hashes) else at
-            h, d, s, least_doc, least_start = _settle(hashes[whole], ids[doc[whole]].astype(np.int64) if len(hashes) else np.zeros(0, np.int64), starts)
-            later = d > least_doc
-            keep = np.lexsort((s[later], d[later]))
-            here = _ranges(*(x[later][keep] for x in (d, s, least_doc, least_start)))
-            block = (h >> np.uint64(40)) % np.uint64(blocks)
-            rest = ~later
-            order = np.lexsort((s[rest], d[rest], block[rest]))
-            block, h, d, s = (x[rest][order] for x in (block, h, d, s))
-            cuts = np.flatnonzero(np.diff(block, prepend=-1, append=-1).astype(bool)) if len(block) else np.zeros(0, np.int64)
-            rows = [(int(block[a]), False, _pack(h[a:b], d[a:b], s[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
-            if here.num_rows:  # settled already: rides along, spread over the blocks
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, here.schema) as out:
-                    out.write_batch(here)
-                rows.append((int(least_doc.sum() % blocks), True, sink.getvalue().to_pybytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.binary()))], names=["block", "settled", "records"])
+        made = _send(ids, counts, words, window, blocks)
+        if made:
+            yield made
 
     return run
 
@@ -160,30 +180,37 @@ def seed_matches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
     return seeds.groupBy("block").applyInArrow(_look_up, RANGES)
 
 
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for the shuffle."""
+    for batch in batches:
+        texts = [x.as_py() or b"" for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array([pa.compress(x, "zstd", asbytes=True) for x in texts], pa.binary())],
+                                         names=["doc_id", "size", "text"])
+
+
 def _parse(window: int, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [[], [], [], [], []]
-            lists = batch.column(2)
+            lists = batch.column(3)
             flat, ends = lists.flatten(), np.cumsum([len(x) if x.is_valid else 0 for x in lists]) if len(lists) else []
             begin, seeds, ref, ref_at = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4)) if len(flat) else ([], [], [], [])
             at = 0
-            for k, data in enumerate(batch.column(1)):
-                words = (data.as_py() or b"").split()
+            for k, (size, data) in enumerate(zip(batch.column(1), batch.column(2))):
+                words = pa.decompress(data.as_py(), size.as_py(), "zstd", asbytes=True).split()
                 a, at = at, int(ends[k])
                 factors = []
                 if at > a:
                     order = np.argsort(begin[a:at], kind="stable") + a
-                    cover = np.zeros(len(words) + 1, np.int32)
-                    np.add.at(cover, begin[order], 1)
-                    np.add.at(cover, np.minimum(begin[order] + seeds[order] + window - 1, len(words)), -1)
-                    gone = np.cumsum(cover)[: len(words)] > 0
-                    for i in order:  # greedy: lengthen the last factor while the reference goes on
-                        b, n, r, p = int(begin[i]), int(seeds[i]), int(ref[i]), int(ref_at[i])
-                        if factors and factors[-1]["ref_doc"] == r and b == factors[-1]["start"] + (e := factors[-1]["n_words"] - window + 1) and p == factors[-1]["ref_start"] + e:
-                            factors[-1]["n_words"] += n
+                    for b, n, r, p in zip(*(x[order].tolist() for x in (begin, seeds, ref, ref_at))):  # greedy: lengthen the last factor while the reference goes on
+                        last = factors[-1] if factors else None
+                        if last and last["ref_doc"] == r and b == last["start"] + (e := last["n_words"] - window + 1) and p == last["ref_start"] + e:
+                            last["n_words"] += n
                         else:
                             factors.append({"start": b, "n_words": n + window - 1, "ref_doc": r, "ref_start": p})
+                    gone = np.zeros(len(words), bool)
+                    for f in factors:
+                        gone[f["start"]: f["start"] + f["n_words"]] = True
                     kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
                     removed = int(gone.sum())
                 else:
@@ -209,6 +236,7 @@ def drop_repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     """
     spans = seed_matches(docs, text, doc_id, window).groupBy("doc_id").agg(F.collect_list(F.struct("start", "seeds", "ref_doc", "ref_start")).alias("spans"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return only(rows.join(spans, "doc_id", "left"), "doc_id", "text", "spans").mapInArrow(
+    rows = rows.mapInArrow(_squeeze, "doc_id long, size long, text binary")
+    return only(rows.join(spans, "doc_id", "left"), "doc_id", "size", "text", "spans").mapInArrow(
         _parse(window, keep_text),
         "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, factors array<struct<start:int,n_words:int,ref_doc:bigint,ref_start:int>>")
