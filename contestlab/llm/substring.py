@@ -30,7 +30,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WINDOW = 13
 #: Seeds in a block of the index, on average; a block is handled in one task's memory (about 100 bytes a seed).
-BLOCK_SEEDS = 500_000
+BLOCK_SEEDS = 1_000_000
 #: Words that a task settles among themselves before it sends seeds (one longer document is settled alone).
 SETTLE_WORDS = 400_000
 RANGES = "doc_id long, start int, seeds int, ref_doc long, ref_start int"
@@ -52,25 +52,33 @@ def _seed_hashes(words: list[bytes], window: int) -> np.ndarray:
     return total
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers of 8 bytes by byte plane: of small ones nearly all planes are zero, which the shuffle compresses away."""
+    return np.ascontiguousarray(values.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _from_planes(data: bytes, n: int, at: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * n, at).reshape(8, n).T).view(np.int64).ravel()
+
+
 def _pack(hashes: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> bytes:
     """Records of one block in order of document and position: 7 bytes of hash, and the ids and starts by their steps."""
-    ids, counts = np.unique(docs, return_counts=True)
-    step = np.diff(starts, prepend=0).astype(">i4").view(np.uint8).reshape(-1, 4)
-    head = np.array([len(hashes), len(ids)], np.int64).tobytes()
+    first = np.append(0, np.flatnonzero(np.diff(docs)) + 1)
+    step = np.diff(starts, prepend=0)
+    step[first] = starts[first]
+    head = np.array([len(hashes), len(first)], np.int64).tobytes()
     return b"".join([head, np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :7]).tobytes(),
-                     ids.astype(np.int64).tobytes(), counts.astype(np.int32).tobytes(), np.ascontiguousarray(step.T).tobytes()])
+                     _planes(np.diff(docs[first], prepend=0)), _planes(np.diff(np.append(first, len(docs)))), _planes(step)])
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, m = np.frombuffer(data, np.int64, 2)
-    at = 16
+    n, m = (int(x) for x in np.frombuffer(data, np.int64, 2))
     hashes = np.zeros((n, 8), np.uint8)
-    hashes[:, :7] = np.frombuffer(data, np.uint8, 7 * n, at).reshape(n, 7)
-    at += 7 * n
-    ids, at = np.frombuffer(data, np.int64, m, at), at + 8 * m
-    counts, at = np.frombuffer(data, np.int32, m, at), at + 4 * m
-    step = np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n, at).reshape(4, n).T).view(">i4").ravel()
-    return hashes.view(np.uint64).ravel(), np.repeat(ids, counts), np.cumsum(step).astype(np.int64)
+    hashes[:, :7] = np.frombuffer(data, np.uint8, 7 * n, 16).reshape(n, 7)
+    at = 16 + 7 * n
+    ids, counts, step = np.cumsum(_from_planes(data, m, at)), _from_planes(data, m, at + 8 * m), _from_planes(data, n, at + 16 * m)
+    total, first = np.cumsum(step), np.cumsum(counts) - counts
+    return hashes.view(np.uint64).ravel(), np.repeat(ids, counts), total - np.repeat(total[first] - step[first], counts)
 
 
 def _ranges(docs, starts, ref_docs, ref_starts) -> pa.RecordBatch:
