@@ -26,14 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, dictionary: bool = True) -> DataFrame:
     """Write `df` once to the shared folder and read it back: cuts the lineage and survives the loss of executors.
 
-    The files go when the driver's JVM ends.
+    The files go when the driver's JVM ends. Hashes are better written without a dictionary.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)

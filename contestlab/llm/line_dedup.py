@@ -39,19 +39,28 @@ def lines_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
         "doc_id", "version", "line_no", F.xxhash64("found").alias("key"), F.transform("found", lambda w: F.hash(w)).alias("words"), F.monotonically_increasing_id().alias("row"))
 
 
+def _majority(counts: Column, n: Column, lane: int) -> Column:
+    """1 in the lowest bit of each of four lanes of 16 bits whose count, at most 127, is over half of n, moved up to bit `lane`."""
+    over = counts.bitwiseAND(F.lit(0x00FF00FF00FF00FF)) + (F.lit(127) - F.floor(n / 2)) * F.lit(0x0001000100010001)
+    return F.shiftleft(F.shiftrightunsigned(over, 7).bitwiseAND(F.lit(0x0001000100010001)), lane)
+
+
 def _fingerprints(lines: DataFrame) -> DataFrame:
     """(key, fp) of written lines; one copy of each line is counted."""
-    chunked = lines.select("key", "row", F.posexplode("words").alias("at", "word")).select("key", "row", (F.col("at") / CHUNK).cast("int").alias("chunk"), F.xxhash64("word").alias("h"))
-    packed = chunked.groupBy("key", "row", "chunk").agg(
+    chunked = lines.select("key", "row", (F.size("words") > CHUNK).alias("long"), F.posexplode("words").alias("at", "word")).select(
+        "key", "row", "long", (F.col("at") / CHUNK).cast("int").alias("chunk"), F.xxhash64("word").alias("h"))
+    packed = chunked.groupBy("key", "row", "long", "chunk").agg(
         F.count("*").alias("n"), *[F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(LANES))).alias(f"s{k}") for k in range(8)]).dropDuplicates(["key", "chunk"])
-    # two counters of 32 bits a long: bytes j and j + 4 of each sum
-    wide = packed.groupBy("key").agg(F.sum("n").alias("n"), *[
+    halves = [_majority(F.col(f"s{k}"), F.col("n"), k) for k in range(8)] + [_majority(F.shiftrightunsigned(f"s{k}", 8), F.col("n"), 8 + k) for k in range(8)]
+    short = packed.where("not long").select("key", reduce(lambda a, b: a.bitwiseOR(b), halves).alias("fp"))
+    # long lines: two counters of 32 bits a long, bytes j and j + 4 of each sum
+    wide = packed.where("long").groupBy("key").agg(F.sum("n").alias("n"), *[
         F.sum(F.shiftrightunsigned(f"s{k}", 8 * j).bitwiseAND(F.lit(0x000000FF000000FF))).alias(f"c{8 * j + k}") for k in range(8) for j in range(4)])
     bits: list[Column] = []
     for k in range(32):
         low, high = F.col(f"c{k}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f"c{k}", 32)
         bits += [F.when(2 * low > F.col("n"), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"), F.when(2 * high > F.col("n"), F.shiftleft(F.lit(1).cast("long"), 32 + k)).otherwise(F.lit(0).cast("long"))]
-    return wide.select("key", reduce(lambda a, b: a.bitwiseOR(b), bits).alias("fp"))
+    return short.unionByName(wide.select("key", reduce(lambda a, b: a.bitwiseOR(b), bits).alias("fp")))
 
 
 PAIRS = [(i, j) for i in range(5) for j in range(i + 1, 5)]
@@ -119,7 +128,7 @@ def line_groups(lines: DataFrame) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, version, gone): the numbers of the lines of each text that repeat an earlier line, equal or nearly so."""
-    lines = written(lines_of(docs, text, doc_id)).where(F.size("words") > 0)
+    lines = written(lines_of(docs, text, doc_id), dictionary=False).where(F.size("words") > 0)
     placed = lines.select("doc_id", "version", "line_no", "key").join(line_groups(lines), "key", "left").select(
         "doc_id", "version", "line_no", F.coalesce("component", "key").alias("part"))
     placed = written(placed)
