@@ -1,6 +1,5 @@
 """All registered queries and the SQL that checks them."""
 
-from __future__ import annotations
+from contestlab.plans.queries import ORACLE, QUERIES
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+__all__ = ["ORACLE", "QUERIES"]
