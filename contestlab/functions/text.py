@@ -43,7 +43,7 @@ def classify_by_rules(title: Column, rules: list[tuple[str, str]], default: str)
     out = None
     for pattern, category in rules:
         out = F.when(title.rlike(pattern), category) if out is None else out.when(title.rlike(pattern), category)
-    return (out or F.when(F.lit(False), default)).otherwise(default)
+    return F.lit(default) if out is None else out.otherwise(default)
 
 
 def normalise_label(label: Column, synonyms: list[tuple[str, str]]) -> Column:

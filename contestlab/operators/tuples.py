@@ -27,7 +27,7 @@ def ordered_triples(df: DataFrame, part: str, slot: str, p: str, decay: float =
     cols = [F.col(slot).alias("s"), F.col(p).alias("a"), (F.col(second) * (1 - mix) + F.col(p) * mix if second else F.pow(p, F.lit(decay))).alias("b"),
             (F.col(third) * (1 - mix) + F.col(p) * mix if third else F.pow(p, F.lit(decay))).alias("c")]
     packed = df.groupBy(part).agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("e"))
-    tot = packed.select(part, "e", *[F.aggregate("e", F.lit(0.0), lambda acc, x, k=k: acc + x[k]).alias(f"t{k}") for k in "abc"])
+    tot = packed.select(part, "e", *[F.aggregate(F.col("e")[k], F.lit(0.0), lambda acc, x: acc + x).alias(f"t{k}") for k in "abc"])
     one = tot.select("*", F.explode("e").alias("x"))
     two = one.select("*", F.explode(F.filter("e", lambda y: y["s"] != F.col("x.s"))).alias("y"))
     three = two.select("*", F.explode(F.filter("e", lambda z: (z["s"] != F.col("x.s")) & (z["s"] != F.col("y.s")))).alias("z"))

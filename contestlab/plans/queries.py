@@ -145,13 +145,13 @@ def f8_normalise_label(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", T.normalise_label(F.col("p_type"), [("brass", "brass"), ("steel", "steel")]).alias("label"))
 
 
-@query("""select event_id, round(-(value * cos(radians((user_id % 16) * 22.5 - 90))), 4) as tail, round(value * sin(radians((user_id % 16) * 22.5 - 90)), 4) as cross_part,
+@query("""select event_id, round(-(value * cos(radians((user_id % 16) * 22.5 - 90))), 4) + 0.0 as tail, round(value * sin(radians((user_id % 16) * 22.5 - 90)), 4) + 0.0 as cross_part,
 case when value < 1 then 'calm' when a < 90 then 'head' when a < 180 then 'right' when a < 270 then 'tail' else 'left' end as category
 from (select *, ((((user_id % 16) * 22.5 - 90 + 45)::double % 360) + 360) % 360 as a from events)""")
 def f9_wind(spark: SparkSession, d: str) -> DataFrame:
     direction, speed, heading = F.col("user_id") % 16, F.col("value"), F.lit(90.0)
     tail, cross = T.wind_components(direction, speed, heading)
-    return table(spark, d, "events").select("event_id", R(tail, 4).alias("tail"), R(cross, 4).alias("cross_part"), T.wind_category(direction, speed, heading).alias("category"))
+    return table(spark, d, "events").select("event_id", (R(tail, 4) + 0.0).alias("tail"), (R(cross, 4) + 0.0).alias("cross_part"), T.wind_category(direction, speed, heading).alias("category"))
 
 
 @query("select case when l_quantity < 10 then 'low' when l_quantity < 30 then 'mid' else 'high' end as band, count(*) as n from lineitem group by 1")
@@ -164,7 +164,7 @@ def f14_search(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", T.search_score(F.col("p_name"), F.col("p_partkey"), "12").alias("score"))
 
 
-@query("""select contest, slot, greatest(least(50 + case when score_rank = 1 then 20.0 else 0.0 end + case when slot = 1 then 15.0 else 0.0 end - case when discount > 0.05 then 10.0 else 0.0 end, 80.0), 45.0) as points,
+@query("""select contest, slot, greatest(least(50 + case when score_rank = 1 then 20.0 else 0.0 end + case when slot = 1 then 15.0 else 0.0 end - case when discount > 0.05 then 10.0 else 0.0 end, 80.0), 45.0)::double as points,
 (score_rank = 1)::int + (slot = 1)::int + (discount > 0.05)::int as notes from ent""", ent=True)
 def f17_apply_rules(spark: SparkSession, d: str) -> DataFrame:
     points, notes = T.add_rules(F.lit(50.0), [(F.col("score_rank") == 1, 20.0, "fastest"), (F.col("slot") == 1, 15.0, "inside"), (F.col("discount") > 0.05, -10.0, "discount")], 45.0, 80.0)
