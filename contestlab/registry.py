@@ -1,5 +1,6 @@
 """All registered queries and the SQL that checks them."""
 
+from contestlab.plans import joins_aggregates  # noqa: F401  (registers its queries)
 from contestlab.plans.queries import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
