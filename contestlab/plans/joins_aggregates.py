@@ -9,7 +9,7 @@ from contestlab.operators import aggregate, asof, joins, trends
 from contestlab.plans.queries import DAILY, R, daily, query
 from contestlab.plans.standins import entrants, table
 
-WIN = F.col("finish") == 1
+WIN = lambda: F.col("finish") == 1
 TEXT = lambda c: F.col(c).cast("string").alias(c)
 
 # ---- joins
@@ -24,7 +24,7 @@ def j8_era(spark: SparkSession, d: str) -> DataFrame:
 
 @query(" select a.actor, count(*) as n, sum((b.finish = 1)::int)::bigint as hits from ent a join ent b using (contest) where a.slot = 1 and b.slot = 2 group by a.actor", ent=True)
 def j10_attribute_outcome(spark: SparkSession, d: str) -> DataFrame:
-    return joins.attribute_outcome(entrants(spark, d), "contest", "slot", "actor", WIN.cast("long"), 1, 2).groupBy("actor").agg(F.count("*").alias("n"), F.sum("outcome").alias("hits"))
+    return joins.attribute_outcome(entrants(spark, d), "contest", "slot", "actor", WIN().cast("long"), 1, 2).groupBy("actor").agg(F.count("*").alias("n"), F.sum("outcome").alias("hits"))
 
 
 @query(""", a as (select site, class, slot, count(*) as n, avg((finish = 1)::int) as rate from ent group by all), b as (select class, slot, count(*) as n, avg((finish = 1)::int) as rate from ent group by all),
@@ -33,7 +33,7 @@ select contest, slot, case when a.n >= 20 then 1 when b.n >= 20 then 2 when c.n
 from ent left join a using (site, class, slot) left join b using (class, slot) left join c using (slot)""", ent=True)
 def j11_fallback_lookup(spark: SparkSession, d: str) -> DataFrame:
     e = entrants(spark, d)
-    levels = [(keys, e.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(WIN.cast("int")).alias("rate"))) for keys in (["site", "class", "slot"], ["class", "slot"], ["slot"])]
+    levels = [(keys, e.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(WIN().cast("int")).alias("rate"))) for keys in (["site", "class", "slot"], ["class", "slot"], ["slot"])]
     return joins.fallback_lookup(e, levels, "n", "rate", 20).select("contest", "slot", F.col("level").cast("int").alias("level"), R("found").alias("rate"))
 
 
@@ -53,7 +53,7 @@ def j14_compare_runs(spark: SparkSession, d: str) -> DataFrame:
 @query(", m as (select contest, slot, finish, 'high' as method from ent where p >= 0.3 union all select contest, slot, finish, 'quick' from ent where score_rank = 1 and score < 10) select method, count(*) as n, sum((finish = 1)::int)::bigint as hits from m where contest in (select contest from m group by contest having count(distinct method) = 2) group by method", ent=True)
 def j15_common_contests(spark: SparkSession, d: str) -> DataFrame:
     e = entrants(spark, d).select("contest", "slot", "finish", "p", "score", "score_rank")
-    return joins.common_contests({"high": e.where("p >= 0.3"), "quick": e.where("score_rank = 1 and score < 10")}, "contest").groupBy("method").agg(F.count("*").alias("n"), F.sum(WIN.cast("long")).alias("hits"))
+    return joins.common_contests({"high": e.where("p >= 0.3"), "quick": e.where("score_rank = 1 and score < 10")}, "contest").groupBy("method").agg(F.count("*").alias("n"), F.sum(WIN().cast("long")).alias("hits"))
 
 
 @query("select c_custkey, o_orderkey, o_orderstatus from customer left join orders on c_custkey = o_custkey")
@@ -72,7 +72,7 @@ def j17_all_in_set(spark: SparkSession, d: str) -> DataFrame:
 select contest, count(*) as n, round(sum(p), 8) as total_p, round(sum(q.odds), 8) as total_odds, max(winner) as winner from ent left join q using (contest, slot) join r using (contest) group by contest having count(*) >= 4 and count(q.odds) = count(*)""", ent=True)
 def j18_contest_spine(spark: SparkSession, d: str) -> DataFrame:
     e = entrants(spark, d)
-    won = e.groupBy("contest").agg(F.max(F.when(WIN, F.col("slot"))).alias("winner"))
+    won = e.groupBy("contest").agg(F.max(F.when(WIN(), F.col("slot"))).alias("winner"))
     add = lambda c: F.aggregate(F.map_values(c), F.lit(0.0), lambda a, x: a + x)
     return joins.contest_spine(e, e.where("discount > 0"), won, "contest", "slot", 4).select("contest", "n", F.round(add("probs"), 8).alias("total_p"), F.round(add("quotes"), 8).alias("total_odds"), "winner")
 
@@ -82,19 +82,19 @@ def j18_contest_spine(spark: SparkSession, d: str) -> DataFrame:
 
 @query(" select actor, cast(max(day) + 1 as varchar) as day, count(*) as n, sum((finish = 1)::int)::bigint as win from ent group by actor", ent=True)
 def a2_serving_totals(spark: SparkSession, d: str) -> DataFrame:
-    return aggregate.serving_totals(entrants(spark, d), ["actor"], "day", {"n": F.lit(1).cast("long"), "win": WIN.cast("long")}).withColumn("day", F.col("day").cast("string"))
+    return aggregate.serving_totals(entrants(spark, d), ["actor"], "day", {"n": F.lit(1).cast("long"), "win": WIN().cast("long")}).withColumn("day", F.col("day").cast("string"))
 
 
 @query(" select site, slot, grouping(site)::int as all_sites, count(*) as n, round(avg((finish = 1)::int), 6) as win, round(avg(case when score < 40 then score end), 6) as quick from ent group by grouping sets ((slot), (site, slot))", ent=True)
 def a3_priors(spark: SparkSession, d: str) -> DataFrame:
-    found = aggregate.priors(entrants(spark, d), "site", "slot", {"win": WIN.cast("int"), "quick": F.when(F.col("score") < 40, F.col("score"))})
+    found = aggregate.priors(entrants(spark, d), "site", "slot", {"win": WIN().cast("int"), "quick": F.when(F.col("score") < 40, F.col("score"))})
     return found.select("site", "slot", F.col("all_sites").cast("int").alias("all_sites"), "n", R("win").alias("win"), R("quick").alias("quick"))
 
 
 @query(" select actor, slot, count(*) as all_n, sum((finish = 1)::int)::bigint as all_win, sum((day >= date '2000-01-01')::int)::bigint as late_n, sum((day >= date '2000-01-01' and finish = 1)::int)::bigint as late_win from ent group by actor, slot", ent=True)
 def a4_profile(spark: SparkSession, d: str) -> DataFrame:
     scopes = {"all": F.lit(True), "late": F.col("day") >= F.lit("2000-01-01").cast("date")}
-    return aggregate.profile(entrants(spark, d), ["actor", "slot"], scopes, {"n": F.lit(1).cast("long"), "win": WIN.cast("long")})
+    return aggregate.profile(entrants(spark, d), ["actor", "slot"], scopes, {"n": F.lit(1).cast("long"), "win": WIN().cast("long")})
 
 
 @query(", m as (select slot, avg(score) as m from ent group by slot) select actor, sum((class = 'R')::int)::bigint as n_flag, round(avg(case when class = 'R' then score - m end), 6) as flag_mean, round(avg(case when class <> 'R' then score - m end), 6) as normal_mean from ent join m using (slot) group by actor", ent=True)
@@ -123,7 +123,7 @@ def a8_pattern_table(spark: SparkSession, d: str) -> DataFrame:
 @query(" select site, slot, count(*) as n, round(avg((finish = 1)::int), 6) as win from ent where day >= date '2001-01-01' - 365 and day < date '2001-01-01' group by site, slot", ent=True)
 def a9_site_position_rates(spark: SparkSession, d: str) -> DataFrame:
     end = F.lit("2001-01-01").cast("date")
-    return aggregate.recent_rates(entrants(spark, d), ["site", "slot"], "day", end, 365, {"win": WIN.cast("int")}).withColumn("win", R("win"))
+    return aggregate.recent_rates(entrants(spark, d), ["site", "slot"], "day", end, 365, {"win": WIN().cast("int")}).withColumn("win", R("win"))
 
 
 @query(", g as (select site, count(*) as n, avg((slot = 1)::int) as base, sum((score < 20)::int)::bigint as quick_n, sum((score < 20 and slot = 1)::int)::bigint as quick_hits from ent where finish = 1 group by site) select site, n, round(base, 6) as base, quick_n, quick_hits, round((quick_hits + 30 * base) / (quick_n + 30), 6) as quick_rate from g", ent=True)
@@ -135,24 +135,24 @@ def a11_condition_table(spark: SparkSession, d: str) -> DataFrame:
 @query(" select case when odds < 2 then 'short' when odds < 6 then 'mid' else 'long' end as band, count(*) as n, round(avg(p), 6) as implied, round(avg((finish = 1)::int), 6) as actual, round(avg(case when finish = 1 then odds else 0 end), 6) as returned from ent group by 1", ent=True)
 def a12_band_table(spark: SparkSession, d: str) -> DataFrame:
     band = F.when(F.col("odds") < 2, "short").when(F.col("odds") < 6, "mid").otherwise("long")
-    found = aggregate.band_table(entrants(spark, d), band, "p", WIN, F.when(WIN, F.col("odds")).otherwise(0.0))
+    found = aggregate.band_table(entrants(spark, d), band, "p", WIN(), F.when(WIN(), F.col("odds")).otherwise(0.0))
     return found.select("band", "n", *[R(c).alias(c) for c in ("implied", "actual", "returned")])
 
 
 @query(" select case when class = 'N' then 'unknown' else class end as label, count(*) as n, count(case when slot < 5 then 1 end) as judged, round(avg(case when slot < 5 then (finish = 1)::int end), 6) as match_rate from ent group by 1", ent=True)
 def a13_match_summary(spark: SparkSession, d: str) -> DataFrame:
-    rows = entrants(spark, d).withColumn("group", F.when(F.col("class") != "N", F.col("class")).otherwise(" ")).withColumn("matched", F.when(F.col("slot") < 5, WIN))
+    rows = entrants(spark, d).withColumn("group", F.when(F.col("class") != "N", F.col("class")).otherwise(" ")).withColumn("matched", F.when(F.col("slot") < 5, WIN()))
     return aggregate.match_summary(rows, "group", "matched").withColumn("match_rate", R("match_rate"))
 
 
 @query(" select actor, count(*) as n, round(avg((finish = 1)::int), 9) as rate from ent group by actor having count(*) >= 20 order by rate desc, n desc, actor limit 10", ent=True)
 def a14_leaderboard(spark: SparkSession, d: str) -> DataFrame:
-    return aggregate.leaderboard(entrants(spark, d), "actor", WIN, 20, 10)
+    return aggregate.leaderboard(entrants(spark, d), "actor", WIN(), 20, 10)
 
 
 @query(" select actor, count(*) as n, round(avg((finish = 1)::int), 6) as win, round(avg((finish <= 3)::int), 6) as top3, case when count(*) >= 600 then 'high' when count(*) >= 300 then 'middle' else 'none' end as grade from ent group by actor", ent=True)
 def a15_tendency(spark: SparkSession, d: str) -> DataFrame:
-    found = aggregate.tendency(entrants(spark, d), "actor", {"win": WIN, "top3": F.col("finish") <= 3}, [(600, "high"), (300, "middle")])
+    found = aggregate.tendency(entrants(spark, d), "actor", {"win": WIN(), "top3": F.col("finish") <= 3}, [(600, "high"), (300, "middle")])
     return found.withColumns({"win": R("win"), "top3": R("top3")})
 
 
@@ -170,12 +170,12 @@ def a17_batch_index(spark: SparkSession, d: str) -> DataFrame:
 
 @query(", m as (select slot, avg((finish = 1)::int) as m from ent group by slot) select score_rank, class, grouping(score_rank, class)::bigint as level, count(*) as n, round(avg((finish = 1)::int - m), 6) as uplift from (select *, cast(score_rank as int) as score_rank_i from ent) join m using (slot) group by cube (score_rank, class) having count(*) >= 50", ent=True)
 def a19_uplift_grid(spark: SparkSession, d: str) -> DataFrame:
-    return aggregate.uplift_grid(entrants(spark, d), "score_rank", "class", "slot", WIN, 50).select(F.col("score_rank").cast("long").alias("score_rank"), "class", F.col("level").cast("long").alias("level"), "n", R("uplift").alias("uplift"))
+    return aggregate.uplift_grid(entrants(spark, d), "score_rank", "class", "slot", WIN(), 50).select(F.col("score_rank").cast("long").alias("score_rank"), "class", F.col("level").cast("long").alias("level"), "n", R("uplift").alias("uplift"))
 
 
 @query(" select left(cast(day as varchar), 7) as period, cast(day as varchar) as day, grouping(left(cast(day as varchar), 7), ent.day)::bigint as level, count(*) as bets, sum((finish = 1)::int)::bigint as hits from ent where slot = 1 group by rollup (left(cast(day as varchar), 7), ent.day)".replace("left(cast(day as varchar), 7)", "left(cast(ent.day as varchar), 7)").replace("cast(day as varchar) as day", "cast(ent.day as varchar) as day"), ent=True)
 def a20_day_totals(spark: SparkSession, d: str) -> DataFrame:
-    found = aggregate.day_totals(entrants(spark, d).where("slot = 1"), F.date_format("day", "yyyy-MM"), "day", {"bets": F.lit(1).cast("long"), "hits": WIN.cast("long")})
+    found = aggregate.day_totals(entrants(spark, d).where("slot = 1"), F.date_format("day", "yyyy-MM"), "day", {"bets": F.lit(1).cast("long"), "hits": WIN().cast("long")})
     return found.select("period", TEXT("day"), F.col("level").cast("long").alias("level"), "bets", "hits")
 
 
@@ -191,14 +191,14 @@ def a22_distincts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), F.round(F.median("value"), 6).alias("median_value"))
 
 
-MINUTES = F.lit(55) - (F.minute("ts") + F.second("ts") / 60)
+MINUTES = lambda: F.lit(55) - (F.minute("ts") + F.second("ts") / 60)
 MINUTES_SQL = "55 - (minute(ts) + second(ts) / 60)"
 
 
 @query(f"select user_id, strftime(ts, '%Y-%m-%d %H') as hour, count(*) as versions, round(max({MINUTES_SQL}), 4) as first_min, round(min({MINUTES_SQL}), 4) as last_min, round(avg(({MINUTES_SQL} < 0)::int), 6) as late_share from events group by 1, 2")
 def a24_version_timing(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").withColumn("hour", F.date_format("ts", "yyyy-MM-dd HH"))
-    return aggregate.version_timing(rows, ["user_id", "hour"], MINUTES).select("user_id", "hour", "versions", R("first_min", 4).alias("first_min"), R("last_min", 4).alias("last_min"), R("late_share").alias("late_share"))
+    return aggregate.version_timing(rows, ["user_id", "hour"], MINUTES()).select("user_id", "hour", "versions", R("first_min", 4).alias("first_min"), R("last_min", 4).alias("last_min"), R("late_share").alias("late_share"))
 
 
 # ---- trends
@@ -251,7 +251,7 @@ def w10_session_points(spark: SparkSession, d: str) -> DataFrame:
 
 @query(" select contest, slot, count(*) over w as n_before, round(coalesce(sum((finish = 1)::int - p) over w, 0), 6) as trend from ent window w as (partition by site, day, slot order by contest rows between unbounded preceding and 1 preceding)", ent=True)
 def w19_day_trend(spark: SparkSession, d: str) -> DataFrame:
-    return trends.day_trend(entrants(spark, d), ["site", "day", "slot"], ["contest"], WIN.cast("int"), "p").select("contest", "slot", "n_before", R("trend").alias("trend"))
+    return trends.day_trend(entrants(spark, d), ["site", "day", "slot"], ["contest"], WIN().cast("int"), "p").select("contest", "slot", "n_before", R("trend").alias("trend"))
 
 
 @query(", q as (select site, slot, day, min(case when class = 'A' then odds end) as early, min(case when class = 'N' then odds end) as late from ent group by site, slot, day) select site, slot, cast(day as varchar) as day, round(early, 6) as early, round(late, 6) as late, round(late / early, 6) as ratio from q where early > 0 and late > 0", ent=True)
@@ -272,11 +272,11 @@ def w21_detect_resets(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"select user_id, hour, round(minutes, 4) as minutes, value from (select user_id, strftime(ts, '%Y-%m-%d %H') as hour, {MINUTES_SQL} as minutes, value, row_number() over (partition by user_id, strftime(ts, '%Y-%m-%d %H') order by {MINUTES_SQL}, event_id desc) as k from events where {MINUTES_SQL} >= 5) where k = 1")
 def w22_snap_at(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events").withColumn("hour", F.date_format("ts", "yyyy-MM-dd HH")).withColumn("minutes", MINUTES)
+    rows = table(spark, d, "events").withColumn("hour", F.date_format("ts", "yyyy-MM-dd HH")).withColumn("minutes", MINUTES())
     return trends.snap_at(rows, ["user_id", "hour"], "minutes", 5, ["value"], "event_id").withColumn("minutes", R("minutes", 4))
 
 
 @query(", t as (select site, day, sum(1.0) as stake, sum(case when finish = 1 then odds else 0 end) as returned from ent where slot = 1 group by site, day) select site, cast(day as varchar) as day, round(returned / stake, 6) as day_roi, round(sum(returned) over w / sum(stake) over w, 6) as roi from t window w as (partition by site order by day rows between unbounded preceding and current row)", ent=True)
 def w25_daily_cumulative(spark: SparkSession, d: str) -> DataFrame:
-    rows = entrants(spark, d).where("slot = 1").withColumn("stake", F.lit(1.0)).withColumn("returned", F.when(WIN, F.col("odds")).otherwise(0.0))
+    rows = entrants(spark, d).where("slot = 1").withColumn("stake", F.lit(1.0)).withColumn("returned", F.when(WIN(), F.col("odds")).otherwise(0.0))
     return trends.daily_cumulative(rows, ["site"], "day", "stake", "returned").select("site", TEXT("day"), R("day_roi").alias("day_roi"), R("roi").alias("roi"))
