@@ -173,7 +173,7 @@ def a19_uplift_grid(spark: SparkSession, d: str) -> DataFrame:
     return aggregate.uplift_grid(entrants(spark, d), "score_rank", "class", "slot", WIN(), 50).select(F.col("score_rank").cast("long").alias("score_rank"), "class", F.col("level").cast("long").alias("level"), "n", R("uplift").alias("uplift"))
 
 
-@query(" select left(cast(day as varchar), 7) as period, cast(day as varchar) as day, grouping(left(cast(day as varchar), 7), ent.day)::bigint as level, count(*) as bets, sum((finish = 1)::int)::bigint as hits from ent where slot = 1 group by rollup (left(cast(day as varchar), 7), ent.day)".replace("left(cast(day as varchar), 7)", "left(cast(ent.day as varchar), 7)").replace("cast(day as varchar) as day", "cast(ent.day as varchar) as day"), ent=True)
+@query(" select left(cast(ent.day as varchar), 7) as period, cast(ent.day as varchar) as day, grouping(left(cast(ent.day as varchar), 7), ent.day)::bigint as level, count(*) as bets, sum((finish = 1)::int)::bigint as hits from ent where slot = 1 group by rollup (left(cast(ent.day as varchar), 7), ent.day)", ent=True)
 def a20_day_totals(spark: SparkSession, d: str) -> DataFrame:
     found = aggregate.day_totals(entrants(spark, d).where("slot = 1"), F.date_format("day", "yyyy-MM"), "day", {"bets": F.lit(1).cast("long"), "hits": WIN().cast("long")})
     return found.select("period", TEXT("day"), F.col("level").cast("long").alias("level"), "bets", "hits")
