@@ -47,15 +47,8 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-def labelled_documents(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """(doc_id, text, label) of documents with a label; a document labelled more than once takes its largest label."""
-    one = labels.groupBy("doc_id").agg(F.max(label).alias(label))
-    return only(docs, "doc_id", "text").join(one, "doc_id")
-
-
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel:
-    learn = labels.where(crc_mod("doc_id", 3) != 1)
-    return toxicity.fit(labelled_documents(docs, learn, "toxic"))
+    return toxicity.fit(only(docs, "doc_id", "text"), labels.where(crc_mod("doc_id", 3) != 1))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

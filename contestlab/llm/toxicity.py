@@ -18,6 +18,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: The fit reads about this many labelled documents of each class (all, if there are fewer), picked by a hash of the id.
@@ -122,19 +124,30 @@ def best_cut(y, weight, score) -> float:
     return float(np.clip((score[k] + (score[k + 1] if k + 1 < len(score) else 0)) / 2, 1e-4, 0.9999))
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", per_class: int = SAMPLE_PER_CLASS) -> ToxicityModel:
-    """A model from labelled rows (label 0 or 1); rows without text or label are left out. Without both classes every score is near 0.
+def fit(docs: DataFrame, labels: DataFrame | None = None, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", per_class: int = SAMPLE_PER_CLASS) -> ToxicityModel:
+    """A model from documents and labels (0 or 1); without `labels` the label is a column of `docs`.
 
-    What reaches the driver is bounded by the sample's size and the number of features.
+    Rows without text or label are left out; a document labelled more than once takes its largest label. Without both classes every
+    score is near 0. Only ids meet the labels in a shuffle; the texts of the picked ones, a sample of bounded size, are then read by
+    a broadcast of their ids. What reaches the driver is bounded by the sample's size and the number of features.
     """
-    rows = labelled.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text"), F.col(label).cast("int").alias("y")).where("text is not null and y in (0, 1)")
-    sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), *([] if labels is not None else [F.col(label).cast("int").alias("y")])).where("text is not null")
+    if labels is None:
+        known = rows.select("id", "y")
+    else:
+        known = rows.select("id").join(labels.groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("y")), "id")
+    known = written(known.where("y in (0, 1)"))
+    sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return ToxicityModel({}, -20.0)
     share = {y: min(1.0, per_class / n) for y, n in sizes.items()}
-    mark = F.conv(F.substring(F.md5(F.coalesce("id", F.lit(""))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    mark = F.conv(F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     of: Column = F.when(F.col("y") == 1, share[1]).otherwise(share[0])
-    sample = rows.where(mark < of).select("text", "y", (1 / of).alias("weight"))
+    if labels is None:
+        sample = rows.where("y in (0, 1)").where(mark < of)
+    else:
+        sample = rows.join(F.broadcast(known.where(mark < of).distinct()), "id")
+    sample = written(sample.select("text", "y", (1 / of).alias("weight")))
     n = {y: max(1.0, sizes[y] * share[y]) for y in (0, 1)}
     counts = sample.select("text", "y").mapInPandas(_document_counts, "feature string, y int, n long").groupBy("feature").agg(
         F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("clean"))
