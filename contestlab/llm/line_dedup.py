@@ -1,33 +1,34 @@
 """Fuzzy line deduplication (operator 10), in DataFrame functions only.
 
 Lines are normalised to their lower-cased words. They are split once, into a written table of 32-bit word hashes that all later
-steps read. Equal lines fold into one by the hash of their words. The others are compared by SimHash. Eight 8-bit
-counters fit in a long, so eight sums over the word hashes count all 64 bits for up to 127 words; longer lines are counted in
-chunks, whose counters are then summed at full width. Lines whose fingerprints differ in at most 3 bits share two of five
-blocks of bits: ten keys, on which the distinct fingerprints are joined first. Of the lines whose fingerprints have company,
-those are linked that are as near and of edit similarity 0.8 or more, over words. So that a crowd of near copies does not make all
-its pairs, each line is first linked to the first line under each of its keys; then all pairs are tried whose lines
-are not yet connected. One occurrence of each connected group stays: the first by document id and line number.
+steps read. Equal lines fold into one by the hash of their words. Lines of edit similarity 0.8 or more, over words, are linked, and
+all such pairs are found: with L words in the longer line at most E = floor(0.2 L) edits are allowed, each of which touches two
+pairs of neighbouring words at most, so the lines share all but 2 E of these; if each line's pairs are put in one order for all, both
+lines have one in common among their first few (prefix filter, `_prefixed`). The order puts rare pairs first, by counts in hash
+buckets; it decides the cost and never the result. Lines under such a common pair are tested by length, and then by edit distance.
+So that a crowd of near copies does not make all its pairs, each line is first linked to the first
+line under each of its word pairs; then all lines are compared that are not yet connected. One occurrence of each connected group
+stays: the first by document id and line number.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from math import log2
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, written
 
-#: (first bit, bits) of the five blocks.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-MOST_BITS, SIMILARITY = 3, 0.8
+SIMILARITY = 0.8
+#: A line of four words may be near one of five. Shorter lines are compared by equality alone.
+LEAST_WORDS = 4
+#: Hash buckets in which word pairs are counted, and about how many are counted.
+BUCKETS, COUNTED = 1 << 18, 2_000_000
 #: Keys of 8 bytes that may be broadcast to pick the candidates' words; more of them are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 #: Blanks, control characters and ASCII punctuation part the words of a line.
 PARTS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: The lowest bit of each of a long's eight bytes; words that one such counter can count.
-LANES, CHUNK = 0x0101010101010101, 127
 
 
 def lines_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -39,53 +40,42 @@ def lines_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
         "doc_id", "version", "line_no", F.xxhash64("found").alias("key"), F.transform("found", lambda w: F.hash(w)).alias("words"), F.monotonically_increasing_id().alias("row"))
 
 
-def _majority(counts: Column, n: Column, lane: int) -> Column:
-    """1 in the lowest bit of each of four lanes of 16 bits whose count, at most 127, is over half of n, moved up to bit `lane`."""
-    over = counts.bitwiseAND(F.lit(0x00FF00FF00FF00FF)) + (F.lit(127) - F.floor(n / 2)) * F.lit(0x0001000100010001)
-    return F.shiftleft(F.shiftrightunsigned(over, 7).bitwiseAND(F.lit(0x0001000100010001)), lane)
+def most_edits(n: Column, least: float = SIMILARITY) -> Column:
+    """The edits that lines may differ in, the longer of which has n words."""
+    return F.floor(n * (1 - least) + 1e-9).cast("int")
 
 
-def _fingerprints(lines: DataFrame) -> DataFrame:
-    """(key, fp) of written lines; one copy of each line is counted."""
-    chunked = lines.select("key", "row", (F.size("words") > CHUNK).alias("long"), F.posexplode("words").alias("at", "word")).select(
-        "key", "row", "long", (F.col("at") / CHUNK).cast("int").alias("chunk"), F.xxhash64("word").alias("h"))
-    packed = chunked.groupBy("key", "row", "long", "chunk").agg(
-        F.count("*").alias("n"), *[F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(LANES))).alias(f"s{k}") for k in range(8)]).dropDuplicates(["key", "chunk"])
-    halves = [_majority(F.col(f"s{k}"), F.col("n"), k) for k in range(8)] + [_majority(F.shiftrightunsigned(f"s{k}", 8), F.col("n"), 8 + k) for k in range(8)]
-    short = packed.where("not long").select("key", reduce(lambda a, b: a.bitwiseOR(b), halves).alias("fp"))
-    # long lines: two counters of 32 bits a long, bytes j and j + 4 of each sum
-    wide = packed.where("long").groupBy("key").agg(F.sum("n").alias("n"), *[
-        F.sum(F.shiftrightunsigned(f"s{k}", 8 * j).bitwiseAND(F.lit(0x000000FF000000FF))).alias(f"c{8 * j + k}") for k in range(8) for j in range(4)])
-    bits: list[Column] = []
-    for k in range(32):
-        low, high = F.col(f"c{k}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f"c{k}", 32)
-        bits += [F.when(2 * low > F.col("n"), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"), F.when(2 * high > F.col("n"), F.shiftleft(F.lit(1).cast("long"), 32 + k)).otherwise(F.lit(0).cast("long"))]
-    return short.unionByName(wide.select("key", reduce(lambda a, b: a.bitwiseOR(b), bits).alias("fp")))
+def _grams(words: str) -> Column:
+    """56-bit hashes of the pairs of neighbouring words."""
+    n = F.size(words)
+    return F.transform(F.slice(words, F.lit(1), n - 1), lambda w, k: F.xxhash64(w, F.get(words, k + 1)).bitwiseAND(F.lit((1 << 56) - 1)))
 
 
-PAIRS = [(i, j) for i in range(5) for j in range(i + 1, 5)]
+def gram_levels(lines: DataFrame) -> bytes:
+    """How common the word pairs of each hash bucket are, as one byte a bucket: four steps for each doubling of the count."""
+    total = lines.agg(F.sum(F.size("words")).alias("n")).first().n or 0
+    counted = lines.where(F.pmod("key", F.lit(1 + total // COUNTED)) == 0).select(F.explode(_grams("words")).alias("gram"))
+    levels = bytearray(BUCKETS)
+    for r in counted.groupBy(F.col("gram").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).count().where("count > 1").collect():
+        levels[r.bucket] = min(127, int(4 * log2(r["count"])))
+    return bytes(levels)
 
 
-def _block(x: Column, k: int) -> Column:
-    return F.shiftrightunsigned(x, BLOCKS[k][0]).bitwiseAND(F.lit((1 << BLOCKS[k][1]) - 1))
+def _prefixed(lines: DataFrame, levels: bytes) -> DataFrame:
+    """(gram, key, n): each line once for each of its first word pairs in order of (level, hash); as many as similar lines can't all miss.
 
-
-def _keyed(prints: DataFrame) -> DataFrame:
-    """The rows of `prints`, once for each pair of blocks, with that key as `at`."""
-    keys = [F.lit(c << 32).bitwiseOR(F.shiftleft(_block(F.col("fp"), i), 16)).bitwiseOR(_block(F.col("fp"), j)) for c, (i, j) in enumerate(PAIRS)]
-    return prints.select("*", F.explode(F.array(*keys)).alias("at"))
+    Lines of n and m >= n words share m - 1 - 2 E(m) pairs, so n - m + 2 E(m) + 1 of the shorter line's n - 1 are enough, which is
+    most for m = n or n + 1.
+    """
+    level = lambda g: F.ascii(F.substring(F.lit(levels), g.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1)).cast("string"))
+    order = F.array_sort(F.transform(_grams("words"), lambda g: F.shiftleft(level(g).cast("long"), 56).bitwiseOR(g)))
+    n = F.size("words")
+    size = F.greatest(2 * most_edits(n), 2 * most_edits(n + 1) - 1) + 1
+    return lines.select("key", n.alias("n"), F.explode(F.array_distinct(F.slice(order, F.lit(1), size))).alias("gram")).select("gram", "key", "n")
 
 
-def _near_pairs(prints: DataFrame, key: str, apart: str | None = None) -> DataFrame:
-    """(a, b), a < b: values of `key` whose fingerprints differ in at most 3 bits, each pair once; only those that differ in `apart`."""
-    keyed = _keyed(prints)
-    a, b = keyed.alias("a"), keyed.alias("b")
-    x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    first = F.coalesce(*[F.when((_block(x, i) == 0) & (_block(x, j) == 0), F.lit(c)) for c, (i, j) in enumerate(PAIRS)])
-    near = (F.col(f"a.{key}") < F.col(f"b.{key}")) & (F.bit_count(x) <= MOST_BITS)
-    if apart:
-        near = near & (F.col(f"a.{apart}") != F.col(f"b.{apart}"))
-    return a.join(b, (F.col("a.at") == F.col("b.at")) & near & (F.shiftright("a.at", 32) == first)).select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"))
+def _near_lengths(a: str, b: str) -> Column:
+    return F.abs(F.col(a) - F.col(b)) <= most_edits(F.greatest(a, b))
 
 
 def letters(words: Column) -> Column:
@@ -95,35 +85,36 @@ def letters(words: Column) -> Column:
 
 def similar(a: Column, b: Column, least: float = SIMILARITY) -> Column:
     """Whether 1 - edits / longer length is at least `least`, for strings of `letters`."""
-    most = F.floor(F.greatest(F.length(a), F.length(b)) * (1 - least) + 1e-9).cast("int")
+    most = most_edits(F.greatest(F.length(a), F.length(b)), least)
     return (F.abs(F.length(a) - F.length(b)) <= most) & (F.call_function("levenshtein", a, b, most) >= 0)
 
 
-def _verified(pairs: DataFrame, crowd: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs of line keys whose lines are similar."""
+    pairs = written(pairs, dictionary=False)
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), dictionary=False)
+    few = wanted.count() <= BROADCAST_KEYS
+    words = lines.join(F.broadcast(wanted) if few else wanted, "key", "left_semi").select("key", "words").dropDuplicates(["key"])
+    crowd = written(words.select("key", letters(F.col("words")).alias("letters")))
     one, two = (crowd.select(F.col("key").alias(k), F.col("letters").alias(f"{k}_letters")) for k in "ab")
     return pairs.join(one, "a").join(two, "b").where(similar(F.col("a_letters"), F.col("b_letters"))).select("a", "b")
 
 
 def line_groups(lines: DataFrame) -> DataFrame:
     """(key, component): keys of lines that are linked to others, with the smallest key of their group."""
-    prints = written(_fingerprints(lines))
-    parts = connected_components(_near_pairs(prints.select("fp").distinct(), "fp"))
-    placed = prints.join(parts, prints["fp"] == parts["node"], "left").select("key", "fp", F.coalesce("component", "fp").alias("part"))
-    company = placed.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part")
-    wanted = written(placed.join(company, "part", "left_semi").select("key", "fp"))
-    few = wanted.count() <= BROADCAST_KEYS
-    words = lines.select("key", "words").join(F.broadcast(wanted.select("key")) if few else wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
-    crowd = written(wanted.join(words.select("key", letters(F.col("words")).alias("letters")), "key"))
-    keyed = _keyed(crowd.select("key", "fp"))
-    leads = keyed.groupBy("at").agg(F.min(F.struct("key", "fp")).alias("lead"))
-    led = keyed.join(leads, "at").where((F.col("key") != F.col("lead.key")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("lead.fp"))) <= MOST_BITS)).select(
-        F.col("lead.key").alias("a"), F.col("key").alias("b")).distinct()
-    links = written(_verified(led, crowd))
+    lines = lines.where(F.size("words") >= LEAST_WORDS)
+    under = Window.partitionBy("gram").orderBy("key")
+    shared = _prefixed(lines, gram_levels(lines)).select("*", F.first("key").over(under).alias("lead"), F.first("n").over(under).alias("lead_n"), F.lag("key").over(under).alias("last"))
+    shared = written(shared.where("key <> lead and key <> last").drop("last"), dictionary=False)
+    led = shared.where(_near_lengths("n", "lead_n")).select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct()
+    links = written(_verified(led, lines))
     joined = connected_components(links).select(F.col("node").alias("key"), "component")
-    halves = written(crowd.select("key", "fp").join(joined, "key", "left").select("key", "fp", F.coalesce("component", "key").alias("component")))
-    across = _verified(_near_pairs(halves, "key", "component"), crowd)
-    return connected_components(links.unionByName(across)).select(F.col("node").alias("key"), "component")
+    # the lead of each word pair has been tried
+    halves = shared.select("gram", "key", "n").join(joined, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    a, b = halves.alias("a"), halves.alias("b")
+    across = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & _near_lengths("a.n", "b.n")).select(
+        F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
+    return connected_components(links.unionByName(_verified(across, lines))).select(F.col("node").alias("key"), "component")
 
 
 def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -234,6 +234,40 @@ def test_lines(spark):
     assert line_dedup.drop_repeated_lines(df).count() == 8 and line_dedup.drop_repeated_lines(df.limit(0)).isEmpty()
 
 
+def slow_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_lines_against_brute_force_edit_similarity(spark):
+    import random
+    rnd = random.Random(3)
+    pick = lambda: rnd.choice([f"c{k}" for k in range(12)]) if rnd.random() < 0.5 else f"r{rnd.randrange(3000)}"
+    texts = [["the"] * k for k in (4, 5, 6, 7, 12)]
+    for n in (3, 4, 5, 6, 9, 10, 14, 15, 27, 40, 150) * 3:
+        base = [pick() for _ in range(n)]
+        texts.append(base)
+        for e in {1, n // 5, n // 5 + 1}:
+            w = list(base)
+            for _ in range(e):
+                at, how = rnd.randrange(len(w)), rnd.choice("sid")
+                w[at: at + (how != "i")] = [] if how == "d" and len(w) > 1 else [pick()]
+            texts.append(w)
+    near = lambda a, b: 5 * slow_edits(texts[a], texts[b]) <= max(len(texts[a]), len(texts[b]))
+    label = linked(range(len(texts)), near)
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in line_dedup.drop_repeated_lines(df).collect()}
+    assert got == {k: int(label[k] < k) for k in range(len(texts))} and sum(got.values()) > 40
+    # one typo in a line of ten words
+    ten = "one two three four five six seven eight nine ten"
+    df = spark.createDataFrame([(1, ten), (2, ten.replace("four", "fuor"))], "doc_id long, text string")
+    assert [r.text for r in line_dedup.drop_repeated_lines(df).orderBy("doc_id").collect()] == [ten, ""]
+
+
 def test_queries_with_sql(spark):
     con = duckdb.connect()
     for t in ("documents", "pages"):
