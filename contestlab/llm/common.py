@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space and the five ASCII control blanks.
@@ -83,3 +84,24 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
     raise RuntimeError("connected components did not settle")
+
+
+def linked_groups(prefixed: DataFrame, may: Callable[[str, str], Column], verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(key, component): keys that are linked to others, with the smallest key of their group.
+
+    Candidates are pairs of keys that share a `gram` of `prefixed` (gram, key, n) and whose sizes pass `may`, given two columns' names;
+    `verified` takes pairs (a, b) and gives those that are links. Each key is first tried with the first key under each of its
+    grams, then with all others that it isn't connected to.
+    """
+    under = Window.partitionBy("gram").orderBy("key")
+    shared = prefixed.select("*", F.first("key").over(under).alias("lead"), F.first("n").over(under).alias("lead_n"), F.lag("key").over(under).alias("last"))
+    shared = written(shared.where("key <> lead and key <> last").drop("last"), dictionary=False)
+    led = shared.where(may("n", "lead_n")).select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct()
+    links = written(verified(led))
+    joined = connected_components(links).select(F.col("node").alias("key"), "component")
+    # the lead of each gram has been tried
+    halves = shared.select("gram", "key", "n").join(joined, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    a, b = halves.alias("a"), halves.alias("b")
+    across = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & may("a.n", "b.n")).select(
+        F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
+    return connected_components(links.unionByName(verified(across))).select(F.col("node").alias("key"), "component")

@@ -15,10 +15,10 @@ from __future__ import annotations
 
 from math import log2
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, written
+from .common import linked_groups, written
 
 SIMILARITY = 0.8
 #: A line of four words may be near one of five. Shorter lines are compared by equality alone.
@@ -103,18 +103,7 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 def line_groups(lines: DataFrame) -> DataFrame:
     """(key, component): keys of lines that are linked to others, with the smallest key of their group."""
     lines = lines.where(F.size("words") >= LEAST_WORDS)
-    under = Window.partitionBy("gram").orderBy("key")
-    shared = _prefixed(lines, gram_levels(lines)).select("*", F.first("key").over(under).alias("lead"), F.first("n").over(under).alias("lead_n"), F.lag("key").over(under).alias("last"))
-    shared = written(shared.where("key <> lead and key <> last").drop("last"), dictionary=False)
-    led = shared.where(_near_lengths("n", "lead_n")).select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct()
-    links = written(_verified(led, lines))
-    joined = connected_components(links).select(F.col("node").alias("key"), "component")
-    # the lead of each word pair has been tried
-    halves = shared.select("gram", "key", "n").join(joined, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    a, b = halves.alias("a"), halves.alias("b")
-    across = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & _near_lengths("a.n", "b.n")).select(
-        F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
-    return connected_components(links.unionByName(_verified(across, lines))).select(F.col("node").alias("key"), "component")
+    return linked_groups(_prefixed(lines, gram_levels(lines)), _near_lengths, lambda pairs: _verified(pairs, lines))
 
 
 def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

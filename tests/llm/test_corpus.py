@@ -290,3 +290,28 @@ def test_pipeline_keeps_columns_and_drops_copies(spark):
         assert kept.count() <= docs.count()
         docs = common.written(kept)
     assert {"size", "target", "taken"} <= set(docs.columns) and docs.count() > 100
+
+
+def test_pipeline_near_copies_against_brute_force(spark):
+    import random
+
+    import corpus_pipeline
+    rnd = random.Random(5)
+    texts = [None, "", "a b", "A  b", "a b c"]
+    for r in spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 200").orderBy("doc_id").limit(60).collect():
+        w = r.text.split()
+        texts.append(r.text)
+        for edits in (1, len(w) // 60, len(w) // 40):
+            v = list(w)
+            for k in rnd.sample(range(len(v)), edits):
+                v[k] = f"new{rnd.randrange(9)}"
+            texts.append(" ".join(v))
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k: k + 5]) for k in range(max(1, len(w) - 4))})
+    label = linked(range(len(sets)), lambda a, b: 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]))
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, extra string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, SF).collect()}
+    assert kept == {k for k in label if label[k] == k} and len(kept) < len(texts) / 2
+    assert corpus_pipeline.drop_near_duplicates(spark, df.limit(0), SF).isEmpty()
