@@ -42,24 +42,38 @@ MARKS = {
     "pagination", "pager", "widget", "widgets", "skip", "complementary", "contentinfo",
 }
 PARTS = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NAMES = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: One attribute: its name, and its value, which is read whole.
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?|\"[^\"]*\"|'[^']*'")
+#: Words that may follow a mark, as in "nav-bar", and words that may go before one, as in "site-footer".
+BOXES = {
+    "area", "bar", "block", "body", "bottom", "box", "button", "buttons", "col", "column", "container", "content", "form", "group", "icons", "inner", "item", "items", "left", "link",
+    "links", "list", "main", "menu", "nav", "outer", "panel", "right", "row", "section", "slot", "top", "unit", "wrap", "wrapper", "zone",
+}
+PLACES = {"bottom", "global", "left", "main", "page", "primary", "right", "secondary", "site", "sub", "top"}
+
+
+def _is_mark(word: str) -> bool:
+    """A mark, or a compound of marks, boxes, places and numbers around one: "comment-12", "cookie-notice" and "top-nav", but not "search-results"."""
+    parts = [x for x in re.split(r"[-_]+", word) if x]
+    if len(parts) == 1:
+        return word in MARKS
+    marks = [x in MARKS for x in parts]
+    return any(marks) and all(m or (x in BOXES or x[0].isdigit()) and any(marks[:k]) or x in PLACES and any(marks[k:]) for k, (x, m) in enumerate(zip(parts, marks)))
 
 
 def _marked(name: str, attributes: str) -> bool:
     if not attributes or name in NEVER or name in VOID:
         return False
-    for m in NAMES.finditer(attributes):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-        if key == "role" and value in ("main", "article"):
-            return False
-        for word in value.split():
-            parts = re.split(r"[-_]+", word)
-            # the word itself, or its first or last part: "comment-list" and "top-nav", but not "has-sidebar-left" or "no-ads-here"
-            if parts[0] in MARKS or len(parts) == 2 and parts[1] in MARKS and parts[0] not in ("with", "has", "no", "without"):
-                return True
-    return False
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(attributes):
+        if m[1]:
+            found.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+    if "hidden" in found or found.get("aria-hidden", "").strip() == "true":
+        return True
+    role = found.get("role", "").split()
+    if "main" in role or "article" in role:
+        return False
+    return any(_is_mark(word) for key in ("class", "id", "role") for word in found.get(key, "").split())
 
 
 def lines_of(html: str) -> list[tuple[str, bool, bool, int]]:

@@ -212,6 +212,16 @@ def test_html(spark):
     assert html_text.extract_main_text(df.limit(0)).isEmpty()
 
 
+def test_html_attributes_are_read_as_pairs():
+    body = "word " * 40
+    for kept in ('style="overflow: hidden"', "style='visibility: hidden; color: red'", 'title="the hidden coast"', 'data-x="a class=ad b"', "title='id=\"ad\"'", 'data-hidden=1',
+                 'class="search-results"', 'id=notice-period', 'class="social-history-article"', 'class="has-sidebar"', 'class=a role=main id=ad', 'class="comment-free zone"'):
+        assert html_text.main_text(f"<div {kept}><p>{body}</p></div>") == body.strip(), kept
+    for gone in ("hidden", 'class=x hidden=""', 'aria-hidden="true"', 'style="overflow: hidden" class="x ad"', 'class="cookie-notice"', "id=comment-list", "class='top-nav'", 'class="nav_bar"', "role=navigation",
+                 'class="site-footer-wrapper"', "id=comment-12", 'class="ad-728x90"'):
+        assert html_text.main_text(f"<div {gone}><p>Buy this.</p></div><p>{body}</p>") == body.strip(), gone
+
+
 def test_mixing(spark, docs):
     out = mixing.mix_sources(docs).collect()
     assert len(out) == 13 and {r.part for r in out} == {"p"}
