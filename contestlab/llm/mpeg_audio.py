@@ -7,6 +7,7 @@ Durations are exact fractions, in samples and rate; seek offsets are the byte of
 
 `store` puts arbitrary bytes into such a stream without loss: silent, protected mono Layer III frames at 48 kHz whose
 main-data room, which silence leaves free, carries the bytes. The bit rate of the last frame is the smallest that holds the rest.
+Where the bytes read like an ID3v1 tag at the end, an empty real one follows them.
 """
 
 from __future__ import annotations
@@ -156,7 +157,8 @@ def store(payload: bytes) -> bytes:
     note = b"\3" + str(len(payload)).encode()
     body = b"TXXX" + struct.pack(">IH", len(note) + 1, 0) + note + b"\0"
     tag = b"ID3\3\0\0" + bytes(len(body) >> 7 * k & 0x7F for k in (3, 2, 1, 0)) + body
-    return tag + _frame(64, table) + b"".join(frames)
+    made = tag + _frame(64, table) + b"".join(frames)
+    return made + b"TAG" + bytes(125) if made[-128: -125] == b"TAG" else made
 
 
 def load(data: bytes, found: dict) -> bytes:

@@ -50,6 +50,15 @@ def test_audio_round_trip_and_resync(spark, docs):
     assert index[0].audio.samples == 6 * 1152 and index[0].audio.hertz == 48000 and len(index[0].audio.seek_offsets) == 6 and index[1].audio is None and index[2].audio.n_frames == 0
 
 
+def test_audio_keeps_a_payload_that_reads_like_a_tag():
+    for size in (64, 128, 192, 640, 937, 1024, 1920):
+        for at in range(max(0, size - 960), size - 2):
+            payload = (b"x" * at + b"TAG").ljust(size, b"y")
+            media = mpeg_audio.store(payload)
+            found = mpeg_audio.parse(media)
+            assert mpeg_audio.load(media, found) == payload and (found["skipped"], found["crc_bad"]) == (0, 0)
+
+
 def slow_fingerprint(text):
     w = (text or "").encode().lower().split()
     sh = [b" ".join(w[k: k + 3]) for k in range(max(1, len(w) - 2))] if w else []
