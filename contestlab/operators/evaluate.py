@@ -30,6 +30,16 @@ def fit_pool(df: DataFrame, grid: DataFrame, part: str, p: str, market: str, hit
     return contest.groupBy(F.col("g.a").alias("a"), F.col("g.b").alias("b")).agg(F.avg("loss").alias("log_loss"))
 
 
+def fit_and_apply_pool(df: DataFrame, grid: DataFrame, part: str, p: str, market: str, hit: str, second: str) -> DataFrame:
+    """The cell of least mean log-loss over the rows where `second` is false (of equals the smallest a, then b), applied to the others.
+
+    One row: a, b, first_loss, second_loss; no row if the first half has none.
+    """
+    best = fit_pool(df.where(~F.col(second)), grid, part, p, market, hit).agg(F.min(F.struct("log_loss", "a", "b")).alias("m")).where("m is not null").select("m.a", "m.b", F.col("m.log_loss").alias("first_loss"))
+    applied = fit_pool(df.where(F.col(second)), best.select("a", "b"), part, p, market, hit)
+    return best.join(applied.select(F.col("log_loss").alias("second_loss")), how="left")
+
+
 def bootstrap_ratio(df: DataFrame, unit: str, num: str, den: str, reps: int) -> DataFrame:
     """`reps` replicates of sum(num) / sum(den) with Poisson(1) weights per unit, drawn from md5(unit:rep).
 
@@ -44,6 +54,14 @@ def bootstrap_ratio(df: DataFrame, unit: str, num: str, den: str, reps: int) ->
     return rows.groupBy("rep").agg((F.sum(F.col("w") * F.col(num)) / F.sum(F.col("w") * F.col(den))).alias("ratio"))
 
 
+def bootstrap_limits(df: DataFrame, unit: str, num: str, den: str, reps: int = 1000) -> DataFrame:
+    """One row: the ratio, its 5, 95, 2.5 and 97.5 percent limits over `reps` replicates, and the share of these over 1."""
+    drawn = bootstrap_ratio(df, unit, num, den, reps).agg(
+        F.percentile("ratio", F.array(*[F.lit(x) for x in (0.05, 0.95, 0.025, 0.975)])).alias("q"), F.avg((F.col("ratio") > 1).cast("double")).alias("p_over_1"))
+    return df.agg((F.sum(num) / F.sum(den)).alias("ratio")).join(drawn).select(
+        "ratio", *[F.get("q", F.lit(k)).alias(c) for k, c in enumerate(("low_5", "high_95", "low_2_5", "high_97_5"))], "p_over_1")
+
+
 def holm(df: DataFrame, p: str, name: str) -> DataFrame:
     """Holm-adjusted p-values; one row a hypothesis."""
     w = Window.orderBy(p, name)

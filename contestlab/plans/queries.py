@@ -432,6 +432,21 @@ def e7_bootstrap_ratio(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.bootstrap_ratio(u, "contest", "num", "den", 20).withColumn("ratio", R("ratio"))
 
 
+@query()
+def e2_fit_pool_halves(spark: SparkSession, d: str) -> DataFrame:
+    """The reference's whole grid (a 0.5 to 3.0, b 0 to 1.5 by 0.1) on the first half of the days, its best cell on the second."""
+    e = evaluate.date_blocks(tuples.implied(entrants(spark, d), "contest", "odds"), "day", 2).withColumns({"hit": F.col("finish") == 1, "second": F.col("block") == 2})
+    grid = spark.range(5, 31).select((F.col("id") / 10).alias("a"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda x: x / 10)).alias("b"))
+    return evaluate.fit_and_apply_pool(e, grid, "contest", "p", "market", "hit", "second").select("a", "b", R("first_loss").alias("first_loss"), R("second_loss").alias("second_loss"))
+
+
+@query()
+def e7_bootstrap_limits(spark: SparkSession, d: str) -> DataFrame:
+    u = entrants(spark, d).groupBy("contest").agg(F.max(F.when(F.col("finish") == 1, F.col("odds"))).alias("num"), F.lit(1.0).alias("den"))
+    found = evaluate.bootstrap_limits(u, "contest", "num", "den", 1000)
+    return found.select(*[R(c).alias(c) for c in found.columns])
+
+
 @query(""", t as (select actor, count(*) as n, round(exp(-sum((finish = 1)::int)), 9) as pv from ent group by actor), k as (select *, least((count(*) over () - row_number() over (order by pv, actor) + 1) * pv, 1.0) as raw, row_number() over (order by pv, actor) as i from t)
 select actor, pv, round(max(raw) over (order by i), 9) as p_holm from k""", ent=True)
 def e10_holm(spark: SparkSession, d: str) -> DataFrame:

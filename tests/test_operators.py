@@ -84,3 +84,41 @@ def test_query_matches_sql(spark, name):
     df = registry.QUERIES[name](spark, SF)
     assert sorted(df.columns) == sorted(cols)
     assert sorted(map(str, [tuple(r[c] for c in sorted(cols)) for r in df.collect()])) == want
+
+
+def test_bootstrap_limits_against_brute_force(spark):
+    import hashlib
+
+    import numpy as np
+    data = [(k, 0.4 + 0.05137 * (k % 29) + 0.000271 * k * k, 1.0) for k in range(40)]  # no replicate is 1 exactly
+    draw = np.array([[int(hashlib.md5(f"{k}:{rep}".encode()).hexdigest()[:8], 16) / 2 ** 32 for k, _, _ in data] for rep in range(1, 1001)])
+    cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
+    w = sum((draw >= c).astype(int) for c in cuts)
+    num = np.array([x for _, x, _ in data])
+    ratio = w @ num / w.sum(axis=1)
+    want = [num.mean(), *np.percentile(ratio, [5, 95, 2.5, 97.5]), (ratio > 1).mean()]
+    got = evaluate.bootstrap_limits(spark.createDataFrame(data, "unit long, num double, den double"), "unit", "num", "den").first()
+    assert list(got) == pytest.approx(want, abs=1e-9) and 0 < got.p_over_1 < 1
+    assert registry.QUERIES["e7_bootstrap_limits"](spark, SF).count() == 1
+
+
+def test_pool_is_fitted_on_the_first_half_and_applied_to_the_second(spark):
+    import random
+    from math import exp, log
+    rnd = random.Random(2)
+    data = []
+    for c in range(24):
+        raw, odd = [rnd.random() for _ in range(4)], [rnd.random() for _ in range(4)]
+        data += [(c, raw[k] / sum(raw), odd[k] / sum(odd), k == c % 4, c >= 12) for k in range(4)]
+    def loss(a, b, half):
+        total = 0.0
+        for c in range(12 * half, 12 * half + 12):
+            raw = [(exp(a * log(p) + b * log(m)), y) for i, p, m, y, _ in data if i == c]
+            total -= log(next(x for x, y in raw if y) / sum(x for x, _ in raw))
+        return total / 12
+    cells = [(a / 10, b / 10) for a in range(5, 31) for b in range(16)]
+    best = min((round(loss(a, b, 0), 12), a, b) for a, b in cells)
+    df = spark.createDataFrame(data, "contest long, p double, market double, hit boolean, second boolean")
+    got = evaluate.fit_and_apply_pool(df, spark.createDataFrame(cells, "a double, b double"), "contest", "p", "market", "hit", "second").first()
+    assert (got.a, got.b) == best[1:] and [got.first_loss, got.second_loss] == pytest.approx([best[0], loss(got.a, got.b, 1)], abs=1e-9)
+    assert registry.QUERIES["e2_fit_pool_halves"](spark, SF).count() == 1
