@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,27 +19,54 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir; a temporary one of our own only where that is unset."""
+    """The folder that every executor sees: spark.checkpoint.dir; a temporary one of our own where that is unset and all runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="spark-")
     return _own_dirs[app]
 
 
-def written(df: DataFrame, dictionary: bool = True) -> DataFrame:
+#: Shuffle files go when a written table is complete: nothing reads them again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, dictionary: bool = True, folder: str = "", codec: str = "snappy") -> DataFrame:
     """Write `df` once to the shared folder and read it back: cuts the lineage and survives the loss of executors.
 
-    The files go when the driver's JVM ends. Hashes are better written without a dictionary.
+    The files go when the driver's JVM ends, or with their `scratch` folder. Hashes are better written without a dictionary.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
-    df.write.option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
+    path = f"{folder or shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("parquet.enable.dictionary", str(dictionary).lower()).option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    if not folder:
+        _on_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _on_exit(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
+    """A `written` whose tables are deleted at the end of the block; what is needed after it must be written outside."""
+    folder = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    try:
+        yield partial(written, folder=folder)
+    finally:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -55,18 +84,18 @@ def only(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in cols])
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, keep: Callable[..., DataFrame] = written) -> DataFrame:
     """(node, component) for every node of the undirected `edges` (a, b): component is the smallest node reachable.
 
     Alternates large-star and small-star rounds (Kiveris et al., "Connected Components in MapReduce and Beyond", 2014).
     Each is a grouped minimum joined back on its key, so that no node's neighbours ever meet in one task's memory; each
-    round is written to the shared folder. Null ends and self-loops are ignored. No edges: an empty result.
+    round is written to the shared folder by `keep`. Null ends and self-loops are ignored. No edges: an empty result.
     """
-    now = written(
+    now = keep(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .where("a is not null and b is not null and a <> b").distinct()
     )
-    for _ in range(most_rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -76,32 +105,37 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
                 F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
             )).alias("e")).select("e.*").where("u <> v").distinct()
         )
-        now = written(small)
+        now = keep(small)
         # a star forest: every node has one parent, and no parent has one itself
         tangled = now.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u").limit(1).unionByName(
             now.select("u").join(now.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1))
         if tangled.isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-    raise RuntimeError("connected components did not settle")
 
 
-def linked_groups(prefixed: DataFrame, may: Callable[[str, str], Column], verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked_groups(prefixed: DataFrame, sets: DataFrame, may: Callable[[str, str], Column], verified: Callable[[DataFrame, DataFrame], DataFrame], keep: Callable[..., DataFrame]) -> DataFrame:
     """(key, component): keys that are linked to others, with the smallest key of their group.
 
-    Candidates are pairs of keys that share a `gram` of `prefixed` (gram, key, n) and whose sizes pass `may`, given two columns' names;
-    `verified` takes pairs (a, b) and gives those that are links. Each key is first tried with the first key under each of its
-    grams, then with all others that it isn't connected to.
+    Candidates are pairs of keys that share a `gram` of `prefixed` (gram, key) and whose sizes, `n` in `sets`, pass `may`, given two columns'
+    names. `verified` takes pairs (a, b) and the rows of `sets` (key, n, more; one a key) that candidates need, and gives the pairs that are
+    links. Each key is first tried with the first key under each of its grams, then with all others that it isn't connected to. Tables
+    are written by `keep`.
     """
-    under = Window.partitionBy("gram").orderBy("key")
-    shared = prefixed.select("*", F.first("key").over(under).alias("lead"), F.first("n").over(under).alias("lead_n"), F.lag("key").over(under).alias("last"))
-    shared = written(shared.where("key <> lead and key <> last").drop("last"), dictionary=False)
-    led = shared.where(may("n", "lead_n")).select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct()
-    links = written(verified(led))
-    joined = connected_components(links).select(F.col("node").alias("key"), "component")
+    lead = F.first("key").over(Window.partitionBy("gram").orderBy("key"))
+    shared = keep(prefixed.select("*", lead.alias("lead")).where("key <> lead"), dictionary=False)
+    members = keep(sets.join(shared.select(F.explode(F.array("lead", "key")).alias("key")).distinct(), "key", "left_semi"), dictionary=False)
+    sized = members.select("key", "n")
+
+    def sizes_pass(pairs: DataFrame) -> DataFrame:
+        return pairs.join(sized.toDF("a", "a_n"), "a").join(sized.toDF("b", "b_n"), "b").where(may("a_n", "b_n")).select("a", "b")
+
+    links = keep(verified(sizes_pass(shared.select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct()), members))
+    joined = connected_components(links, keep).select(F.col("node").alias("key"), "component")
     # the lead of each gram has been tried
-    halves = shared.select("gram", "key", "n").join(joined, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    halves = shared.select("gram", "key").join(sized, "key").join(joined, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    halves = keep(halves, dictionary=False)
     a, b = halves.alias("a"), halves.alias("b")
     across = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & may("a.n", "b.n")).select(
         F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
-    return connected_components(links.unionByName(verified(across))).select(F.col("node").alias("key"), "component")
+    return connected_components(links.unionByName(verified(across, members)), keep).select(F.col("node").alias("key"), "component")

@@ -1,43 +1,64 @@
 """Fuzzy line deduplication (operator 10), in DataFrame functions only.
 
-Lines are normalised to their lower-cased words. They are split once, into a written table of 32-bit word hashes that all later
-steps read. Equal lines fold into one by the hash of their words. Lines of edit similarity 0.8 or more, over words, are linked, and
-all such pairs are found: with L words in the longer line at most E = floor(0.2 L) edits are allowed, each of which touches two
-pairs of neighbouring words at most, so the lines share all but 2 E of these; if each line's pairs are put in one order for all, both
-lines have one in common among their first few (prefix filter, `_prefixed`). The order puts rare pairs first, by counts in hash
-buckets; it decides the cost and never the result. Lines under such a common pair are tested by length, and then by edit distance.
-So that a crowd of near copies does not make all its pairs, each line is first linked to the first
-line under each of its word pairs; then all lines are compared that are not yet connected. One occurrence of each connected group
-stays: the first by document id and line number.
+Lines are normalised to their lower-cased words, told by 28-bit hashes, and equal ones fold into one by a 64-bit hash before anything
+else is made of them. Lines of edit similarity 0.8 or more, over words, are linked, and all such pairs are found: with L words in the
+longer line at most E = floor(0.2 L) edits are allowed, each of which touches three runs of three words at most, so the lines share
+all but 3 E of these; if each line's runs are put in one order for all, both lines have one in common among their first few (prefix
+filter, `_prefixed`). SimHash can't do that: lines at 0.8 differ in about 13 of 64 bits, which no block index finds cheaply. The order
+puts runs of rare words first, as a sample counts them; it decides the cost and never the result. Lines under a common
+run are tested by length, by the words that one has and the other lacks, and then by edit distance. So that a crowd of near copies
+does not make all its pairs, each line is first linked to the first line under each of its runs; then all lines are compared
+that are not yet connected. One occurrence of each connected group stays: the first by document id and line number.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import linked_groups, written
+from .common import linked_groups, scratch, written
 
 SIMILARITY = 0.8
 #: A line of four words may be near one of five. Shorter lines are compared by equality alone.
 LEAST_WORDS = 4
-#: Hash buckets in which word pairs are counted, and about how many are counted.
-BUCKETS, COUNTED = 1 << 18, 2_000_000
-#: Keys of 8 bytes that may be broadcast to pick the candidates' words; more of them are joined by a shuffle.
-BROADCAST_KEYS = 1_000_000
+#: Words are counted in so many hash buckets, about so many of them.
+BUCKETS, COUNTED = 1 << 16, 2_000_000
+#: A word's code: its hash, and in the upper four bits how common its bucket is (-8 to 7), so that rare words have low codes.
+HASH = (1 << 28) - 1
 #: Blanks, control characters and ASCII punctuation part the words of a line.
 PARTS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def lines_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, version, line_no, key, words, row): a row for each line, with its words' hashes (none: a blank line); version tells apart texts under one id."""
+def _found(line: Column) -> Column:
+    """The lower-cased words of a line."""
+    return F.array_remove(F.split(F.lower(line), PARTS), "")
+
+
+def word_levels(docs: DataFrame, text: str) -> Column:
+    """How common the words of each hash bucket are, counted in a sample of the texts, as an array: one step for each doubling."""
+    body = F.col(f"`{text}`")
+    total = docs.agg(F.sum(F.octet_length(body)).alias("n")).first().n or 0
+    sample = docs.where(F.pmod(F.xxhash64(body), F.lit(1 + total // (6 * COUNTED))) == 0).select(F.explode(_found(body)).alias("word"))
+    levels = [-8] * BUCKETS
+    for r in sample.groupBy(F.hash("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).count().collect():
+        levels[r.bucket] = min(7, int(log2(r["count"])) - 8)
+    return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<int>")
+
+
+def lines_of(docs: DataFrame, levels: Column, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, version, line_no, key, words): a row for each line, with its words' codes (none: a blank line); version tells apart texts under one id."""
     body = F.col(f"`{text}`")
-    words = F.array_remove(F.split(F.lower(F.col("line")), PARTS), "")
+
+    def code(word: Column) -> Column:
+        level = F.get(levels, F.hash(word).bitwiseAND(F.lit(BUCKETS - 1)))
+        return F.shiftleft(level, 28).bitwiseOR(F.hash(word).bitwiseAND(F.lit(HASH)))
+
     return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(body).alias("version"), F.posexplode(F.split(body, "\n")).alias("line_no", "line")).select(
-        "doc_id", "version", "line_no", words.alias("found")).select(
-        "doc_id", "version", "line_no", F.xxhash64("found").alias("key"), F.transform("found", lambda w: F.hash(w)).alias("words"), F.monotonically_increasing_id().alias("row"))
+        "doc_id", "version", "line_no", _found(F.col("line")).alias("found")).select(
+        "doc_id", "version", "line_no", F.xxhash64("found").alias("key"), F.transform("found", code).alias("words"))
 
 
 def most_edits(n: Column, least: float = SIMILARITY) -> Column:
@@ -45,75 +66,85 @@ def most_edits(n: Column, least: float = SIMILARITY) -> Column:
     return F.floor(n * (1 - least) + 1e-9).cast("int")
 
 
-def _grams(words: str) -> Column:
-    """56-bit hashes of the pairs of neighbouring words."""
-    n = F.size(words)
-    return F.transform(F.slice(words, F.lit(1), n - 1), lambda w, k: F.xxhash64(w, F.get(words, k + 1)).bitwiseAND(F.lit((1 << 56) - 1)))
+def _first_runs(words: Column, run: int) -> Column:
+    """The first runs of `run` words, 2 or 3, in order of (level, hash); as many as similar lines can't all miss.
 
+    Lines of n and m >= n words share m - run + 1 - run E(m) of them, so n - m + run E(m) + 1 of the shorter line's are enough, which is
+    most for m = n or n + 1.
+    """
+    n = F.size(words)
+    part = lambda k: F.slice(words, F.lit(k), n - run + 1)
+    # two codes side by side; then the sum of the levels above 57 bits of a mixed hash
+    runs = F.zip_with(part(1), part(2), lambda x, y: F.shiftleft(x.cast("long"), 32).bitwiseOR(y.bitwiseAND(F.lit(0xFFFFFFFF))))
+    level = lambda xy: F.shiftright(xy, 60) + F.shiftright(F.shiftleft(xy, 32), 60)
+    mixed = lambda xy, high: F.shiftleft(high, 57).bitwiseOR(xy.bitwiseXOR(F.shiftright(xy, 15)).bitwiseAND(F.lit((1 << 57) - 1)))
+    if run == 3:
+        runs = F.zip_with(runs, part(3), lambda xy, z: mixed(xy.bitwiseXOR(F.shiftleft(z.cast("long"), 14)), level(xy) + F.shiftright(z, 28)))
+    else:
+        runs = F.transform(runs, lambda xy: mixed(xy, level(xy)))
+    return F.array_distinct(F.slice(F.sort_array(runs), F.lit(1), F.greatest(run * most_edits(n), run * most_edits(n + 1) - 1) + 1))
 
-def gram_levels(lines: DataFrame) -> bytes:
-    """How common the word pairs of each hash bucket are, as one byte a bucket: four steps for each doubling of the count."""
-    total = lines.agg(F.sum(F.size("words")).alias("n")).first().n or 0
-    counted = lines.where(F.pmod("key", F.lit(1 + total // COUNTED)) == 0).select(F.explode(_grams("words")).alias("gram"))
-    levels = bytearray(BUCKETS)
-    for r in counted.groupBy(F.col("gram").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).count().where("count > 1").collect():
-        levels[r.bucket] = min(127, int(4 * log2(r["count"])))
-    return bytes(levels)
 
+def _prefixed(lines: DataFrame) -> DataFrame:
+    """(gram, key): each line once for each of its first runs: of two words in lines up to six, which may have no three left, of three from six on."""
+    words, n = F.col("words"), F.size("words")
+    first = F.when(n > 6, _first_runs(words, 3)).when(n == 6, F.concat(_first_runs(words, 2), _first_runs(words, 3))).otherwise(_first_runs(words, 2))
+    return lines.select("key", F.explode(first).alias("gram")).select("gram", "key")
 
-def _prefixed(lines: DataFrame, levels: bytes) -> DataFrame:
-    """(gram, key, n): each line once for each of its first word pairs in order of (level, hash); as many as similar lines can't all miss.
 
-    Lines of n and m >= n words share m - 1 - 2 E(m) pairs, so n - m + 2 E(m) + 1 of the shorter line's n - 1 are enough, which is
-    most for m = n or n + 1.
-    """
-    level = lambda g: F.ascii(F.substring(F.lit(levels), g.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1)).cast("string"))
-    order = F.array_sort(F.transform(_grams("words"), lambda g: F.shiftleft(level(g).cast("long"), 56).bitwiseOR(g)))
-    n = F.size("words")
-    size = F.greatest(2 * most_edits(n), 2 * most_edits(n + 1) - 1) + 1
-    return lines.select("key", n.alias("n"), F.explode(F.array_distinct(F.slice(order, F.lit(1), size))).alias("gram")).select("gram", "key", "n")
+def _within(a: Column, b: Column, alphabet: Callable[[Column], Column], most: Column) -> Column:
+    """Whether arrays of words are at most `most` edits apart; `alphabet` gives each word a number under 55,000, for a character below the surrogates."""
+    one, two = (F.decode(F.unhex(F.array_join(F.transform(x, lambda w: F.lpad(F.hex(alphabet(w) + 256), 4, "0")), "")), "UTF-16BE") for x in (a, b))
+    return F.call_function("levenshtein", one, two, most) >= 0
 
 
-def _near_lengths(a: str, b: str) -> Column:
+def near_lengths(a: str, b: str) -> Column:
     return F.abs(F.col(a) - F.col(b)) <= most_edits(F.greatest(a, b))
 
 
-def letters(words: Column) -> Column:
-    """One character for each word hash, below the surrogates, so that edits between strings are edits between words."""
-    return F.decode(F.unhex(F.array_join(F.transform(words, lambda w: F.lpad(F.hex(F.pmod(w, F.lit(55000)) + 256), 4, "0")), "")), "UTF-16BE")
+def may_be_similar(a: Column, b: Column, least: float = SIMILARITY) -> Column:
+    """False only for arrays of word codes that can't be similar: every edit gives a line at most one word that the other lacks."""
+    most = most_edits(F.greatest(F.size(a), F.size(b)), least)
+    return (F.size(F.array_except(a, b)) <= most) & (F.size(F.array_except(b, a)) <= most)
+
 
+def similar_pairs(near: DataFrame, keep: Callable[..., DataFrame], least: float = SIMILARITY) -> DataFrame:
+    """The rows of `near` (a_words, b_words: arrays of word codes) with 1 - edits / longer length of `least` or more.
 
-def similar(a: Column, b: Column, least: float = SIMILARITY) -> Column:
-    """Whether 1 - edits / longer length is at least `least`, for strings of `letters`."""
-    most = most_edits(F.greatest(F.length(a), F.length(b)), least)
-    return (F.abs(F.length(a) - F.length(b)) <= most) & (F.call_function("levenshtein", a, b, most) >= 0)
+    The edit distance over words' remainders by 55,000 is a lower bound; where different words of the two lines share a remainder,
+    their ranks among the lines' words are compared as well (not where these are more than 55,000).
+    """
+    a, b = F.col("a_words"), F.col("b_words")
+    most = most_edits(F.greatest(F.size(a), F.size(b)), least)
+    small, every = lambda w: F.pmod(w, F.lit(55000)), F.array_union(a, b)
+    clash = (F.size(F.array_distinct(F.transform(every, small))) < F.size(every)) & (F.size(every) < 55000)
+    near = keep(near.where(_within(a, b, small, most)).withColumn("every", F.when(clash, every)), dictionary=False)
+    return near.where(F.col("every").isNull() | _within(a, b, lambda w: F.array_position("every", w), most)).drop("every")
 
 
-def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The pairs of line keys whose lines are similar."""
-    pairs = written(pairs, dictionary=False)
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), dictionary=False)
-    few = wanted.count() <= BROADCAST_KEYS
-    words = lines.join(F.broadcast(wanted) if few else wanted, "key", "left_semi").select("key", "words").dropDuplicates(["key"])
-    crowd = written(words.select("key", letters(F.col("words")).alias("letters")))
-    one, two = (crowd.select(F.col("key").alias(k), F.col("letters").alias(f"{k}_letters")) for k in "ab")
-    return pairs.join(one, "a").join(two, "b").where(similar(F.col("a_letters"), F.col("b_letters"))).select("a", "b")
+def line_groups(lines: DataFrame, keep: Callable[..., DataFrame]) -> DataFrame:
+    """(key, component): keys of the lines (key, words; each once) that are linked to others, with the smallest key of their group."""
+    lines = lines.where(F.size("words") >= LEAST_WORDS).select("key", F.size("words").alias("n"), "words")
 
+    def verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
+        one, two = (members.select(F.col("key").alias(k), F.col("words").alias(f"{k}_words")) for k in "ab")
+        near = pairs.join(one, "a").join(two, "b").where(may_be_similar(F.col("a_words"), F.col("b_words")))
+        return similar_pairs(near, keep).select("a", "b")
 
-def line_groups(lines: DataFrame) -> DataFrame:
-    """(key, component): keys of lines that are linked to others, with the smallest key of their group."""
-    lines = lines.where(F.size("words") >= LEAST_WORDS)
-    return linked_groups(_prefixed(lines, gram_levels(lines)), _near_lengths, lambda pairs: _verified(pairs, lines))
+    return linked_groups(_prefixed(lines), lines, near_lengths, verified, keep)
 
 
-def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, version, gone): the numbers of the lines of each text that repeat an earlier line, equal or nearly so."""
-    lines = written(lines_of(docs, text, doc_id), dictionary=False).where(F.size("words") > 0)
-    placed = lines.select("doc_id", "version", "line_no", "key").join(line_groups(lines), "key", "left").select(
-        "doc_id", "version", "line_no", F.coalesce("component", "key").alias("part"))
-    placed = written(placed)
-    first = placed.groupBy("part").agg(F.min(F.struct("doc_id", "version", "line_no")).alias("first"))
-    return placed.join(first, "part").where(~F.struct("doc_id", "version", "line_no").eqNullSafe(F.col("first"))).groupBy("doc_id", "version").agg(F.collect_set("line_no").alias("gone"))
+def kept_lines(docs: DataFrame, keep: Callable[..., DataFrame], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, version, kept): the numbers of the lines of each text that repeat no earlier line, neither equal nor nearly so."""
+    lines = keep(lines_of(docs, word_levels(docs, text), text, doc_id), dictionary=False, codec="zstd")
+    folded = keep(lines.select("key", "words").where(F.size("words") > 0).dropDuplicates(["key"]), dictionary=False, codec="zstd")
+    groups = keep(line_groups(folded, keep))
+    at = ["doc_id", "version", "line_no"]
+    # blank lines stay, each by itself
+    blank = lines.where(F.size("words") == 0).select(*at)
+    placed = lines.where(F.size("words") > 0).select(*at, "key").join(groups, "key", "left").select(*at, F.coalesce("component", "key").alias("part"))
+    first = placed.groupBy("part").agg(F.min(F.struct(*at)).alias("first")).select("first.*")
+    return keep(first.unionByName(blank).groupBy("doc_id", "version").agg(F.collect_set("line_no").alias("kept")))
 
 
 def drop_repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -124,12 +155,16 @@ def drop_repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     equal or linked lines the first by (doc_id, version, line number) stays, a null id before all others. Repeated rows (same
     id and text) are one document: all of them keep and lose the same lines. An empty table gives an empty result.
     """
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     body = F.col(f"`{text}`")
-    gone = repeated_lines(docs, text, doc_id).select(F.col("doc_id").alias("g_id"), F.col("version").alias("g_version"), "gone")
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"in_{k}") for k, c in enumerate(kept)], F.col(f"`{doc_id}`").alias("r_id"), F.xxhash64(body).alias("r_version"), F.split(body, "\n").alias("lines"))
-    rows = rows.join(gone, (F.col("r_version") == F.col("g_version")) & F.col("r_id").eqNullSafe(F.col("g_id")), "left")
-    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
-    new = F.when(F.col("gone").isNull(), F.array_join("lines", "\n")).otherwise(F.array_join(F.transform(left, lambda k: F.get("lines", k)), "\n"))
-    return rows.select(*[(new if c == text else F.col(f"in_{k}")).alias(c) for k, c in enumerate(kept)],
-                       F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    carried = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    with scratch(docs.sparkSession) as keep:
+        kept = written(kept_lines(docs, keep, text, doc_id)).select(F.col("doc_id").alias("k_id"), F.col("version").alias("k_version"), "kept")
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"in_{k}") for k, c in enumerate(carried)], F.col(f"`{doc_id}`").alias("r_id"), F.xxhash64(body).alias("r_version"), body.alias("body"))
+    rows = rows.join(kept, (F.col("r_version") == F.col("k_version")) & F.col("r_id").eqNullSafe(F.col("k_id")), "left")
+    n = F.when(F.col("body").isNull(), 0).otherwise(F.length("body") - F.length(F.replace("body", F.lit("\n"))) + 1)
+    left = F.coalesce(F.size("kept"), F.lit(0))
+    rows = rows.withColumn("n", n).withColumn("left", F.when(F.col("n") == 0, 0).otherwise(left))
+    new = F.when(F.col("n") == F.col("left"), F.col("body")).otherwise(
+        F.array_join(F.transform(F.sort_array("kept"), lambda k: F.get(F.split("body", "\n"), k)), "\n"))
+    new = F.when(F.col("body").isNotNull(), F.coalesce(new, F.lit("")))
+    return rows.select(*[(new if c == text else F.col(f"in_{k}")).alias(c) for k, c in enumerate(carried)], F.col("n").cast("long").alias("n_lines"), (F.col("n") - F.col("left")).cast("long").alias("n_removed"))
