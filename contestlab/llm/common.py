@@ -79,6 +79,11 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def private_name(what: str) -> str:
+    """A column name that no input has."""
+    return f"{what}_{uuid.uuid4().hex}"
+
+
 def only(df: DataFrame, *cols: str) -> DataFrame:
     """The named columns, and nothing else that the input may carry."""
     return df.select(*[F.col(f"`{c}`") for c in cols])
@@ -114,28 +119,28 @@ def connected_components(edges: DataFrame, keep: Callable[..., DataFrame] = writ
                 now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def linked_groups(prefixed: DataFrame, sets: DataFrame, may: Callable[[str, str], Column], verified: Callable[[DataFrame, DataFrame], DataFrame], keep: Callable[..., DataFrame]) -> DataFrame:
+def linked_groups(prefixed: DataFrame, sets: DataFrame, sketched: Callable[[DataFrame], DataFrame], may: Callable[[Column, Column], Column],
+                  verified: Callable[[DataFrame, DataFrame], DataFrame], keep: Callable[..., DataFrame]) -> DataFrame:
     """(key, component): keys that are linked to others, with the smallest key of their group.
 
-    Candidates are pairs of keys that share a `gram` of `prefixed` (gram, key) and whose sizes, `n` in `sets`, pass `may`, given two columns'
-    names. `verified` takes pairs (a, b) and the rows of `sets` (key, n, more; one a key) that candidates need, and gives the pairs that are
-    links. Each key is first tried with the first key under each of its grams, then with all others that it isn't connected to. Tables
-    are written by `keep`.
+    Candidates are pairs of keys that share a `gram` of `prefixed` (gram, key) and whose sketches pass `may`, which is false only for pairs
+    that are no links. `sketched` takes the rows of `sets` (one a key) that candidates need and gives (key, sketch); `verified` takes pairs
+    (a, b) and the same rows, and gives the pairs that are links. Each key is first tried with the first key under each of its
+    grams, then with all others that it isn't connected to; sketches are compared where two keys meet, so that only likely pairs are
+    written. Tables are written by `keep`.
     """
     lead = F.first("key").over(Window.partitionBy("gram").orderBy("key"))
     shared = keep(prefixed.select("*", lead.alias("lead")).where("key <> lead"), dictionary=False)
     members = keep(sets.join(shared.select(F.explode(F.array("lead", "key")).alias("key")).distinct(), "key", "left_semi"), dictionary=False)
-    sized = members.select("key", "n")
-
-    def sizes_pass(pairs: DataFrame) -> DataFrame:
-        return pairs.join(sized.toDF("a", "a_n"), "a").join(sized.toDF("b", "b_n"), "b").where(may("a_n", "b_n")).select("a", "b")
-
-    links = keep(verified(sizes_pass(shared.select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct()), members))
+    sketches = keep(sketched(members), dictionary=False)
+    led = shared.select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct()
+    led = led.join(sketches.toDF("a", "a_sketch"), "a").join(sketches.toDF("b", "b_sketch"), "b").where(may(F.col("a_sketch"), F.col("b_sketch"))).select("a", "b")
+    links = keep(verified(led, members))
     joined = connected_components(links, keep).select(F.col("node").alias("key"), "component")
     # the lead of each gram has been tried
-    halves = shared.select("gram", "key").join(sized, "key").join(joined, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    halves = shared.select("gram", "key").join(sketches.join(joined, "key", "left").withColumn("component", F.coalesce("component", "key")), "key")
     halves = keep(halves, dictionary=False)
     a, b = halves.alias("a"), halves.alias("b")
-    across = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & may("a.n", "b.n")).select(
+    across = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & may(F.col("a.sketch"), F.col("b.sketch"))).select(
         F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
     return connected_components(links.unionByName(verified(across, members)), keep).select(F.col("node").alias("key"), "component")

@@ -3,7 +3,7 @@
 The symbols are words. The patterns are the benchmark's 13-word windows; a shorter item is one pattern of its own length, and each
 length has its own machine, so that one short item does not shorten every shift. A machine holds, for blocks of two words, how
 far the search may jump (a block that no pattern holds lets it jump m - 1 words), and buckets of patterns by their last block.
-Where the shift is 0 the bucket's patterns are compared word by word.
+Where the shift is 0 the bucket's patterns, told apart by a hash, are compared word by word. All tables are flat arrays.
 """
 
 from __future__ import annotations
@@ -30,47 +30,85 @@ def words_of(data: bytes | None) -> list[bytes]:
     return (data or b"").translate(WORD_BYTES).split()
 
 
-def machines(items: list[tuple[str, bytes]], window: int = WINDOW) -> list[tuple[int, dict, dict]]:
-    """(m, shifts, buckets) for each pattern length m: shifts by block, buckets {last block: {pattern: items}}."""
-    patterns: dict[int, dict[tuple, set[str]]] = {}
-    for item, data in items:
+def machines(items: list[tuple[str | None, bytes]], window: int = WINDOW) -> dict:
+    """The search's tables over `items` (id, text): plain arrays of about 30 bytes a benchmark word, and a dict of its distinct words.
+
+    For each pattern length m: the blocks (pairs of word numbers; one word where m is 1), sorted, with their shifts, and the patterns,
+    sorted by last block and hash, as offsets into the words of all items in a row.
+    """
+    number: dict[bytes, int] = {}
+    ids, starts, names, offsets, blocks, shifts = [], [0], [], {}, {}, {}
+    for name, data in items:
         words = words_of(data)
-        for k in range(max(1, len(words) - window + 1) if words else 0):
-            p = tuple(words[k: k + window])
-            patterns.setdefault(len(p), {}).setdefault(p, set()).add(item)
-    built = []
-    for m, found in sorted(patterns.items()):
-        size = min(2, m)
-        shifts, buckets = {}, {}
-        for p, own in found.items():
-            for j in range(size, m + 1):
-                block = p[j - size: j] if size > 1 else p[j - 1]
-                shifts[block] = min(shifts.get(block, m), m - j)
-            buckets.setdefault(p[m - size:] if size > 1 else p[m - 1], {})[p] = own
-        built.append((m, shifts, buckets))
+        n, m = len(words), min(len(words), window)
+        if not n:
+            continue
+        own = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
+        offsets.setdefault(m, []).append(starts[-1] + np.arange(n - m + 1))
+        blocks.setdefault(m, []).append(own if m == 1 else own[:-1] << 32 | own[1:])
+        shifts.setdefault(m, []).append(np.maximum(0, m - min(2, m) - np.arange(n if m == 1 else n - 1)))
+        ids.append(own)
+        starts.append(starts[-1] + n)
+        names.append(name)
+    words = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+    built = {"number": number, "words": words.astype(np.int32), "starts": np.array(starts), "names": names, "by_length": []}
+    for m in sorted(offsets):
+        block, shift = np.concatenate(blocks[m]), np.concatenate(shifts[m])
+        order = np.lexsort((shift, block))
+        block, shift = block[order], shift[order]
+        first = np.append(True, block[1:] != block[:-1])
+        block, shift, at = block[first], shift[first].astype(np.int32), np.concatenate(offsets[m])
+        last = words[at] if m == 1 else words[at + m - 2] << 32 | words[at + m - 1]
+        key = _keys(np.searchsorted(block, last), _hashes(words, at, m))
+        order = np.argsort(key, kind="stable")
+        built["by_length"].append((m, block, shift, key[order], at[order]))
     return built
 
 
-def occurrences(words: list[bytes], built: list[tuple[int, dict, dict]]) -> list[tuple[int, int, set[str]]]:
-    """(start, length, items) of every pattern occurrence."""
-    found = []
-    for m, shifts, buckets in built:
-        size, n, at = min(2, m), len(words), m
-        jump, get = m - size + 1, shifts.get
-        while at <= n:
-            block = (words[at - 2], words[at - 1]) if size > 1 else words[at - 1]
-            step = get(block, jump)
-            if step:
-                at += step
-                continue
-            own = buckets[block].get(tuple(words[at - m: at]))
-            if own:
-                found.append((at - m, m, own))
-            at += 1
-    return found
-
-
-def _search(held, keep_spans: bool):
+def _hashes(words: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
+    """A hash of the m words from each position on."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(m):
+        out = (out + words[at + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return out
+
+
+def _keys(block: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """The place of a pattern's bucket and 32 bits of its hash in one number."""
+    return block.astype(np.uint64) << np.uint64(32) | hashed >> np.uint64(32)
+
+
+def occurrences(found: list[bytes], built: dict) -> list[tuple[int, int, set[str]]]:
+    """(start, length, items) of every pattern occurrence among the words of a document."""
+    get, out = built["number"].get, []
+    doc = np.array([get(w, -1) for w in found], np.int64)
+    n, words = len(doc), built["words"]
+    for m, block, shift, keys, at in built["by_length"]:
+        size = min(2, m)
+        if n < m:
+            continue
+        # a word that no pattern holds makes a negative block, or one that is not found
+        own = doc if size == 1 else np.where((doc[:-1] < 0) | (doc[1:] < 0), -1, doc[:-1] << 32 | doc[1:])
+        place = np.minimum(np.searchsorted(block, own), len(block) - 1)
+        jump = np.where(block[place] == own, shift[place], m - size + 1)
+        if jump[m - size:].all():
+            continue
+        steps, ends, end = jump.tolist(), [], m
+        while end <= n:
+            step = steps[end - size]
+            if not step:
+                ends.append(end)
+            end += step or 1
+        start = np.array(ends, np.int64) - m
+        key = _keys(place[start + m - size], _hashes(doc, start, m))
+        for a, low, high in zip(start.tolist(), np.searchsorted(keys, key).tolist(), np.searchsorted(keys, key, "right").tolist()):
+            same = {int(np.searchsorted(built["starts"], p, "right")) - 1 for p in at[low:high].tolist() if np.array_equal(words[p: p + m], doc[a: a + m])}
+            if same:
+                out.append((a, m, {built["names"][k] for k in same}))
+    return out
+
+
+def _search(held):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         built = held.value
         for frame in frames:
@@ -88,7 +126,7 @@ def _search(held, keep_spans: bool):
                         merged.append([a, a + m])
                 n_words.append(len(words))
                 n_hit.append(sum(b - a for a, b in merged))
-                items.append(sorted(names))
+                items.append(sorted(names - {None}))
                 spans.append([{"start": a, "end": b} for a, b in merged])
             yield pd.DataFrame({"doc_id": frame["doc_id"], "row": frame["row"], "n_words": n_words, "n_hit": n_hit, "items": items, "spans": spans})
 
@@ -98,10 +136,10 @@ def _search(held, keep_spans: bool):
 FOUND = "doc_id long, row string, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, most: int) -> list[list[tuple[str, bytes]]]:
+def _blocks(benchmark: DataFrame, item_id: str, text: str, most: int) -> Iterator[list[tuple[str | None, bytes]]]:
     """The benchmark in blocks of at most `most` bytes (one larger item is a block of its own); one block is on the driver at a time."""
     block, size = [], 0
-    for row in benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("binary").alias("t")).where("i is not null and t is not null").toLocalIterator():
+    for row in benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("binary").alias("t")).where("t is not null").toLocalIterator():
         if block and size + len(row.t) > most:
             yield block
             block, size = [], 0
@@ -111,25 +149,26 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, most: int) -> list[li
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id",
-                   window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                   window: int = WINDOW, block_bytes: int = BLOCK_BYTES, item_text: str = "text") -> DataFrame:
     """One row a document: doc_id, n_words, n_hit, items (sorted), spans (word ranges [start, end) that are hit), contaminated.
 
     contaminated: n_hit > 0 and 20 * n_hit >= n_words. Only a block of the benchmark of at most `block_bytes` is sent to the
     executors at a time. A benchmark of one block needs one pass and no shuffle; of more, one pass a block, whose spans
-    are joined by document and text. Null and empty texts have no words and no hits; null items and items without words match
-    nothing. Repeated rows come back repeated. Empty tables give an empty result, or no hits.
+    are joined by document and text. Null and empty texts have no words and no hits; null item texts and items without words match
+    nothing; an item without an id hits like any other, but is not among `items`. Repeated rows come back repeated. Empty tables
+    give an empty result, or no hits.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     passes = []
-    for block in _blocks(benchmark, item_id, "text", block_bytes):
+    for block in _blocks(benchmark, item_id, item_text, block_bytes):
         held = spark.sparkContext.broadcast(machines(block, window))
         key = F.lit(None).cast("string") if not passes else F.sha2("text", 256)
         passes.append((held, key))
     if len(passes) == 1:
-        found = rows.withColumn("row", passes[0][1]).mapInPandas(_search(passes[0][0], True), FOUND)
+        found = rows.withColumn("row", passes[0][1]).mapInPandas(_search(passes[0][0]), FOUND)
     else:
-        each = [rows.withColumn("row", F.sha2("text", 256)).mapInPandas(_search(held, True), FOUND) for held, _ in passes]
+        each = [rows.withColumn("row", F.sha2("text", 256)).mapInPandas(_search(held), FOUND) for held, _ in passes]
         union = each[0]
         for more in each[1:]:
             union = union.unionByName(more.where("n_hit > 0"))

@@ -1,7 +1,7 @@
 """Main text of web pages by line-block distribution (operator 8).
 
 Markup is stripped into lines, one for each block of text. Lines of marked-up boilerplate (menus, headers, footers, sidebars,
-notices, adverts, forms, comments), and lines that are mostly link text, weigh nothing. The lengths are summed over a sliding window
+notices, adverts, forms, comments) are left out, and lines that are mostly link text weigh nothing. The lengths are summed over a sliding window
 of lines. Where the sum surges the main text begins, where it dives to nothing it ends, and the text between is kept. A page
 with an article or main element has its bounds there, and any text in it surges; elsewhere a surge needs `SURGE` characters, or is
 the heaviest stretch of the page.
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import sys
+from collections.abc import Iterator
 from html import unescape
 
 import pandas as pd
@@ -41,7 +42,9 @@ MARKS = {
     "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related", "recommended", "comment", "comments", "commentlist", "respond", "disqus", "reply", "replies", "search",
     "pagination", "pager", "widget", "widgets", "skip", "complementary", "contentinfo",
 }
-PARTS = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+#: A value in quotes begins right after an equals sign; quotes elsewhere are letters like any other.
+QUOTED = re.compile(r"=\s*([\"'])")
 #: One attribute: its name, and its value, which is read whole.
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?|\"[^\"]*\"|'[^']*'")
 #: Words that may follow a mark, as in "nav-bar", and words that may go before one, as in "site-footer".
@@ -76,10 +79,46 @@ def _marked(name: str, attributes: str) -> bool:
     return any(_is_mark(word) for key in ("class", "id", "role") for word in found.get(key, "").split())
 
 
+def _markup(html: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closing, name, attributes) of each piece of markup in order; comments and declarations have no name.
+
+    Each piece is found by searches that go on from where the last one ended, so that the time is linear in the page's length. A tag
+    ends at the first > outside quoted values, or, if there is none, at the first > after all; without any > it is text.
+    """
+    last = {c: html.rfind(c) for c in ">\"'"}
+    at = html.find("<")
+    while at >= 0:
+        end, closing, name, attributes = -1, False, "", ""
+        named = NAME.match(html, at)
+        if html.startswith("<!--", at) or html.startswith("<![CDATA[", at):
+            mark = "-->" if html.startswith("<!--", at) else "]]>"
+            found = html.find(mark, at + 4)
+            end = found + 3 if found >= 0 else len(html)
+        elif html.startswith(("<!", "<?"), at):
+            found = html.find(">", at)
+            end = found + 1 if found >= 0 else len(html)
+        elif named and named.end() <= last[">"]:
+            stop = first = html.find(">", named.end())
+            value = QUOTED.search(html, named.end(), stop)
+            while value:
+                after = html.find(value[1], value.end()) + 1 if value.end() <= last[value[1]] else 0
+                if after > stop:
+                    stop = html.find(">", after) if after <= last[">"] else -1
+                    if stop < 0:
+                        stop = first
+                        break
+                value = QUOTED.search(html, after or value.end(), stop)
+            end, closing, name, attributes = stop + 1, html[at + 1] == "/", named[1].lower(), html[named.end(): stop]
+        if end > 0:
+            yield at, end, closing, name, attributes
+        at = html.find("<", end if end > 0 else at + 1)
+
+
 def lines_of(html: str) -> list[tuple[str, bool, bool, int]]:
     """(text, boilerplate, inside the article, characters of link text) for each block of text in page order; empty blocks are left out."""
     lines, now, links = [], [], 0
     skip, depth, article, within, anchor, at = "", 0, 0, False, 0, 0
+    endless: set[str] = set()  # raw elements that no closing tag follows any more
 
     def flush() -> None:
         nonlocal now, links
@@ -88,22 +127,22 @@ def lines_of(html: str) -> list[tuple[str, bool, bool, int]]:
             lines.append((text, bool(skip), article > 0, links))
         now, links = [], 0
 
-    for m in PARTS.finditer(html):
-        if m.start() < at:
+    for start, stop, close, name, attributes in _markup(html):
+        if start < at:
             continue
-        piece = html[at: m.start()]
+        piece = html[at: start]
         if piece:
             now.append(piece)
             if anchor:
                 links += len(piece.strip())
-        at = m.end()
-        name = (m[2] or "").lower()
+        at = stop
         if not name:
             continue
-        close = bool(m[1])
         if name in RAW and not close:
-            if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
+            if not attributes.rstrip().endswith("/"):
+                end = None if name in endless else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
+                if not end:
+                    endless.add(name)
                 at = end.end() if end else (len(html) if name in ("script", "style", "textarea") else at)
             continue
         if name in BLOCK:
@@ -117,7 +156,7 @@ def lines_of(html: str) -> list[tuple[str, bool, bool, int]]:
                 depth += -1 if close else name not in VOID
             if depth <= 0 or skip in SHORT and (name in BLOCK and not close and name != skip) or not within and name in ("article", "main") and not close or close and name in ("body", "article") and within >= (name == "article"):
                 skip, depth = "", 0
-        elif not close and name not in VOID and (name in BOILERPLATE or name == "header" and not article or _marked(name, m[3])) and not m[3].endswith("/"):
+        elif not close and name not in VOID and (name in BOILERPLATE or name == "header" and not article or _marked(name, attributes)) and not attributes.endswith("/"):
             if name not in BLOCK:
                 flush()
             skip, depth, within = name, 1, article > 0
@@ -130,9 +169,9 @@ def lines_of(html: str) -> list[tuple[str, bool, bool, int]]:
 
 def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The main text: kept blocks in page order joined by a line feed; empty if there is none."""
-    lines = lines_of(html or "")
-    bounded = any(a and not b for _, b, a, _ in lines)
-    weight = [0 if b or bounded and not a or not bounded and 2 * k > len(t) else len(t) for t, b, a, k in lines]
+    lines = [(t, a, k) for t, b, a, k in lines_of(html or "") if not b]
+    bounded = any(a for _, a, _ in lines)
+    weight = [0 if bounded and not a or not bounded and 2 * k > len(t) else len(t) for t, a, k in lines]
     n = len(weight)
     sums = [sum(weight[k: k + window]) for k in range(n)]
     kept, k, stretches = [], 0, []
@@ -152,7 +191,10 @@ def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str
 
 
 def extract_main_text(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:
-    """`pages` with a string column `into` (replaced if it exists): the main text, empty for null, empty and textless pages."""
+    """`pages` with a string column `into` (replaced if it exists): the main text, empty for null, empty and textless pages.
+
+    Repeated rows come back repeated, an empty table gives an empty result. The time is linear in a page's length.
+    """
     def batch(data: pd.Series) -> pd.Series:
         return pd.Series([main_text(x) for x in data], dtype=object)
 

@@ -19,6 +19,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import private_name
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: The fit reads about this many labelled documents a language (all, if there are fewer), picked by a hash of the id.
@@ -107,12 +109,15 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
 def identify(docs: DataFrame, model: LanguageFilter, text: str = "text") -> DataFrame:
     """`docs` with lang_pred and score (both replaced if they exist).
 
-    Null texts and texts without a letter are `und` with score 0. The filter (a few hundred kB for each 8 languages) is broadcast.
+    Null texts and texts without a letter are `und` with score 0. Of languages with equal counts the first by name is taken. Repeated
+    rows come back repeated, an empty table gives an empty result. The filter (a few hundred kB for each 8 languages) is broadcast.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held, made = docs.sparkSession.sparkContext.broadcast(vars(model)), private_name("lang")
 
     def batch(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([held.value.score(x) for x in texts], columns=["lang_pred", "score"])
+        own = object.__new__(LanguageFilter)
+        vars(own).update(held.value)
+        return pd.DataFrame([own.score(x) for x in texts], columns=["lang_pred", "score"])
 
-    made = docs.withColumn("__lang", F.pandas_udf(batch, "lang_pred string, score double")(F.col(text)))
-    return made.withColumn("lang_pred", F.col("__lang.lang_pred")).withColumn("score", F.col("__lang.score")).drop("__lang")
+    out = docs.withColumn(made, F.pandas_udf(batch, "lang_pred string, score double")(F.col(text)))
+    return out.withColumn("lang_pred", F.col(f"{made}.lang_pred")).withColumn("score", F.col(f"{made}.score")).drop(made)

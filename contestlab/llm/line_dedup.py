@@ -5,8 +5,9 @@ else is made of them. Lines of edit similarity 0.8 or more, over words, are link
 longer line at most E = floor(0.2 L) edits are allowed, each of which touches three runs of three words at most, so the lines share
 all but 3 E of these; if each line's runs are put in one order for all, both lines have one in common among their first few (prefix
 filter, `_prefixed`). SimHash can't do that: lines at 0.8 differ in about 13 of 64 bits, which no block index finds cheaply. The order
-puts runs of rare words first, as a sample counts them; it decides the cost and never the result. Lines under a common
-run are tested by length, by the words that one has and the other lacks, and then by edit distance. So that a crowd of near copies
+puts runs of rare words first and runs that are often repeated last, as samples count them; it decides the cost and never the
+result. Lines under a common run are tested by length and by a sketch (256 bits, of which each edit turns two at most), by the words
+that one has and the other lacks, and then by edit distance. So that a crowd of near copies
 does not make all its pairs, each line is first linked to the first line under each of its runs; then all lines are compared
 that are not yet connected. One occurrence of each connected group stays: the first by document id and line number.
 """
@@ -28,6 +29,8 @@ LEAST_WORDS = 4
 BUCKETS, COUNTED = 1 << 16, 2_000_000
 #: A word's code: its hash, and in the upper four bits how common its bucket is (-8 to 7), so that rare words have low codes.
 HASH = (1 << 28) - 1
+#: Runs are counted in a sample of about COUNTED; those seen at least so often are marked in a bitmap of 64 * MARKS bits.
+OFTEN, MARKS = 6, 1 << 14
 #: Blanks, control characters and ASCII punctuation part the words of a line.
 PARTS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -66,42 +69,78 @@ def most_edits(n: Column, least: float = SIMILARITY) -> Column:
     return F.floor(n * (1 - least) + 1e-9).cast("int")
 
 
-def _first_runs(words: Column, run: int) -> Column:
-    """The first runs of `run` words, 2 or 3, in order of (level, hash); as many as similar lines can't all miss.
-
-    Lines of n and m >= n words share m - run + 1 - run E(m) of them, so n - m + run E(m) + 1 of the shorter line's are enough, which is
-    most for m = n or n + 1.
-    """
+def _runs(words: Column, run: int) -> Column:
+    """All runs of `run` words, 2 or 3, as 57-bit hashes under the sum of their words' levels (-24 to 21)."""
     n = F.size(words)
     part = lambda k: F.slice(words, F.lit(k), n - run + 1)
-    # two codes side by side; then the sum of the levels above 57 bits of a mixed hash
     runs = F.zip_with(part(1), part(2), lambda x, y: F.shiftleft(x.cast("long"), 32).bitwiseOR(y.bitwiseAND(F.lit(0xFFFFFFFF))))
     level = lambda xy: F.shiftright(xy, 60) + F.shiftright(F.shiftleft(xy, 32), 60)
     mixed = lambda xy, high: F.shiftleft(high, 57).bitwiseOR(xy.bitwiseXOR(F.shiftright(xy, 15)).bitwiseAND(F.lit((1 << 57) - 1)))
     if run == 3:
-        runs = F.zip_with(runs, part(3), lambda xy, z: mixed(xy.bitwiseXOR(F.shiftleft(z.cast("long"), 14)), level(xy) + F.shiftright(z, 28)))
-    else:
-        runs = F.transform(runs, lambda xy: mixed(xy, level(xy)))
+        return F.zip_with(runs, part(3), lambda xy, z: mixed(xy.bitwiseXOR(F.shiftleft(z.cast("long"), 14)), level(xy) + F.shiftright(z, 28)))
+    return F.transform(runs, lambda xy: mixed(xy, level(xy)))
+
+
+def _place(gram: Column) -> tuple[Column, Column]:
+    """The word of the bitmap, and the bit in it, that a run has."""
+    return F.shiftrightunsigned(gram, 30).bitwiseAND(F.lit(MARKS - 1)).cast("int"), F.shiftrightunsigned(gram, 24).bitwiseAND(F.lit(63)).cast("int")
+
+
+def often_repeated(lines: DataFrame) -> Column:
+    """A bitmap of the runs of three words that a sample of the lines has often."""
+    total = lines.agg(F.sum(F.size("words")).alias("n")).first().n or 0
+    sample = lines.where((F.pmod("key", F.lit(1 + total // COUNTED)) == 0) & (F.size("words") > 3)).select(F.explode(F.array_distinct(_runs(F.col("words"), 3))).alias("gram"))
+    word, bit = _place(F.col("gram"))
+    marks = [0] * MARKS
+    for r in sample.groupBy("gram").count().where(F.col("count") >= OFTEN).select(word.alias("word"), bit.alias("bit")).distinct().collect():
+        marks[r.word] |= 1 << r.bit
+    return F.split(F.lit(",".join(str(m - (1 << 64) if m >> 63 else m) for m in marks)), ",").cast("array<bigint>")
+
+
+def _first_runs(words: Column, run: int, often: Column) -> Column:
+    """The first runs in order of (often repeated, level, hash); as many as similar lines can't all miss.
+
+    Lines of n and m >= n words share m - run + 1 - run E(m) of them, so n - m + run E(m) + 1 of the shorter line's are enough, which is
+    most for m = n or n + 1.
+    """
+    n, runs = F.size(words), _runs(words, run)
+    if run == 3:
+        def late(gram: Column) -> Column:
+            word, bit = _place(gram)
+            marked = F.call_function("shiftrightunsigned", F.get(often, word), bit).bitwiseAND(F.lit(1))
+            # the level, halved, and 16 for a marked run; both follow from the run alone
+            return F.shiftleft(F.shiftright(gram, 58) + F.shiftleft(marked, 4), 58).bitwiseOR(gram.bitwiseAND(F.lit((1 << 58) - 1)))
+
+        runs = F.transform(runs, late)
     return F.array_distinct(F.slice(F.sort_array(runs), F.lit(1), F.greatest(run * most_edits(n), run * most_edits(n + 1) - 1) + 1))
 
 
-def _prefixed(lines: DataFrame) -> DataFrame:
+def _prefixed(lines: DataFrame, often: Column) -> DataFrame:
     """(gram, key): each line once for each of its first runs: of two words in lines up to six, which may have no three left, of three from six on."""
     words, n = F.col("words"), F.size("words")
-    first = F.when(n > 6, _first_runs(words, 3)).when(n == 6, F.concat(_first_runs(words, 2), _first_runs(words, 3))).otherwise(_first_runs(words, 2))
+    first = F.when(n > 6, _first_runs(words, 3, often)).when(n == 6, F.concat(_first_runs(words, 2, often), _first_runs(words, 3, often))).otherwise(_first_runs(words, 2, often))
     return lines.select("key", F.explode(first).alias("gram")).select("gram", "key")
 
 
+def _sketched(members: DataFrame) -> DataFrame:
+    """(key, sketch): the number of words, and 256 bits that tell for each hash of a word whether it occurs an odd number of times."""
+    w = F.col("w")
+    bits = [F.bit_xor(F.when(F.shiftright(w, 6).bitwiseAND(F.lit(3)) == k, F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)))).otherwise(F.lit(0).cast("long"))).alias(f"b{k}") for k in range(4)]
+    return members.select("key", F.explode("words").alias("w")).groupBy("key").agg(F.count("*").cast("int").alias("n"), *bits).select("key", F.struct("n", "b0", "b1", "b2", "b3").alias("sketch"))
+
+
+def _may(a: Column, b: Column) -> Column:
+    most = most_edits(F.greatest(a["n"], b["n"]))
+    turned = sum((F.bit_count(a[f"b{k}"].bitwiseXOR(b[f"b{k}"])) for k in range(1, 4)), F.bit_count(a["b0"].bitwiseXOR(b["b0"])))
+    return (F.abs(a["n"] - b["n"]) <= most) & (turned <= 2 * most)
+
+
 def _within(a: Column, b: Column, alphabet: Callable[[Column], Column], most: Column) -> Column:
     """Whether arrays of words are at most `most` edits apart; `alphabet` gives each word a number under 55,000, for a character below the surrogates."""
     one, two = (F.decode(F.unhex(F.array_join(F.transform(x, lambda w: F.lpad(F.hex(alphabet(w) + 256), 4, "0")), "")), "UTF-16BE") for x in (a, b))
     return F.call_function("levenshtein", one, two, most) >= 0
 
 
-def near_lengths(a: str, b: str) -> Column:
-    return F.abs(F.col(a) - F.col(b)) <= most_edits(F.greatest(a, b))
-
-
 def may_be_similar(a: Column, b: Column, least: float = SIMILARITY) -> Column:
     """False only for arrays of word codes that can't be similar: every edit gives a line at most one word that the other lacks."""
     most = most_edits(F.greatest(F.size(a), F.size(b)), least)
@@ -124,14 +163,14 @@ def similar_pairs(near: DataFrame, keep: Callable[..., DataFrame], least: float
 
 def line_groups(lines: DataFrame, keep: Callable[..., DataFrame]) -> DataFrame:
     """(key, component): keys of the lines (key, words; each once) that are linked to others, with the smallest key of their group."""
-    lines = lines.where(F.size("words") >= LEAST_WORDS).select("key", F.size("words").alias("n"), "words")
+    lines = lines.where(F.size("words") >= LEAST_WORDS)
 
     def verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
         one, two = (members.select(F.col("key").alias(k), F.col("words").alias(f"{k}_words")) for k in "ab")
         near = pairs.join(one, "a").join(two, "b").where(may_be_similar(F.col("a_words"), F.col("b_words")))
         return similar_pairs(near, keep).select("a", "b")
 
-    return linked_groups(_prefixed(lines), lines, near_lengths, verified, keep)
+    return linked_groups(_prefixed(lines, often_repeated(lines)), lines, _sketched, _may, verified, keep)
 
 
 def kept_lines(docs: DataFrame, keep: Callable[..., DataFrame], text: str = "text", doc_id: str = "doc_id") -> DataFrame:

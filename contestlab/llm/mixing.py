@@ -4,7 +4,9 @@ Each source's share of the whole is clamped at `most_epochs` times its size, and
 proportion to their weights until none is above. Sorted by cap over weight, the clamped sources are a prefix, so the level that
 the rounds end at is found with running sums over one row a source. A source then takes whole repetitions of all its documents and
 one fractional repetition: documents in seeded order until the rest of the target is reached; the last one gives a part of its
-words. That running total is made in two steps, over prefixes of the hash and within each, so no task holds a whole source.
+words. Only the place in that order where the rest is reached is looked for, in two steps: over prefixes of the hash, then within
+the one where it falls. So no task holds a whole source, and each document is then compared with its source's place, without
+moving its text.
 """
 
 from __future__ import annotations
@@ -12,11 +14,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words
+from .common import n_words, written
 
 SEED = "mix-1"
 #: Leading hex digits of the seeded hash that part a source for its running total: 4096 parts a source.
 DIGITS = 3
+#: Sources whose plan, a few hundred bytes each, may be broadcast; more of them are joined by a shuffle.
+BROADCAST_SOURCES = 100_000
 
 
 def water_fill(sources: DataFrame, most_epochs: int = 3) -> DataFrame:
@@ -45,8 +49,8 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc
     """`docs` with size, source_size, target and taken (columns of these names are replaced).
 
     Sources in code-point order, null last, weigh `weights` in turn. taken: the words that the mix takes of the document,
-    repeats counted, at most `most_epochs` times its size; a source's taken words add up to its target, rounded. Null and empty
-    texts have size 0 and give nothing. Repeated rows are documents of their own; documents without an id count. An empty
+    repeats counted, at most `most_epochs` times its size; a source's taken words add up to its target, rounded (but for what equal shares of repeated rows leave). Null and empty
+    texts have size 0 and give nothing. Repeated rows are documents of their own, and where the rest is reached among them they share it evenly; documents without an id count. An empty
     table gives an empty result. Reruns agree: the order within a source is that of md5(seed:doc_id), then id and size.
     """
     kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
@@ -55,7 +59,8 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc
     src = F.coalesce(F.concat(F.lit("0"), F.col(f"`{source}`").cast("string")), F.lit("1"))
     mark = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")))).cast("string")
     rows = docs.select(*carried, src.alias("src"), F.col(f"`{doc_id}`").alias("id"), n_words(F.col(f"`{text}`")).alias("size"), mark.alias("mark")).withColumn("part", F.substring("mark", 1, DIGITS))
-    parts = rows.groupBy("src", "part").agg(F.sum("size").alias("part_size"))
+    parts = written(rows.groupBy("src", "part").agg(F.sum("size").alias("part_size")))
+    few = parts.select("src").distinct().count() <= BROADCAST_SOURCES
     ranked = parts.groupBy("src").agg(F.sum("part_size").alias("source_size")).withColumn("rank", F.row_number().over(Window.orderBy("src")))
     weigh = F.array(*[F.lit(w).cast("long") for w in weights])[((F.col("rank") - 1) % len(weights)).cast("int")]
     filled = water_fill(ranked.select(F.col("src").alias("source"), "source_size", "rank", weigh.alias("weight")), most_epochs)
@@ -63,8 +68,17 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc
         "whole", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most_epochs))).otherwise(0).cast("long")).withColumn(
         "rest", F.round(F.col("target")).cast("long") - F.col("whole") * F.col("source_size"))
     before = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    plan = parts.select("src", "part", F.coalesce(F.sum("part_size").over(before), F.lit(0)).alias("ahead")).join(filled, "src").select("src", "part", "ahead", "source_size", "target", "whole", "rest")
-    own = Window.partitionBy("src", "part").orderBy("mark", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("within", F.coalesce(F.sum("size").over(own), F.lit(0))).join(plan, ["src", "part"])
-    extra = F.greatest(F.least(F.col("rest") - F.col("ahead") - F.col("within"), F.col("size")), F.lit(0))
-    return placed.select(*[F.col(f"in_{k}").alias(c) for k, c in enumerate(kept)], "size", "source_size", "target", (F.col("whole") * F.col("size") + extra).alias("taken"))
+    ahead = parts.withColumn("ahead", F.coalesce(F.sum("part_size").over(before), F.lit(0))).join(filled.select("src", "rest"), "src")
+    # the part of each source where the rest is reached, and there the document
+    crossing = ahead.where("ahead < rest and ahead + part_size >= rest").select("src", "part", "ahead", "rest")
+    there = rows.select("src", "part", "mark", "id", "size").join(F.broadcast(crossing) if few else crossing, ["src", "part"])
+    ties = there.groupBy("src", "ahead", "rest", "mark", "id", "size").agg(F.count("*").alias("copies"))
+    own = Window.partitionBy("src").orderBy("mark", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ties = ties.withColumn("within", F.coalesce(F.sum(F.col("size") * F.col("copies")).over(own), F.lit(0))).withColumn("left", F.col("rest") - F.col("ahead") - F.col("within"))
+    cut = ties.where((F.col("left") > 0) & (F.col("left") <= F.col("size") * F.col("copies"))).select(
+        F.col("src").alias("c_src"), F.struct("mark", "id", "size").alias("cut"), F.floor(F.col("left") / F.col("copies")).alias("some"))
+    plan = written(filled.join(cut, F.col("src") == F.col("c_src"), "left").select("src", "source_size", "target", "whole", "rest", "cut", "some"))
+    placed = rows.join(F.broadcast(plan) if few else plan, "src")
+    place = F.struct("mark", "id", "size")
+    extra = F.when(F.col("rest") <= 0, 0).when(F.col("cut").isNull() | (place < F.col("cut")), F.col("size")).when(place == F.col("cut"), F.col("some")).otherwise(0)
+    return placed.select(*[F.col(f"in_{k}").alias(c) for k, c in enumerate(kept)], "size", "source_size", "target", (F.col("whole") * F.col("size") + extra).cast("long").alias("taken"))

@@ -2,7 +2,7 @@
 
 `parse` reads any MPEG-1/2/2.5 audio bytes: ID3v2 tags at the front and an ID3v1 tag at the end are set aside, frame headers are
 searched for byte by byte wherever no valid one follows (a header counts only if the next one, or the end, stands where it says),
-a Xing/Info or VBRI frame is read as a table and not as sound, and the CRC-16 of protected Layer III frames is verified.
+a Xing/Info or VBRI frame is read as a table and not as sound, and the CRC-16 of protected frames is verified in all three layers.
 Durations are exact fractions, in samples and rate; seek offsets are the byte offset of every frame.
 
 `store` puts arbitrary bytes into such a stream without loss: silent, protected mono Layer III frames at 48 kHz whose
@@ -17,7 +17,6 @@ import struct
 import sys
 import zlib
 from bisect import bisect_left
-from functools import lru_cache
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -39,31 +38,80 @@ HERTZ = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8
 SAMPLES = {(True, 1): 384, (True, 2): 1152, (True, 3): 1152, (False, 1): 384, (False, 2): 1152, (False, 3): 576}
 
 
-@lru_cache(4096)
-def crc16(data: bytes) -> int:
-    """CRC-16 with polynomial 0x8005 from 0xFFFF, as MPEG audio uses it."""
-    crc = 0xFFFF
-    for byte in data:
-        crc ^= byte << 8
-        for _ in range(8):
+# Fixed values of the same standards: bits of a Layer II bit allocation by subband, for the tables B.2a to B.2d and that of low rates.
+ALLOCATION = {
+    "a": (4,) * 11 + (3,) * 12 + (2,) * 4,
+    "b": (4,) * 11 + (3,) * 12 + (2,) * 7,
+    "c": (4,) * 2 + (3,) * 6,
+    "d": (4,) * 2 + (3,) * 10,
+    "low": (4,) * 4 + (3,) * 7 + (2,) * 19,
+}
+_headers: dict[bytes, dict | None] = {}
+_sums: dict[tuple[bytes, int], int] = {}
+
+
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """CRC-16 with polynomial 0x8005 from 0xFFFF, as MPEG audio uses it, over the first `bits` bits (all)."""
+    bits = 8 * len(data) if bits is None else bits
+    key = (data[: (bits + 7) // 8], bits)
+    if key not in _sums:
+        crc = 0xFFFF
+        for k in range(bits):
+            crc ^= (data[k >> 3] >> (7 - (k & 7)) & 1) << 15
             crc = (crc << 1 ^ 0x8005) & 0xFFFF if crc & 0x8000 else crc << 1
-    return crc
+        if len(_sums) >= 4096:
+            _sums.clear()
+        _sums[key] = crc
+    return _sums[key]
 
 
-@lru_cache(4096)
 def header(four: bytes) -> dict | None:
     """The fields of a frame header, or None if the bytes can't be one (free-format frames are not followed)."""
     if len(four) < 4 or four[0] != 0xFF or four[1] & 0xE0 != 0xE0:
         return None
+    if four not in _headers:
+        if len(_headers) >= 4096:
+            _headers.clear()
+        _headers[four] = _header(four)
+    return _headers[four]
+
+
+def _header(four: bytes) -> dict | None:
     version, layer, rate = four[1] >> 3 & 3, 4 - (four[1] >> 1 & 3), four[2] >> 2 & 3
     bits, one = four[2] >> 4, version == 3
     if version == 1 or layer == 4 or rate == 3 or bits in (0, 15):
         return None
     hertz, kbits, padding = HERTZ[version][rate], KBITS[one, layer][bits], four[2] >> 1 & 1
-    samples, mono = SAMPLES[one, layer], four[3] >> 6 == 3
+    samples, mode = SAMPLES[one, layer], four[3] >> 6
     length = (12000 * kbits // hertz + padding) * 4 if layer == 1 else samples // 8 * 1000 * kbits // hertz + padding
-    return {"version": version, "layer": layer, "hertz": hertz, "kbits": kbits, "samples": samples, "mono": mono, "length": length,
-            "crc": not four[1] & 1, "side": (17 if mono else 32) if one else (9 if mono else 17)}
+    return {"version": version, "layer": layer, "hertz": hertz, "kbits": kbits, "samples": samples, "mono": mode == 3, "length": length,
+            "bound": 4 * ((four[3] >> 4 & 3) + 1) if mode == 1 else 32, "crc": not four[1] & 1, "side": (17 if mode == 3 else 32) if one else (9 if mode == 3 else 17)}
+
+
+def _allocation(head: dict) -> tuple[int, ...]:
+    """Bits of each subband's allocation in a Layer I or II frame."""
+    if head["layer"] == 1:
+        return (4,) * 32
+    if head["version"] != 3:
+        return ALLOCATION["low"]
+    each = head["kbits"] if head["mono"] else head["kbits"] // 2
+    if each < 56:
+        return ALLOCATION["d" if head["hertz"] == 32000 else "c"]
+    return ALLOCATION["a" if each <= 80 or head["hertz"] == 48000 else "b"]
+
+
+def _protected_bits(body: bytes, head: dict) -> int:
+    """How many bits after the checksum it covers: side information, or bit allocation and (Layer II) scale factor selection."""
+    if head["layer"] == 3:
+        return 8 * head["side"]
+    bits = int.from_bytes(body[:48])
+    room, at, selected = 8 * len(body[:48]), 0, 0
+    for band, n in enumerate(_allocation(head)):
+        for _ in range(1 if head["mono"] or band >= head["bound"] else 2):
+            if at + n <= room and bits >> (room - at - n) & ((1 << n) - 1):
+                selected += 1 if head["mono"] or band < head["bound"] else 2
+            at += n
+    return at + (2 * selected if head["layer"] == 2 else 0)
 
 
 def _same_stream(a: dict, b: dict) -> bool:
@@ -78,10 +126,10 @@ def parse(data: bytes) -> dict:
         size = sum((b & 0x7F) << 7 * (3 - k) for k, b in enumerate(data[at + 6: at + 10]))
         body, p = data[at + 10: at + 10 + size], 0
         while p + 10 <= len(body) and body[p]:
-            n = struct.unpack(">I", body[p + 4: p + 8])[0]
+            n = int.from_bytes(body[p + 4: p + 8])
             if data[at + 3] >= 4:
                 n = sum((b & 0x7F) << 7 * (3 - k) for k, b in enumerate(body[p + 4: p + 8]))
-            out["tags"][body[p: p + 4].decode("latin-1")] = body[p + 11: p + 10 + n].strip(b"\0").decode("utf-8" if body[p + 10: p + 11] == b"\3" else "latin-1", "replace")
+            out["tags"][body[p: p + 4].decode("latin-1")] = _tag_text(body[p + 10: p + 10 + n])
             p += 10 + n
         at += 10 + size
     out["data_from"] = at
@@ -106,26 +154,49 @@ def parse(data: bytes) -> dict:
     return out
 
 
+def _tag_text(body: bytes) -> str:
+    """The text of a tag frame by its encoding byte (0: Latin-1, 1: UTF-16 with a mark, 2: UTF-16BE, 3: UTF-8)."""
+    coded = body[:1] and {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(body[0])
+    return body[1:].decode(coded or "latin-1", "replace").strip("\0")
+
+
+def _number(data: bytes, at: int, size: int = 4) -> int | None:
+    """A big-endian number, or None beyond the end."""
+    return int.from_bytes(data[at: at + size]) if at + size <= len(data) else None
+
+
+def _table(frame: bytes, side: int) -> dict | None:
+    """The variable-bitrate table of a frame; fields that damage has cut off are left out."""
+    kind = frame[side: side + 4]
+    if kind in (b"Xing", b"Info"):
+        flags, at, table = _number(frame, side + 4) or 0, side + 8, {"kind": kind.decode()}
+        for bit, name in ((1, "frames"), (2, "bytes")):
+            if flags & bit:
+                table[name] = _number(frame, at)
+                at += 4
+        if flags & 4 and at + 100 <= len(frame):
+            table["toc"] = list(frame[at: at + 100])
+        return {k: v for k, v in table.items() if v is not None}
+    if frame[36: 40] == b"VBRI":
+        table = {"kind": "VBRI", "bytes": _number(frame, 46), "frames": _number(frame, 50)}
+        entries, scale, size, per = (_number(frame, k, 2) for k in (54, 56, 58, 60))
+        if entries and scale and size in (1, 2, 3, 4) and 62 + entries * size <= len(frame):
+            steps = [scale * _number(frame, 62 + k * size, size) for k in range(entries)]
+            table |= {"frames_per_entry": per, "toc": [sum(steps[:k]) for k in range(entries)]}
+        return {k: v for k, v in table.items() if v is not None}
+    return None
+
+
 def _take(out: dict, data: bytes, at: int, head: dict) -> None:
-    side = at + 4 + 2 * head["crc"]
-    if head["crc"] and head["layer"] == 3:
-        good = crc16(data[at + 2: at + 4] + data[side: side + head["side"]]) == int.from_bytes(data[at + 4: at + 6])
+    side = 4 + 2 * head["crc"]
+    frame = data[at: at + head["length"]]
+    if head["crc"]:
+        bits = _protected_bits(frame[6:], head)
+        good = 16 + bits <= 8 * len(frame) - 32 and crc16(frame[2: 4] + frame[6: 6 + (bits + 7) // 8], 16 + bits) == _number(frame, 4, 2)
         out["crc_good" if good else "crc_bad"] += 1
     if not out["frames"] and out["table"] is None and head["layer"] == 3:
-        p = side + head["side"]
-        if data[p: p + 4] in (b"Xing", b"Info"):
-            flags, q, table = struct.unpack(">I", data[p + 4: p + 8])[0], p + 8, {"kind": data[p: p + 4].decode()}
-            for bit, name in ((1, "frames"), (2, "bytes")):
-                if flags & bit:
-                    table[name] = struct.unpack(">I", data[q: q + 4])[0]
-                    q += 4
-            if flags & 4:
-                table["toc"] = list(data[q: q + 100])
-            out["table"] = table
-            return
-        if data[at + 36: at + 40] == b"VBRI":
-            size, frames = struct.unpack(">II", data[at + 46: at + 54])
-            out["table"] = {"kind": "VBRI", "bytes": size, "frames": frames}
+        out["table"] = _table(frame, side + head["side"])
+        if out["table"]:
             return
     out["frames"].append((at, head))
 
@@ -162,9 +233,10 @@ def store(payload: bytes) -> bytes:
 
 
 def load(data: bytes, found: dict) -> bytes:
-    """The payload that `store` put into a stream."""
+    """The payload that `store` put into a stream; nothing from a stream that names no length."""
     parts = [data[at + 23: at + h["length"]] for at, h in found["frames"]]
-    return b"".join(parts)[: int(found["tags"].get("TXXX", "0"))]
+    size = found["tags"].get("TXXX", "")
+    return b"".join(parts)[: int(size)] if size.isascii() and size.isdigit() and len(size) < 16 else b""
 
 
 def payload_of(text: bytes | None) -> bytes:
@@ -199,20 +271,24 @@ def index_audio(df: DataFrame, media: str = "media", into: str = "audio") -> Dat
 
 
 def store_texts(docs: DataFrame, text: str = "text", into: str = "media") -> DataFrame:
-    """`docs` with a binary column `into`: the padded UTF-8 bytes of `text` stored as an MPEG audio stream (null texts: empty)."""
+    """`docs` with a binary column `into`: the padded UTF-8 bytes of `text` stored as an MPEG audio stream (null texts: empty).
+
+    Equal texts give equal bytes; repeated rows come back repeated, an empty table gives an empty result, a column `into` is replaced.
+    """
     def batch(data: pd.Series) -> pd.Series:
         return pd.Series([store(payload_of(x)) for x in data], dtype=object)
 
     return docs.withColumn(into, F.pandas_udf(batch, "binary")(F.coalesce(F.col(text).cast("binary"), F.lit(b""))))
 
 
-DIGESTS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGESTS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, samples long, hertz int, seek_offsets array<long>"
 
 
 def audio_digests(df: DataFrame, media: str = "media", into: str = "digest") -> DataFrame:
     """`df` with a struct column of digests of the stored stream and of the payload read back from it.
 
-    feature: layer/rate/channels, frames, samples, checksum counts and a digest of the seek offsets.
+    feature: layer/rate/channels, frames, samples, checksum counts and a digest of the seek offsets. The exact duration is samples / hertz.
+    Media must not be null. Repeated rows come back repeated, an empty table gives an empty result, a column `into` is replaced.
     """
     def batch(data: pd.Series) -> pd.DataFrame:
         rows = []
@@ -222,7 +298,8 @@ def audio_digests(df: DataFrame, media: str = "media", into: str = "digest") ->
             seeks = hashlib.sha256(struct.pack(f">{len(frames)}q", *[at for at, _ in frames])).hexdigest()[:16]
             h = frames[0][1] if frames else {"layer": 0, "hertz": 0, "mono": True}
             feature = f"layer{h['layer']}/{h['hertz']}/{'mono' if h['mono'] else 'stereo'};frames={len(frames)};samples={sum(f['samples'] for _, f in frames)};crc={found['crc_good']}+{found['crc_bad']};skipped={found['skipped']};seeks={seeks}"
-            rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(x), hashlib.sha256(x).hexdigest(), feature))
+            rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(x), hashlib.sha256(x).hexdigest(), feature,
+                         len(frames), sum(f["samples"] for _, f in frames), h["hertz"], [at for at, _ in frames]))
         return pd.DataFrame(rows, columns=[p.split()[0] for p in DIGESTS.split(", ")])
 
     return df.withColumn(into, F.pandas_udf(batch, DIGESTS)(F.col(media)))

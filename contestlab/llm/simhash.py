@@ -12,6 +12,7 @@ chain is tested before the full Hamming check.
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, only, written
+from .common import linked_groups, only, scratch, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -60,7 +61,7 @@ def fingerprint_column(text: Column, shingle: int = SHINGLE, seed: int = SEED) -
 
 
 def _keyed(prints: DataFrame) -> DataFrame:
-    """One row for each fingerprint and key: (key, combo, ring, fp); ring is fp turned so that the chain begins at bit 0."""
+    """One row for each fingerprint and key: (fp, key)."""
     options = []
     for i in range(4):
         ring = F.col("fp") if i == 0 else F.shiftrightunsigned("fp", 16 * i).bitwiseOR(F.shiftleft("fp", 64 - 16 * i))
@@ -68,31 +69,37 @@ def _keyed(prints: DataFrame) -> DataFrame:
         for p, (a, b) in enumerate(PAIRS):
             combo = 5 * i + p
             key = F.lit(combo << 32).bitwiseOR(F.shiftleft(ring.bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseOR(F.shiftleft(byte[a], 8)).bitwiseOR(byte[b])
-            options.append(F.struct(key.alias("key"), ring.alias("ring")))
-    return prints.select("fp", F.explode(F.array(*options)).alias("k")).select("k.key", "k.ring", "fp")
+            options.append(key)
+    return prints.select("fp", F.explode(F.array(*options)).alias("key"))
 
 
-def _first_combo(x: Column) -> Column:
-    """The first of the 20 keys that two fingerprints with difference `x` share, so that each link is made once."""
-    found = []
+def _passes(x: Column) -> Column:
+    """Whether two fingerprints with difference `x` share one of the 20 keys, whose chain stays within its budgets."""
+    found = F.lit(False)
     for i in range(4):
         ring = x if i == 0 else F.shiftrightunsigned(x, 16 * i).bitwiseOR(F.shiftleft(x, 64 - 16 * i))
-        for p, (a, b) in enumerate(PAIRS):
+        for a, b in PAIRS:
             mask = 0xFFFF | (0xFF << (16 + 8 * a)) | (0xFF << (16 + 8 * b))
             chains = [F.bit_count(ring.bitwiseAND(F.lit((1 << (16 * n)) - 1))) <= n * MOST_BITS // 4 for n in (2, 3)]
-            found.append(F.when((ring.bitwiseAND(F.lit(mask)) == 0) & chains[0] & chains[1], F.lit(5 * i + p)))
-    return F.coalesce(*found)
+            found = found | ((ring.bitwiseAND(F.lit(mask)) == 0) & chains[0] & chains[1])
+    return found
+
+
+def linked(a: Column, b: Column) -> Column:
+    """Whether two fingerprints pass the pigeonring filter, some chain within its budgets, and differ in at most 3 bits."""
+    x = a.bitwiseXOR(b)
+    return (F.bit_count(x) <= MOST_BITS) & _passes(x)
 
 
-def fingerprint_links(prints: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of the distinct fingerprints `fp` that differ in at most 3 bits, each once."""
-    keyed = _keyed(only(prints, "fp"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    ring, x = F.col("a.ring").bitwiseXOR(F.col("b.ring")), F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    chain = [F.bit_count(ring.bitwiseAND(F.lit((1 << (16 * n)) - 1))) <= n * MOST_BITS // 4 for n in (2, 3)]
-    ok = (F.col("a.fp") < F.col("b.fp")) & chain[0] & chain[1] & (F.bit_count(x) <= MOST_BITS)
-    return a.join(b, (F.col("a.key") == F.col("b.key")) & ok & (F.shiftright("a.key", 32) == _first_combo(x))).select(
-        F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+def fingerprint_groups(prints: DataFrame, keep: Callable[..., DataFrame]) -> DataFrame:
+    """(node, component): the distinct fingerprints `fp` that are linked to others, with the smallest one reachable.
+
+    A crowd of close fingerprints does not make all its pairs: each is tried with the first one under each of its keys, then with those
+    under its keys that it isn't connected to.
+    """
+    groups = linked_groups(_keyed(only(prints, "fp")).select(F.col("key").alias("gram"), F.col("fp").alias("key")), prints.select(F.col("fp").alias("key")),
+                           lambda members: members.select("key", F.col("key").alias("sketch")), linked, lambda pairs, members: pairs, keep)
+    return groups.select(F.col("key").alias("node"), "component")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
@@ -102,10 +109,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     rows come back repeated. A null id takes part, and gets its component's smallest id (null if no row there has one). An
     empty table gives an empty result. Other columns are not looked at.
     """
-    prints = written(docs.select(F.col(doc_id).alias("doc_id"), fingerprint_column(F.col(text), shingle).alias("fp")))
-    least = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    parts = connected_components(fingerprint_links(least))
-    # a component of fingerprints takes the smallest document id of all its fingerprints
-    named = least.join(parts, least["fp"] == parts["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("part"))
-    lowest = named.groupBy("part").agg(F.min("low").alias("component_id"))
-    return prints.join(named.join(lowest, "part").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    with scratch(docs.sparkSession) as keep:
+        prints = written(docs.select(F.col(doc_id).alias("doc_id"), fingerprint_column(F.col(text), shingle).alias("fp")))
+        least = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
+        parts = keep(fingerprint_groups(least, keep))
+        # a component of fingerprints takes the smallest document id of all its fingerprints
+        named = keep(least.join(parts, least["fp"] == parts["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("part")))
+        lowest = named.groupBy("part").agg(F.min("low").alias("component_id"))
+        names = written(named.join(lowest, "part").select("fp", "component_id"))
+    return prints.join(names, "fp").select("doc_id", "fp", "component_id")

@@ -18,7 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import private_name, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -171,17 +171,19 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, text: str = "text", la
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """`docs` with score, predicted (1 from `threshold` on) and offending: the sentences of probability 0.5 or more, worst first.
 
-    Columns of these names are replaced. Null and empty texts have no sentences: score 0, predicted 0.
+    Columns of these names are replaced. Null and empty texts have no sentences: score 0, predicted 0. Sentences of equal probability
+    stay in the text's order. Repeated rows come back repeated, an empty table gives an empty result.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held, made = docs.sparkSession.sparkContext.broadcast(vars(model)), private_name("toxic")
 
     def batch(texts: pd.Series) -> pd.DataFrame:
-        rows = []
+        own, rows = object.__new__(ToxicityModel), []
+        vars(own).update(held.value)
         for x in texts:
-            score, found = held.value.sentences(x)
+            score, found = own.sentences(x)
             rows.append((score, [{"sentence": s.strip(), "p": p} for s, p in sorted(found, key=lambda f: -f[1]) if p >= 0.5]))
         return pd.DataFrame(rows, columns=["score", "offending"])
 
-    made = docs.withColumn("__toxic", F.pandas_udf(batch, "score double, offending array<struct<sentence:string,p:double>>")(F.col(text)))
-    made = made.withColumn("score", F.col("__toxic.score")).withColumn("offending", F.col("__toxic.offending")).drop("__toxic")
-    return made.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    out = docs.withColumn(made, F.pandas_udf(batch, "score double, offending array<struct<sentence:string,p:double>>")(F.col(text)))
+    out = out.withColumn("score", F.col(f"{made}.score")).withColumn("offending", F.col(f"{made}.offending")).drop(made)
+    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -104,9 +104,12 @@ def test_every_close_pair_of_fingerprints_is_found(spark):
                 y ^= 1 << b
             values.append(y)
     signed = sorted({v - (1 << 64) if v >> 63 else v for v in values})
-    got = {(r.a, r.b) for r in simhash.fingerprint_links(spark.createDataFrame([(v,) for v in signed], "fp long")).collect()}
+    with common.scratch(spark) as keep:
+        got = {r.node: r.component for r in simhash.fingerprint_groups(spark.createDataFrame([(v,) for v in signed], "fp long"), keep).collect()}
     m = (1 << 64) - 1
-    assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & m).bit_count() <= 3}
+    label = linked(signed, lambda a, b: ((a ^ b) & m).bit_count() <= 3)
+    alone = {v for v in signed if sum(label[w] == label[v] for w in signed) == 1}
+    assert got == {v: label[v] for v in signed if v not in alone} and alone and got
 
 
 def test_components(spark):
@@ -194,6 +197,8 @@ def test_benchmark_against_brute_force(spark, docs, block):
         w = cut(t)
         for k in range(max(1, len(w) - 12) if w else 0):
             patterns[tuple(w[k: k + 13])].add(str(i))
+    bench = bench.unionByName(spark.createDataFrame([(None, "x7 x8")], "item_id long, text string"))
+    patterns["x7", "x8"].add(None)  # hits words, but is not listed
     got = decontaminate.find_benchmark(docs, bench, block_bytes=block).collect()
     data = {r.doc_id: r.text for r in docs.collect()}
     assert len(got) == 13
@@ -204,7 +209,7 @@ def test_benchmark_against_brute_force(spark, docs, block):
                 if tuple(w[k: k + len(p)]) == p:
                     hit |= set(range(k, k + len(p)))
                     items |= own
-        assert (r.n_words, r.n_hit, r.items, r.contaminated) == (len(w), len(hit), sorted(items), len(hit) > 0 and 20 * len(hit) >= len(w))
+        assert (r.n_words, r.n_hit, r.items, r.contaminated) == (len(w), len(hit), sorted(items - {None}), len(hit) > 0 and 20 * len(hit) >= len(w))
         assert sum(s.end - s.start for s in r.spans) == len(hit)
     assert decontaminate.find_benchmark(docs, bench.limit(0)).where("n_hit > 0").isEmpty() and decontaminate.find_benchmark(docs.limit(0), bench).isEmpty()
 
@@ -311,6 +316,33 @@ def test_pipeline_keeps_columns_and_drops_copies(spark):
     assert {"size", "target", "taken"} <= set(docs.columns) and docs.count() > 100
 
 
+def test_pipeline_rows_without_or_with_repeated_ids_and_clashing_columns(spark):
+    import corpus_pipeline
+
+    long = " ".join(f"word{k}" for k in range(60))
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 100").orderBy("item_id").first().text
+    rows = [(1, "one text of its own, told once", "en", "a", 5), (1, "another text under the same id", "en", "a", 5), (2, long, None, None, 0), (2, long, None, None, 0), (3, long + " more", "en", "b", 0),
+            (None, long + " less", "en", "b", 0), (None, item, "en", "c", 0), (1, item, "en", "c", 0), (4, None, None, None, 0), (5, "", "en", "a", 0), (None, "no id here at all", None, "c", 0)]
+    names = {"score": "s", "predicted": "p", "offending": "o", "n_lines": "l", "n_removed": "r", "row": "x", "mark": "m", "key": "k", "version": "v"}
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({k: F.lit(v) for k, v in names.items()})
+    steps = dict(corpus_pipeline.STAGES)
+    clashing = {tuple(names.values())}
+    for name, n in (("toxicity", 11), ("line_dedup", 11), ("simhash_near_dedup", 6), ("decontamination", 9)):
+        kept = steps[name](spark, df, SF)
+        found = kept.collect()
+        assert kept.columns == df.columns and len(found) == n and {tuple(r[k] for k in names) for r in found} == clashing, name
+        assert steps[name](spark, df.limit(0), SF).isEmpty()
+        if name == "simhash_near_dedup":
+            # one of the copies, both texts of id 1, one text without words; the benchmark text once, under its id
+            assert sorted((r.doc_id or 0, (r.text or "")[:9]) for r in found) == sorted([(1, rows[0][1][:9]), (1, "another t"), (2, long[:9]), (1, item[:9]), (4, ""), (0, "no id her")])
+        if name == "decontamination":
+            assert item not in {r.text for r in found} and sum(r.doc_id == 1 for r in found) == 2
+    # n_chars is no part of what a stage needs
+    assert steps["line_dedup"](spark, df.drop("n_chars"), SF).columns == df.drop("n_chars").columns
+    mixed = steps["mixing"](spark, df, SF)
+    assert mixed.count() == 11 and mixed.where("taken > 3 * size").isEmpty()
+
+
 def test_pipeline_near_copies_against_brute_force(spark):
     import random
 
@@ -334,3 +366,69 @@ def test_pipeline_near_copies_against_brute_force(spark):
     kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, SF).collect()}
     assert kept == {k for k in label if label[k] == k} and len(kept) < len(texts) / 2
     assert corpus_pipeline.drop_near_duplicates(spark, df.limit(0), SF).isEmpty()
+
+
+def test_queries_without_the_package_on_the_workers(tmp_path):
+    """Workers that can't import the package get all they need with the tasks."""
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+from contestlab.llm import queries
+for name in ("op1_mpeg_audio", "op3_language_id", "op6_toxicity", "op7_decontaminate", "op8_html_text"):
+    assert queries.QUERIES[name](spark, {SF!r}).count()
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=300, capture_output=True)
+
+
+def test_audio_survives_any_cut_and_reads_tags():
+    media = mpeg_audio.store(b"payload " * 200)
+    for k in range(len(media)):
+        mpeg_audio.load(media[:k], mpeg_audio.parse(media[:k]))
+    frame = b"\xff\xf2\x14\xc0" + b"\0\0" + bytes(9) + b"Xing\0\0\0\xff"
+    assert mpeg_audio.parse(frame)["crc_bad"] + mpeg_audio.parse(frame)["crc_good"] <= 1
+    text = b"\1" + "Grüße".encode("utf-16")
+    tag = b"TIT2" + len(text).to_bytes(4) + b"\0\0" + text
+    assert mpeg_audio.parse(b"ID3\3\0\0" + bytes([0, 0, 0, len(tag)]) + tag)["tags"] == {"TIT2": "Grüße"}
+    assert mpeg_audio.load(b"", {"frames": [], "tags": {"TXXX": "not ours"}}) == b""
+
+
+def test_audio_checksums_of_layers_one_and_two():
+    # Layer II, 44.1 kHz, 64 kbit/s mono: table B.2a; subband 0 has an allocation, and so two bits of scale factor selection
+    four = b"\xff\xfc\x40\xc0"
+    body = bytes([0x10]) + bytes(300)
+    covered = 4 * 11 + 3 * 12 + 2 * 4 + 2
+    bits = int.from_bytes(four[2:] + body[:12])
+    crc = 0xFFFF
+    for k in range(16 + covered):
+        crc ^= (bits >> (8 * 14 - 1 - k) & 1) << 15
+        crc = (crc << 1 ^ 0x8005) & 0xFFFF if crc & 0x8000 else crc << 1
+    length = mpeg_audio.header(four)["length"]
+    frame = (four + crc.to_bytes(2) + body)[:length]
+    assert len(frame) == length == 208
+    found = mpeg_audio.parse(frame * 3)
+    assert (len(found["frames"]), found["crc_good"], found["crc_bad"]) == (3, 3, 0)
+    assert mpeg_audio.parse((frame[:7] + b"\x01" + frame[8:]) * 2)["crc_bad"] == 2
+    one = b"\xff\xfe\x90\xc0"  # Layer I, mono: 32 allocations of four bits
+    size = mpeg_audio.header(one)["length"]
+    crc = mpeg_audio.crc16(one[2:] + bytes(16))
+    assert mpeg_audio.parse(((one + crc.to_bytes(2)).ljust(size, b"\0")) * 2)["crc_good"] == 2
+
+
+def test_html_is_read_in_linear_time_and_keeps_what_is_text():
+    import time
+    for page in ("<a " * 350_000, '<a "x ' * 200_000, '<a x="' * 200_000, "<title>" * 150_000, "<!--" * 200_000, '<b x=\'"' * 150_000):
+        began = time.time()
+        html_text.main_text(page)
+        assert time.time() - began < 5
+    body = "word " * 40
+    assert html_text.main_text("<p title=it's>Hello world") == "Hello world"
+    assert html_text.main_text('<p title="a > b">x &lt; y') == "x < y"
+    menu = "<nav><ul><li>a<li>b<li>c<li>d</ul></nav>"
+    assert html_text.main_text(f"<p>{body}</p>{menu}<p>Closing.</p>") == f"{body.strip()}\nClosing."
