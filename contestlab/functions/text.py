@@ -126,3 +126,45 @@ def add_rules(base: Column, rules: list[tuple[Column, float, str]], lo: float, h
     for condition, points, _ in rules:
         total = total + F.when(condition, F.lit(points)).otherwise(0.0)
     return F.greatest(F.least(total, F.lit(hi)), F.lit(lo)), F.array_compact(F.array(*[F.when(c, F.lit(note)) for c, _, note in rules]))
+
+
+def refine_category(category: Column, share: Column, title: Column, double_words: list[str], plain: list[str], special: str) -> tuple[Column, Column]:
+    """`special` for plain categories of which a share of 0.8 or more is flagged; and whether it is a double event (a word of the title, or 0.25 or more)."""
+    double = F.coalesce(share, F.lit(0.0)) >= 0.25
+    for word in double_words:
+        double = double | F.coalesce(title.contains(word), F.lit(False))
+    return F.when(category.isin(plain) & (F.coalesce(share, F.lit(0.0)) >= 0.8), F.lit(special)).otherwise(category), double
+
+
+def day_flags(label: Column, first: list[str], last: list[str]) -> tuple[Column, Column]:
+    """whether a day's label names the first and the last day; null for blank labels."""
+    known = F.trim(label) != ""
+    names = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: label.contains(w))
+    return F.when(known, names(first)), F.when(known, names(last))
+
+
+def match_conditions(conditions: dict[str, Column]) -> Column:
+    """the names of the conditions that hold, in the order given; a condition on a missing value does not hold."""
+    return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in conditions.items()]))
+
+
+def comment_score(text: Column, topics: dict[str, tuple[list[str], list[str]]], weight: float = 0.1) -> tuple[Column, Column, Column, Column]:
+    """direction of each topic (1, 0 or -1 by which of its word lists the text meets more often), the bounded sum of `weight` a direction, whether a
+    topic meets both lists, and a label by the sum."""
+    def hits(words: list[str]) -> Column:
+        return F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: text.contains(w)))
+
+    ways = [F.signum(hits(good) - hits(bad)).cast("int").alias(n) for n, (good, bad) in topics.items()]
+    mixed = F.exists(F.array(*[(hits(good) > 0) & (hits(bad) > 0) for good, bad in topics.values()]), lambda x: x)
+    total = F.aggregate(F.array(*ways), F.lit(0), lambda a, x: a + x)
+    delta = F.greatest(F.least(total * weight, F.lit(0.3)), F.lit(-0.3))
+    return F.struct(*ways), delta, mixed, F.when(total > 0, "good").when(total < 0, "bad").otherwise("plain")
+
+
+def json_collect(json: Column, path: list[str], leaf: str) -> Column:
+    """The values of `leaf` anywhere under `path` of a JSON text, in order, joined by commas; empty if there are none.
+
+    The part under the path is cut out as text, so that its depth and shape do not matter.
+    """
+    under = F.get_json_object(json, "$." + ".".join(path))
+    return F.array_join(F.coalesce(F.regexp_extract_all(under, F.lit(rf'"{leaf}"\s*:\s*"([^"]*)"'), 1), F.array().cast("array<string>")), ",")

@@ -66,9 +66,10 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, cols: l
     return found.select(*by, on, *[F.col(f"__l.{c}").alias(c) for c in own], *[F.col(f"__r.{c}").alias(c) for c in cols], F.col("__r.__at").alias("matched_on"))
 
 
-def current_version(df: DataFrame, keys: list[str], eff: str, at, cols: list[str]) -> DataFrame:
-    """For each key the newest version in force on `at`."""
-    return df.where(F.col(eff) <= F.lit(at)).groupBy(*keys).agg(F.max(eff).alias(eff), *[F.max_by(c, eff).alias(c) for c in cols])
+def current_version(df: DataFrame, keys: list[str], eff: str, at, cols: list[str], tie: str | None = None) -> DataFrame:
+    """For each key the newest version in force on `at`; of several of one date that with the largest `tie`."""
+    order = F.struct(eff, tie) if tie else F.col(eff)
+    return df.where(F.col(eff) <= F.lit(at)).groupBy(*keys).agg(F.max(eff).alias(eff), *[F.max_by(c, order).alias(c) for c in cols])
 
 
 def era(df: DataFrame, site: str, day: str, changes: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -72,3 +72,65 @@ def rate_findings(compared: DataFrame, least: int, effect: float, z: float, grad
     far = F.abs(F.col("observed") - F.col("expected"))
     kept = compared.where((F.col("n") >= least) & (far >= effect) & (F.abs("z") >= z) & F.col("agree"))
     return kept.withColumn("grade", F.coalesce(*[F.when(F.abs("z") >= at, F.lit(g)) for at, g in grades]))
+
+
+def influence_findings(df: DataFrame, contest: str, slot: str, actor: str, outcome: str, expected: str, second: str, front: int, least: int, effect: float, z: float) -> DataFrame:
+    """How entrants at other slots do when an actor stands at slot `front`, against what is expected of them.
+
+    (actor, slot, n, rate, base, z): findings with `least` contests, a rate above the expected one by `effect`, a z of at least `z`, and
+    both halves (`second` false and true) above.
+    """
+    heads = df.where(F.col(slot) == front).select(contest, F.col(actor).alias("head"))
+    rows = df.where(F.col(slot) != front).join(heads, contest).withColumn("d", F.col(outcome) - F.col(expected))
+    half = lambda later: F.sum(F.when(F.col(second) == later, F.col("d")))
+    out = rows.groupBy(F.col("head").alias(actor), slot).agg(
+        F.count("*").alias("n"), F.avg(outcome).alias("rate"), F.avg(expected).alias("base"), F.sum("d").alias("d"), F.sum(F.col(expected) * (1 - F.col(expected))).alias("v"),
+        half(False).alias("early"), half(True).alias("late"))
+    out = out.withColumn("z", F.when(F.col("v") > 0, F.col("d") / F.sqrt("v")))
+    good = (F.col("n") >= least) & (F.col("rate") >= F.col("base") + effect) & (F.col("z") >= z) & (F.col("early") > 0) & (F.col("late") > 0)
+    return out.where(good).select(actor, slot, "n", "rate", "base", "z")
+
+
+def shift_findings(df: DataFrame, actor: str, moved: Column, second: str, least: int, rate: float, z: float) -> DataFrame:
+    """Actors that gain a position more often than all do: (actor, n, rate, base, z), above the base in both halves."""
+    rows = df.withColumn("v", moved.cast("double"))
+    base = rows.agg(F.avg("v").alias("base"))
+    half = lambda later: F.avg(F.when(F.col(second) == later, F.col("v")))
+    out = rows.groupBy(actor).agg(F.count("*").alias("n"), F.avg("v").alias("rate"), half(False).alias("early"), half(True).alias("late")).join(F.broadcast(base))
+    out = out.withColumn("z", (F.col("rate") - F.col("base")) / F.sqrt(F.col("base") * (1 - F.col("base")) / F.col("n")))
+    good = (F.col("n") >= least) & (F.col("rate") >= rate) & (F.col("z") >= z) & (F.col("early") > F.col("base")) & (F.col("late") > F.col("base"))
+    return out.where(good).select(actor, "n", "rate", "base", "z")
+
+
+def flag_effect_findings(df: DataFrame, actor: str, flag: Column, value: str, least_with: int, least_without: int, effect: float, z: float) -> DataFrame:
+    """Actors whose value differs under a flag by more than it does for all: (actor, n_with, n_without, gap, usual, z)."""
+    rows = df.select(actor, flag.alias("f"), F.col(value).cast("double").alias("v")).where("f is not null and v is not null")
+    of = lambda fn, f: fn(F.when(F.col("f") == f, F.col("v")))
+    usual = rows.agg((of(F.avg, True) - of(F.avg, False)).alias("usual"))
+    out = rows.groupBy(actor).agg(of(F.count, True).alias("n_with"), of(F.count, False).alias("n_without"), (of(F.avg, True) - of(F.avg, False)).alias("gap"),
+                                  of(F.stddev_samp, True).alias("s1"), of(F.stddev_samp, False).alias("s0")).join(F.broadcast(usual))
+    out = out.where((F.col("n_with") >= least_with) & (F.col("n_without") >= least_without))
+    spread = F.coalesce((F.col("s1") + F.col("s0")) / 2, F.col("s1"), F.col("s0"), F.lit(1.5))
+    out = out.withColumn("z", (F.col("gap") - F.col("usual")) / (F.when(spread > 0, spread).otherwise(1.5) * F.sqrt(1 / F.col("n_with") + 1 / F.col("n_without"))))
+    return out.where((F.col("gap") - F.col("usual") >= effect) & (F.col("z") >= z)).select(actor, "n_with", "n_without", "gap", "usual", "z")
+
+
+def discover(findings: dict[str, DataFrame], actor: str, most: int = 4) -> DataFrame:
+    """All findings (each with `actor` and z) under their names, the `most` of the largest absolute z for each actor."""
+    every = None
+    for name, df in findings.items():
+        part = df.select(actor, F.lit(name).alias("finding"), F.col("z").cast("double").alias("z"))
+        every = part if every is None else every.unionByName(part)
+    order = Window.partitionBy(actor).orderBy(F.desc(F.round(F.abs("z"), 9)), "finding")
+    return every.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).drop("k")
+
+
+def ability_flags(profiles: DataFrame, slot: str, n: str, win: str, start: str, wall: str, lines: dict[int, float], least: int) -> DataFrame:
+    """`profiles` (one row an actor and slot) with `flags`: names of the abilities that it shows with at least `least` runs."""
+    line = F.lit(None).cast("double")
+    for k, v in lines.items():
+        line = F.when(F.col(slot) == k, F.lit(v)).otherwise(line)
+    enough = F.col(n) >= least
+    found = [F.when(enough & (F.col(slot) == 1) & (F.col(win) >= 0.85), F.lit("iron_front")), F.when(enough & (F.col(win) >= line + 0.10), F.lit("winner_s")).when(enough & (F.col(win) >= line), F.lit("winner_a")),
+             F.when(enough & (F.col(slot) >= 2) & (F.col(wall) <= 0.30), F.lit("breaks_front")), F.when(enough & (F.col(start) <= 1.5), F.lit("starter_s")).when(enough & (F.col(start) <= 2.0), F.lit("starter_a"))]
+    return profiles.withColumn("flags", F.array_compact(F.array(*found)))

@@ -102,3 +102,38 @@ def pending(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 def harvest_state(df: DataFrame, day: str, state: str, today, done: DataFrame) -> DataFrame:
     """A row for each entry of a map column, of completed days that are not in `done`."""
     return df.where(F.col(day) < F.lit(today)).join(done.select(day), day, "left_anti").select("*", F.explode(state).alias("key", "value")).drop(state)
+
+
+def normalise_submissions(df: DataFrame, aliases: dict[str, list[str]], key: list[str]) -> DataFrame:
+    """Columns under their own names from whichever alias the submission used, and `rejected`: why a row is not taken (null: it is).
+
+    Values are trimmed and empty ones are missing. A row without a key value is rejected, and so is every row of a key given more than once.
+    """
+    have = {c.strip().lower(): c for c in df.columns}
+    out = df.select(*[F.coalesce(*[F.nullif(F.trim(F.col(f"`{have[a.lower()]}`").cast("string")), F.lit("")) for a in names if a.lower() in have], F.lit(None).cast("string")).alias(c)
+                      for c, names in aliases.items()])
+    missing = F.lit(False)
+    for c in key:
+        missing = missing | F.col(c).isNull()
+    twice = F.count("*").over(Window.partitionBy(*key)) > 1
+    return out.withColumn("rejected", F.when(missing, "missing key").when(twice, "given twice"))
+
+
+def filter_history(df: DataFrame, equal: dict[str, str] | None = None, contains: dict[str, str] | None = None, day: str | None = None, first: str | None = None, last: str | None = None,
+                   every: str = "all") -> DataFrame:
+    """rows within the days (both ends in), whose columns equal or contain what is asked; `every` and empty texts ask for nothing."""
+    cond = F.lit(True)
+    for c, v in (equal or {}).items():
+        cond = cond if v in ("", every) else cond & (F.col(c).cast("string") == v)
+    for c, v in (contains or {}).items():
+        cond = cond if v == "" else cond & F.lower(F.col(c).cast("string")).contains(v.lower())
+    if day and first:
+        cond = cond & (F.col(day) >= F.to_date(F.lit(first)))
+    if day and last:
+        cond = cond & (F.col(day) <= F.to_date(F.lit(last)))
+    return df.where(cond)
+
+
+def verified_rows(predictions: DataFrame, results: DataFrame, notes: DataFrame, key: str, note: str, default: str) -> DataFrame:
+    """Predictions that have a result, with the note kept for them, or `default`."""
+    return predictions.join(results, key).join(notes.select(key, note), key, "left").withColumn(note, F.coalesce(note, F.lit(default)))

@@ -109,3 +109,73 @@ def trailing_mean(df: DataFrame, keys: list[str], day: str, end: str, days: int,
     """Mean of the `days` days before the date `end`, that day itself left out."""
     last = F.lit(end).cast("date")
     return df.where((F.col(day) < last) & (F.col(day) >= F.date_sub(last, days))).groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias(into))
+
+
+def confidence(df: DataFrame, part: str, p: str) -> DataFrame:
+    """(part, confidence, tier): 0.62 of the largest probability and 0.38 of what the normalised entropy leaves, over 0.8, in percent from 5 to 98."""
+    each = df.groupBy(part).agg(F.count("*").alias("n"), F.max(p).alias("top"), (-F.sum(F.when(F.col(p) > 0, F.col(p) * F.log(p)))).alias("h"))
+    even = F.when(F.col("n") > 1, F.col("h") / F.log(F.col("n"))).otherwise(0.0)
+    value = F.greatest(F.least(F.round(100 * F.round(0.62 * F.col("top") + 0.38 * (1 - even), 9) / 0.8), F.lit(98.0)), F.lit(5.0)).cast("long")
+    out = each.withColumn("confidence", value)
+    return out.select(part, "confidence", F.when(value >= 72, "firm").when(value >= 55, "main").when(value >= 40, "mixed").otherwise("wild").alias("tier"))
+
+
+def scenario(df: DataFrame, part: str, slot: str, p: str, table: DataFrame) -> DataFrame:
+    """(part, method, prob): how the contest is won, from each slot's chance and the table (slot, method, share); few rows, a slot and method each."""
+    return df.join(F.broadcast(table), slot).groupBy(part, "method").agg(F.sum(F.col(p) * F.col("share")).alias("prob"))
+
+
+def heuristic_score(df: DataFrame, part: str, base: Column, weights: dict[str, float], into: str = "q") -> DataFrame:
+    """Log of the base rate plus weighted gaps to the contest's means, as a softmax over the contest; missing values have no gap."""
+    w = Window.partitionBy(part)
+    score = F.log(F.greatest(base, F.lit(1e-6)))
+    for c, x in weights.items():
+        score = score + x * F.coalesce(F.col(c) - F.avg(c).over(w), F.lit(0.0))
+    out = df.withColumn("__s", score).withColumn("__e", F.exp(F.col("__s") - F.max("__s").over(w)))
+    return out.withColumn(into, F.col("__e") / F.sum("__e").over(w)).drop("__s", "__e")
+
+
+def trend_adjust(df: DataFrame, part: str, p: str, trend: str, n: str, beta: float, k: float = 10.0, into: str = "q") -> DataFrame:
+    """P times exp(beta * trend / (n + k)), divided by the contest's sum."""
+    raw = F.col(p) * F.exp(beta * F.col(trend) / (F.col(n) + k))
+    return df.withColumn("__r", raw).withColumn(into, F.col("__r") / F.sum("__r").over(Window.partitionBy(part))).drop("__r")
+
+
+def settle_kinds(tickets: DataFrame, results: DataFrame, part: str, budget: float) -> DataFrame:
+    """Settled contests by (part, kind): points, stake, rank of the hit among the tickets, whether there is one, and what returns.
+
+    tickets: (part, kind, ticket, rank, odds); results: (part, kind, result, payout for 100). Each kind's tickets share `budget` by inverse
+    odds (dutch stakes, in hundreds, at least one); without odds each has 100. A contest without a result of the kind has null hits.
+    """
+    w = Window.partitionBy(part, "kind")
+    inverse = F.when(F.col("odds") > 0, 1 / F.col("odds"))
+    stake = F.coalesce(F.greatest(F.floor(F.round(budget * inverse / F.sum(inverse).over(w) / 100, 9)), F.lit(1)) * 100, F.lit(100))
+    rows = tickets.withColumn("stake", stake.cast("double")).join(results, [part, "kind"], "left")
+    hit = F.col("ticket") == F.col("result")
+    return rows.groupBy(part, "kind").agg(
+        F.count("*").alias("points"), F.sum("stake").alias("stake"), F.min(F.when(hit, F.col("rank"))).alias("hit_rank"), F.max(hit).alias("hit"),
+        F.when(F.max("result").isNotNull(), F.coalesce(F.sum(F.when(hit, F.col("payout") * F.col("stake") / 100)), F.lit(0.0))).alias("returned"))
+
+
+def scored_tickets(df: DataFrame, part: str, slot: str, terms: dict[str, tuple[Column, float]], heads: int, k: int) -> DataFrame:
+    """The best k ordered pairs of a contest whose first member is among the `heads` of the highest score: (part, ticket, score, rank).
+
+    A slot's score is the weighted sum of `terms`; a ticket's is that of its head and half of its partner's.
+    """
+    score = F.lit(0.0)
+    for c, x in terms.values():
+        score = score + x * F.coalesce(c.cast("double"), F.lit(0.0))
+    entries = df.select(part, slot, score.alias("s"))
+    entries = entries.withColumn("h", F.row_number().over(Window.partitionBy(part).orderBy(F.desc(F.round("s", 9)), slot)))
+    packed = entries.groupBy(part).agg(F.collect_list(F.struct(F.col(slot).alias("slot"), "s", "h")).alias("e"))
+    pairs = packed.select(part, "e", F.explode(F.filter("e", lambda x: x["h"] <= heads)).alias("a")).select(
+        part, "a", F.explode(F.filter("e", lambda y: y["slot"] != F.col("a.slot"))).alias("b"))
+    out = pairs.select(part, F.concat_ws("-", "a.slot", "b.slot").alias("ticket"), (F.col("a.s") + F.col("b.s") / 2).alias("score"))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy(part).orderBy(F.desc(F.round("score", 9)), "ticket"))).where(F.col("rank") <= k)
+
+
+def ability_tickets(tickets: DataFrame, part: str, head: str, order: list, flags: DataFrame, keep: str, most: int) -> DataFrame:
+    """The first `most` tickets of each contest, of those whose head has the flag `keep`; flags: (part, slot, flags)."""
+    good = flags.where(F.array_contains("flags", keep)).select(part, F.col("slot").alias(head))
+    w = Window.partitionBy(part).orderBy(*order)
+    return tickets.join(good, [part, head], "left_semi").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)

@@ -80,7 +80,7 @@ def top_k(df: DataFrame, part: list[str], order: list, k: int, into: str = "rank
 def pick_value(df: DataFrame, part: str, p: str, odds: str, ticket: str, least_ev: float, least_p: float, k: int, lo: float, hi: float) -> DataFrame:
     """Tickets of enough expected value, the best k of them, and of those the ones in the odds band (after the cut)."""
     good = df.withColumn("ev", F.col(p) * F.col(odds)).where((F.col("ev") >= least_ev) & (F.col(p) >= least_p))
-    return top_k(good, [part], [F.desc("ev"), F.asc(ticket)], k).where((F.col(odds) >= lo) & (F.col(odds) < hi))
+    return top_k(good, [part], [F.desc(F.round("ev", 9)), F.asc(ticket)], k).where((F.col(odds) >= lo) & (F.col(odds) < hi))
 
 
 def settle(tickets: DataFrame, results: DataFrame, part: str, ticket: str = "ticket", stake: float = 100.0) -> DataFrame:

@@ -253,8 +253,9 @@ def j6_asof_tolerance(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select o_custkey, cast(max(o_orderdate) as date)::varchar as eff, arg_max(o_orderkey, (o_orderdate, o_orderkey)) as v from orders where o_orderdate <= timestamp '1998-06-30' group by o_custkey")
 def j7_current_version(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select("o_custkey", F.struct("o_orderdate", "o_orderkey").alias("eff"), F.col("o_orderkey").alias("v")).where("eff.o_orderdate <= timestamp '1998-06-30'")
-    return o.groupBy("o_custkey").agg(F.max("eff").alias("eff"), F.max_by("v", "eff").alias("v")).select("o_custkey", F.to_date("eff.o_orderdate").cast("string").alias("eff"), "v")
+    o = table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey").withColumn("v", F.col("o_orderkey"))
+    at = F.lit("1998-06-30").cast(o.schema["o_orderdate"].dataType)
+    return asof.current_version(o, ["o_custkey"], "o_orderdate", at, ["v"], "o_orderkey").select("o_custkey", F.to_date("o_orderdate").cast("string").alias("eff"), "v")
 
 
 @query("""select contest, slot, a.score as score, (select score from ent b where b.contest = a.contest and b.slot = a.slot - 1) as "inner",
@@ -363,8 +364,8 @@ def p12_composite(spark: SparkSession, d: str) -> DataFrame:
 
 @query(", r as (select *, row_number() over (partition by contest order by round(p * odds, 9) desc, slot) as k from ent where p * odds >= 0.8 and p >= 0.05) select contest, slot, round(p * odds, 6) as ev from r where k <= 3 and odds >= 2 and odds < 10", ent=True)
 def t2_pick_value(spark: SparkSession, d: str) -> DataFrame:
-    good = entrants(spark, d).where("p * odds >= 0.8 and p >= 0.05").withColumn("ev", F.col("p") * F.col("odds"))
-    return tuples.top_k(good, ["contest"], [F.desc(F.round("ev", 9)), F.asc("slot")], 3).where("odds >= 2 and odds < 10").select("contest", "slot", R("ev").alias("ev"))
+    found = tuples.pick_value(entrants(spark, d), "contest", "p", "odds", "slot", 0.8, 0.05, 3, 2.0, 10.0)
+    return found.select("contest", "slot", R("ev").alias("ev"))
 
 
 RESULT = "res as (select contest, concat_ws('-', max(slot) filter (finish = 1), max(slot) filter (finish = 2), max(slot) filter (finish = 3)) as result, round(100 * max(odds) filter (finish = 1)) as payout from ent group by contest having max(finish) >= 3)"
@@ -409,9 +410,8 @@ def flagship_monthly_return(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select count(*) as contests, round(avg(loss), 6) as log_loss, round(avg(fav), 6) as favourite_hit from (select contest, sum(case when finish = 1 then -ln(greatest(1 / odds, 1e-9)) end) as loss, arg_max((finish = 1)::int, (round(1 / odds, 12), -slot)) as fav from ent group by contest)", ent=True)
 def e1_log_loss(spark: SparkSession, d: str) -> DataFrame:
-    e = entrants(spark, d).withColumn("hit", F.col("finish") == 1).withColumn("q", 1 / F.col("odds"))
-    fav = e.groupBy("contest").agg(F.sum(F.when(F.col("hit"), -F.log(F.greatest("q", F.lit(1e-9))))).alias("loss"), F.max_by(F.col("hit").cast("int"), F.struct(F.round("q", 12), -F.col("slot"))).alias("fav"))
-    return fav.agg(F.count("*").alias("contests"), R(F.avg("loss")).alias("log_loss"), R(F.avg("fav")).alias("favourite_hit"))
+    e = entrants(spark, d).withColumns({"hit": F.col("finish") == 1, "q": F.round(1 / F.col("odds"), 12)})
+    return evaluate.log_loss(e, [], "q", "hit").select("contests", R("log_loss").alias("log_loss"), R("favourite_hit").alias("favourite_hit"))
 
 
 @query(", " + MARKET + """, g as (select a / 10.0::double as a, b / 10.0::double as b from range(0, 11, 2) t(a), range(0, 11, 2) u(b)),
@@ -468,7 +468,10 @@ def a23_auc_rank(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.auc_rank(entrants(spark, d).withColumn("y", F.col("finish") == 1), "score", "y").withColumn("auc", R("auc", 8))
 
 
-@query()
+@query(""", c as (select site, score::int as v, count(*) as n from ent group by 1, 2), o as (select *, row_number() over (partition by site order by v) as k, lead(v) over (partition by site order by v) is null as last from c),
+x as (with recursive x as (select site, k, 0 as bin, v as lo, n, n >= 150 as done, last from o where k = 1
+ union all select o.site, o.k, case when x.done then x.bin + 1 else x.bin end, case when x.done then o.v else x.lo end, case when x.done then o.n else x.n + o.n end, case when x.done then o.n else x.n + o.n end >= 150, o.last from x join o on o.site = x.site and o.k = x.k + 1) select * from x)
+select site, bin, lo::bigint as lo, n::bigint as n from x where done or last""", ent=True)
 def a10_adaptive_bins(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.adaptive_bins(entrants(spark, d).withColumn("v", F.col("score").cast("int")), "site", "v", 150)
 

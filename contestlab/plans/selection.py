@@ -189,12 +189,12 @@ LEFT = lambda: F.lit(60) - (F.minute("ts") + F.second("ts") / 60)
 @query("select user_id, hour, event_id, event_type from (select *, strftime(ts, '%Y-%m-%d %H') as hour, row_number() over (partition by user_id, strftime(ts, '%Y-%m-%d %H') order by ts, event_id) as k from events where 60 - (minute(ts) + second(ts) / 60) <= 5.5) where k = 1")
 def r1_first_tick(spark: SparkSession, d: str) -> DataFrame:
     ticks = stream(spark, d).withColumn("hour", F.date_format("ts", "yyyy-MM-dd HH"))
-    return live.run_available(live.first_tick(ticks, ["user_id", "hour"], "ts", LEFT(), 5.5, "event_id", ["event_type"]), "complete").drop("ts")
+    return live.run_available(live.first_tick(ticks, ["user_id", "hour"], "ts", LEFT(), 5.5, "event_id", ["event_type"]), "update", ["user_id", "hour"]).drop("ts")
 
 
 @query("select strftime(ts, '%Y-%m-%d %H') as hour, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def r6_window_totals(spark: SparkSession, d: str) -> DataFrame:
-    found = live.run_available(live.window_totals(stream(spark, d), ["event_type"], "ts", "1 hour", {"total": F.col("value")}), "complete")
+    found = live.run_available(live.window_totals(stream(spark, d), ["event_type"], "ts", "1 hour", {"total": F.col("value")}), "update", ["start", "event_type"])
     return found.select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", R("total", 4).alias("total"))
 
 
@@ -202,3 +202,54 @@ def r6_window_totals(spark: SparkSession, d: str) -> DataFrame:
 def r8_notify_once(spark: SparkSession, d: str) -> DataFrame:
     ticks = stream(spark, d).withColumn("hour", F.date_format("ts", "yyyy-MM-dd HH"))
     return live.run_available(live.notify_once(ticks, ["user_id", "event_type", "hour"], "ts"), "append").select("user_id", "event_type", "hour")
+
+
+@query("select distinct user_id, hour, stretch from (select user_id, strftime(ts, '%Y-%m-%d %H') as hour, 60 - (minute(ts) + second(ts) / 60) as m, case when m <= 3 and m > 2 then 1 when m <= 2 and m > 1 then 2 when m <= 1 and m > 0 then 3 end as stretch from events) where stretch is not null")
+def r2_late_decisions(spark: SparkSession, d: str) -> DataFrame:
+    ticks = stream(spark, d).withColumn("hour", F.date_format("ts", "yyyy-MM-dd HH"))
+    return live.run_available(live.late_decisions(ticks, ["user_id", "hour"], "ts", LEFT(), [(3, 2), (2, 1), (1, 0)]), "append").select("user_id", "hour", "stretch")
+
+
+@query("select event_id, round((epoch(date_trunc('second', w.last)) - epoch(date_trunc('second', ts))) / 60, 4) as minutes_left from events join (select user_id, max(ts) as last from events group by user_id) w using (user_id)")
+def r3_quote_stream(spark: SparkSession, d: str) -> DataFrame:
+    deadlines = table(spark, d, "events").groupBy("user_id").agg(F.max("ts").cast("timestamp").alias("deadline"))
+    return live.run_available(live.quote_stream(stream(spark, d), deadlines, "user_id", "ts", "deadline"), "append").select("event_id", R("minutes_left", 4).alias("minutes_left"))
+
+
+@query("select a.event_id as bet, b.event_id as result from events a join events b on a.user_id = b.user_id and a.event_type = 'click' and b.event_type = 'purchase' and b.ts >= a.ts + interval 6 minutes and b.ts <= a.ts + interval 12 hours")
+def r4_settle_late(spark: SparkSession, d: str) -> DataFrame:
+    bets = stream(spark, d).where("event_type = 'click'").select("user_id", F.col("ts").alias("bet_ts"), F.col("event_id").alias("bet"))
+    found = stream(spark, d).where("event_type = 'purchase'").select(F.col("user_id").alias("result_key"), F.col("ts").alias("result_ts"), F.col("event_id").alias("result"))
+    return live.run_available(live.settle_late(bets, found, "user_id", "bet_ts", "result_ts"), "append").select("bet", "result")
+
+
+@query("select user_id, event_id, age from (select user_id, q.event_id as event_id, row_number() over (partition by user_id order by q.ts desc, q.event_id desc) as age from (select user_id, min({'ts': ts, 'event_id': event_id}) as q from events group by user_id, floor(epoch(ts) / 240))) where age <= 12")
+def r5_bounded_history(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return live.bounded_history(events, "user_id", "ts", "event_id", 4, 12).select("user_id", "event_id", "age")
+
+
+@query("select strftime(s, '%Y-%m-%d %H:%M') as start, event_type, count(*) as n, round(sum(value), 4) as total from (select *, unnest([time_bucket(interval 30 minutes, ts), time_bucket(interval 30 minutes, ts) - interval 30 minutes]) as s from events) group by 1, 2")
+def r6_sliding_totals(spark: SparkSession, d: str) -> DataFrame:
+    found = live.run_available(live.window_totals(stream(spark, d), ["event_type"], "ts", "1 hour", {"total": F.col("value")}, slide="30 minutes"), "update", ["start", "event_type"])
+    return found.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", R("total", 4).alias("total"))
+
+
+@query("""select user_id, count(*) as n, round(sum(value), 4) as total from (select *, sum(new) over (partition by user_id order by ts, event_id) as s from (select *, (lag(ts) over (partition by user_id order by ts, event_id) is null or ts - lag(ts) over (partition by user_id order by ts, event_id) >= interval 3 hours)::int as new from events)) group by user_id, s""")
+def r6_session_totals(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return live.session_totals(events, ["user_id"], "ts", "3 hours", {"total": F.col("value")}).select("user_id", "n", R("total", 4).alias("total"))
+
+
+@query("select user_id, mode, event_id from (select user_id, event_type as mode, event_id, row_number() over (partition by user_id order by case event_type when 'purchase' then 0 when 'click' then 1 else 2 end, ts desc, event_id desc) as k from events where ts <= timestamp '2024-01-15 00:00:00' and timestamp '2024-01-15 00:00:00' - ts <= interval 10 days) where k = 1")
+def r7_current_prediction(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    now = F.lit("2024-01-15 00:00:00").cast("timestamp")
+    return live.current_prediction(events, "user_id", "ts", "event_id", now, "event_type", ["purchase", "click"], [], 14400).select("user_id", F.col("event_type").alias("mode"), "event_id")
+
+
+@query()
+def r9_alert_state(spark: SparkSession, d: str) -> DataFrame:
+    """Failures are low values of a user's events; no SQL (each alert depends on the last), tested by a plain loop."""
+    checks = table(spark, d, "events").groupBy("user_id", F.col("ts").cast("timestamp").alias("ts")).agg(F.min("value").alias("value")).withColumn("bad", F.col("value") < 40)
+    return live.alert_state(checks, "user_id", "ts", "bad").withColumn("ts", F.col("ts").cast("string"))
