@@ -131,6 +131,6 @@ def ability_flags(profiles: DataFrame, slot: str, n: str, win: str, start: str,
     for k, v in lines.items():
         line = F.when(F.col(slot) == k, F.lit(v)).otherwise(line)
     enough = F.col(n) >= least
-    found = [F.when(enough & (F.col(slot) == 1) & (F.col(win) >= 0.85), F.lit("iron_front")), F.when(enough & (F.col(win) >= line + 0.10), F.lit("winner_s")).when(enough & (F.col(win) >= line), F.lit("winner_a")),
+    found = [F.when(enough & (F.col(slot) == 1) & (F.col(win) >= 0.85), F.lit("iron_front")), F.when(enough & (F.round(win, 9) >= F.round(line + 0.10, 9)), F.lit("winner_s")).when(enough & (F.col(win) >= line), F.lit("winner_a")),
              F.when(enough & (F.col(slot) >= 2) & (F.col(wall) <= 0.30), F.lit("breaks_front")), F.when(enough & (F.col(start) <= 1.5), F.lit("starter_s")).when(enough & (F.col(start) <= 2.0), F.lit("starter_a"))]
     return profiles.withColumn("flags", F.array_compact(F.array(*found)))

@@ -371,9 +371,10 @@ def t2_pick_value(spark: SparkSession, d: str) -> DataFrame:
 RESULT = "res as (select contest, concat_ws('-', max(slot) filter (finish = 1), max(slot) filter (finish = 2), max(slot) filter (finish = 3)) as result, round(100 * max(odds) filter (finish = 1)) as payout from ent group by contest having max(finish) >= 3)"
 
 
-def results(e: DataFrame) -> DataFrame:
+def results(e: DataFrame, *more) -> DataFrame:
+    """Result and payout of the contests that have three places, and what else is asked of their entrants."""
     place = lambda k: F.max(F.when(F.col("finish") == k, F.col("slot")))
-    return e.groupBy("contest").agg(F.concat_ws("-", place(1), place(2), place(3)).alias("result"), F.round(100 * F.max(F.when(F.col("finish") == 1, F.col("odds")))).alias("payout"), F.max("finish").alias("n")).where("n >= 3").drop("n")
+    return e.groupBy("contest").agg(F.concat_ws("-", place(1), place(2), place(3)).alias("result"), F.round(100 * F.max(F.when(F.col("finish") == 1, F.col("odds")))).alias("payout"), F.max("finish").alias("n"), *more).where("n >= 3").drop("n")
 
 
 @query(", " + TRIPLES + ", " + RESULT + """, pick as (select *, row_number() over (partition by contest order by round(prob, 10) desc, ticket) as k from tri)
@@ -382,7 +383,7 @@ from pick join res using (contest) join (select contest, max(day) as day from en
 def l11_settle_roi(spark: SparkSession, d: str) -> DataFrame:
     e = entrants(spark, d)
     picked = tuples.top_k(triples(spark, d), ["contest"], [F.desc(F.round("prob", 10)), F.asc("ticket")], 6)
-    settled = tuples.settle(picked, results(e), "contest").where("hit is not null").join(e.groupBy("contest").agg(F.max("day").alias("day")), "contest")
+    settled = tuples.settle(picked, results(e, F.max("day").alias("day")), "contest").where("hit is not null")
     return tuples.roi(settled.withColumn("month", F.date_format("day", "yyyy-MM")), ["month"]).select("month", "bets", "hits", R("roi").alias("roi"))
 
 
@@ -401,7 +402,7 @@ def flagship_monthly_return(spark: SparkSession, d: str) -> DataFrame:
     scored = e.join(prior, ["actor", "day"]).withColumn("s", asof.shrink(F.col("w_win"), F.col("w_n"), F.col("p0"), 10))
     win = tuples.normalise(scored, "contest", "s", 0.0).select("contest", "slot", "q")
     picked = tuples.top_k(tuples.ordered_triples(win, "contest", "slot", "q"), ["contest"], [F.desc(F.round("prob", 9)), F.asc("ticket")], 6)
-    settled = tuples.settle(picked, results(e), "contest").where("hit is not null").join(e.groupBy("contest").agg(F.max("day").alias("day")), "contest")
+    settled = tuples.settle(picked, results(e, F.max("day").alias("day")), "contest").where("hit is not null")
     return tuples.roi(settled.withColumn("month", F.date_format("day", "yyyy-MM")), ["month"]).select("month", "bets", "hits", R("roi").alias("roi"))
 
 

@@ -328,7 +328,7 @@ def profiles(spark: SparkSession, d: str) -> DataFrame:
     return entrants(spark, d).groupBy("actor", "slot").agg(F.count("*").alias("n"), F.avg((F.col("finish") == 1).cast("int")).alias("win"), F.avg("score_rank").alias("start"), F.avg((F.col("finish") >= 5).cast("int")).alias("wall"))
 
 
-@query(", " + PROFILE + """ select actor, slot, n, concat_ws(',', case when n >= 3 and slot = 1 and win >= 0.85 then 'iron_front' end, case when n >= 3 and win >= ln + 0.1 then 'winner_s' when n >= 3 and win >= ln then 'winner_a' end,
+@query(", " + PROFILE + """ select actor, slot, n, concat_ws(',', case when n >= 3 and slot = 1 and win >= 0.85 then 'iron_front' end, case when n >= 3 and round(win, 9) >= round(ln + 0.1, 9) then 'winner_s' when n >= 3 and win >= ln then 'winner_a' end,
  case when n >= 3 and slot >= 2 and wall <= 0.3 then 'breaks_front' end, case when n >= 3 and start <= 1.5 then 'starter_s' when n >= 3 and start <= 2 then 'starter_a' end) as flags
 from (select *, case slot when 2 then 0.2 when 3 then 0.25 when 4 then 0.3 when 5 then 0.2 end as ln from pr)""", ent=True)
 def d8_ability_flags(spark: SparkSession, d: str) -> DataFrame:
