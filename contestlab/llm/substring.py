@@ -8,7 +8,7 @@ where its reference differs although another reference goes on; the seeds that s
 so nothing is lost there. Words under any factor are duplicates.
 
 Seeds are compared by 80 bits of two hashes, not word by word: among 10^10 seeds about 10^-4 false matches are expected, among 10^13
-about 100, each of 13 words. An Arrow batch first settles what repeats inside it, and sends each of
+about 40, each of 13 words. An Arrow batch first settles what repeats inside it, and sends each of
 its seeds for the smallest document only, so a seed that a third of all documents share costs one record a batch.
 """
 
