@@ -125,15 +125,16 @@ def linked_groups(prefixed: DataFrame, sets: DataFrame, sketched: Callable[[Data
 
     Candidates are pairs of keys that share a `gram` of `prefixed` (gram, key) and whose sketches pass `may`, which is false only for pairs
     that are no links. `sketched` takes the rows of `sets` (one a key) that candidates need and gives (key, sketch); `verified` takes pairs
-    (a, b) and the same rows, and gives the pairs that are links. Each key is first tried with the first key under each of its
-    grams, then with all others that it isn't connected to; sketches are compared where two keys meet, so that only likely pairs are
+    (a, b) and the same rows, and gives the pairs that are links. Each key is first tried with the first key and the two
+    before it under each of its grams, then with all others that it isn't connected to; sketches are compared where two keys meet, so that only likely pairs are
     written. Tables are written by `keep`.
     """
-    lead = F.first("key").over(Window.partitionBy("gram").orderBy("key"))
-    shared = keep(prefixed.select("*", lead.alias("lead")).where("key <> lead"), dictionary=False)
+    under = Window.partitionBy("gram").orderBy("key")
+    tried = [F.first("key").over(under).alias("lead"), F.lag("key", 1).over(under).alias("last"), F.lag("key", 2).over(under).alias("last_2")]
+    shared = keep(prefixed.select("*", *tried).where("key <> lead"), dictionary=False)
     members = keep(sets.join(shared.select(F.explode(F.array("lead", "key")).alias("key")).distinct(), "key", "left_semi"), dictionary=False)
     sketches = keep(sketched(members), dictionary=False)
-    led = shared.select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct()
+    led = shared.select(F.explode(F.array("lead", "last", "last_2")).alias("a"), F.col("key").alias("b")).where("a <> b").distinct()
     led = led.join(sketches.toDF("a", "a_sketch"), "a").join(sketches.toDF("b", "b_sketch"), "b").where(may(F.col("a_sketch"), F.col("b_sketch"))).select("a", "b")
     links = keep(verified(led, members))
     joined = connected_components(links, keep).select(F.col("node").alias("key"), "component")
