@@ -168,9 +168,9 @@ def a17_batch_index(spark: SparkSession, d: str) -> DataFrame:
     return aggregate.batch_index(table(spark, d, "orders"), ["o_custkey"], F.col("o_orderstatus") == "F", "o_orderpriority")
 
 
-@query(", m as (select slot, avg((finish = 1)::int) as m from ent group by slot) select score_rank, class, grouping(score_rank, class)::bigint as level, count(*) as n, round(avg((finish = 1)::int - m), 6) as uplift from (select *, cast(score_rank as int) as score_rank_i from ent) join m using (slot) group by cube (score_rank, class) having count(*) >= 50", ent=True)
+@query(", m as (select slot, avg((finish = 1)::int) as m from ent group by slot) select score_rank, class, grouping(score_rank, class)::bigint as level, count(*) as n, round(avg((finish = 1)::int - m), 6) + 0.0 as uplift from (select *, cast(score_rank as int) as score_rank_i from ent) join m using (slot) group by cube (score_rank, class) having count(*) >= 50", ent=True)
 def a19_uplift_grid(spark: SparkSession, d: str) -> DataFrame:
-    return aggregate.uplift_grid(entrants(spark, d), "score_rank", "class", "slot", WIN(), 50).select(F.col("score_rank").cast("long").alias("score_rank"), "class", F.col("level").cast("long").alias("level"), "n", R("uplift").alias("uplift"))
+    return aggregate.uplift_grid(entrants(spark, d), "score_rank", "class", "slot", WIN(), 50).select(F.col("score_rank").cast("long").alias("score_rank"), "class", F.col("level").cast("long").alias("level"), "n", (R("uplift") + F.lit(0.0)).alias("uplift"))
 
 
 @query(" select left(cast(ent.day as varchar), 7) as period, cast(ent.day as varchar) as day, grouping(left(cast(ent.day as varchar), 7), ent.day)::bigint as level, count(*) as bets, sum((finish = 1)::int)::bigint as hits from ent where slot = 1 group by rollup (left(cast(ent.day as varchar), 7), ent.day)", ent=True)
