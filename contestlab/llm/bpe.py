@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import sys
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -27,7 +28,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Fixed value: the pattern of byte-level tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries of a worker's tables of pieces and of pairs, which start again when full, and the longest piece that is kept.
+#: Entries of a worker's tables of pieces and of pairs, and the longest piece that is kept. Of pieces there are two such tables: when the newer is full the
+#: older goes, and what is met in the older moves to the newer, so that frequent pieces stay.
 CACHED, CACHED_CHARS = 1 << 17, 48
 #: Ids decoded at a time.
 RUN = 1 << 16
@@ -80,12 +82,15 @@ class Encoder:
         self.lengths = [len(tokens[k]) for k in self.ids]
         self.found = ahocorasick.Automaton()
         names = [tokens[k].decode("latin-1") for k in self.ids]
-        for k, name in enumerate(names):
+        for k, name in enumerate(names[256:], 256):  # a byte alone is its own number
             self.found.add_word(name, k)
-        self.shorter = [max((self.found.get(name[:j], -1) for j in range(1, len(name))), key=lambda t: self.lengths[t] if t >= 0 else 0, default=-1) for name in names]
+        self.shorter = [-1] * len(names)
+        for k, name in enumerate(names[256:], 256):
+            self.shorter[k] = next(t for j in range(len(name) - 1, 0, -1) if (t := self.found.get(name[:j], ord(name[0]) if j == 1 else -1)) >= 0)
         self.found.make_automaton()
         self.compatible: dict[tuple[int, int], bool] = {}
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.special = tables["special"]
         self.pattern = regex.compile(PATTERN)
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
@@ -118,44 +123,57 @@ class Encoder:
         return good
 
     def encode_piece(self, data: bytes) -> list[int]:
-        """The ages of one piece's tokens."""
-        n = len(data)
-        longest = [0] * n
+        """The ids of one piece's tokens."""
+        n, lengths, shorter, compatible = len(data), self.lengths, self.shorter, self.compatible
+        longest = list(data)
         for end, token in self.found.iter(data.decode("latin-1")):
-            longest[end + 1 - self.lengths[token]] = token  # longer ones end later
-        open_at, out, at, token = bytearray(b"\1" * (n + 1)), [], 0, longest[0]
+            longest[end + 1 - lengths[token]] = token  # longer ones end later
+        token = longest[0]
+        if lengths[token] == n:
+            return [self.ids[token]]
+        closed, out, last, at = set(), [], -1, 0
         while True:
-            end = at + self.lengths[token]
-            if open_at[end] and (not out or self.may_follow(out[-1], token)):
-                out.append(token)
-                at = end
-                if at == n:
-                    return out
-                token = longest[at]
-            elif self.shorter[token] >= 0:
-                token = self.shorter[token]
+            end = at + lengths[token]
+            if end not in closed:
+                fits = True if last < 0 else compatible.get((last, token))
+                if fits is None:
+                    fits = self.may_follow(last, token)
+                if fits:
+                    out.append(token)
+                    if end == n:
+                        return [self.ids[t] for t in out]
+                    last, at, token = token, end, longest[end]
+                    continue
+            if shorter[token] >= 0:
+                token = shorter[token]
             else:  # no token can follow the last one here
-                open_at[at] = 0
+                closed.add(at)
                 token = out.pop()
-                at -= self.lengths[token]
+                last = out[-1] if out else -1
+                at -= lengths[token]
+
+    def _met(self, piece: str) -> bytes:
+        """The ids of a piece that is not in the newer table."""
+        code = self.older.get(piece)
+        if code is None:
+            code = array("i", self.encode_piece(piece.encode())).tobytes()
+            if len(piece) > CACHED_CHARS:
+                return code
+        if len(self.pieces) >= CACHED:
+            self.older = dict(self.pieces)
+            self.pieces.clear()
+        self.pieces[piece] = code
+        return code
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a whole text; special strings in it are their tokens."""
         parts = self.split.split(text) if self.split and text else [text or ""]
-        out, known = [], self.pieces
+        out, known, met = [], self.pieces.get, self._met
         for k, part in enumerate(parts):
             if k % 2:
-                out.append(np.array([self.special[part]], np.int32).tobytes())
-                continue
-            for piece in self.pattern.findall(part):
-                code = known.get(piece)
-                if code is None:
-                    code = np.array([self.ids[t] for t in self.encode_piece(piece.encode())], np.int32).tobytes()
-                    if len(piece) <= CACHED_CHARS:
-                        if len(known) >= CACHED:
-                            known.clear()
-                        known[piece] = code
-                out.append(code)
+                out.append(array("i", [self.special[part]]).tobytes())
+            else:
+                out += [known(piece) or met(piece) for piece in self.pattern.findall(part)]
         return np.frombuffer(b"".join(out), np.int32)
 
 
