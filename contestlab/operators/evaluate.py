@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def unit_random(*key: Column) -> Column:
     """A reproducible uniform number in [0, 1) from the first 32 bits of an md5."""
@@ -63,10 +65,10 @@ def bootstrap_limits(df: DataFrame, unit: str, num: str, den: str, reps: int = 1
 
 
 def holm(df: DataFrame, p: str, name: str) -> DataFrame:
-    """Holm-adjusted p-values; one row a hypothesis."""
-    w = Window.orderBy(p, name)
-    raw = F.least((F.count("*").over(Window.partitionBy()) - F.row_number().over(w) + 1) * F.col(p), F.lit(1.0))
-    return df.withColumn("__raw", raw).withColumn("p_holm", F.max("__raw").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__raw")
+    """Holm-adjusted p-values; one row a hypothesis, ranked by range."""
+    found, n = ranks.before_sum(ranks.place(df.withColumn("__one", F.lit(1)), p, name), "__one", "__k")
+    raw = found.withColumn("__raw", F.least((F.lit(n) - F.col("__k")) * F.col(p), F.lit(1.0)))
+    return ranks.upto_max(raw, "__raw", "p_holm").select(*df.columns, "p_holm")
 
 
 def calibration_cells(df: DataFrame, conditions: dict[str, Column], p: str, hit: str, least: int) -> DataFrame:
@@ -78,10 +80,10 @@ def calibration_cells(df: DataFrame, conditions: dict[str, Column], p: str, hit:
 
 
 def auc_rank(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Area under the curve from rank sums; ties count half. One row a distinct score is ranked, not one a row."""
+    """Area under the curve from rank sums; ties count half. One row a distinct score is ranked, by range."""
     by = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.sum(F.col(label).cast("int")).alias("pos"), F.count("*").alias("n"))
-    below = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    r = by.withColumn("rank", F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2)
+    found, _ = ranks.before_sum(ranks.place(by, score), "n", "__below")
+    r = found.withColumn("rank", F.col("__below") + (F.col("n") + 1) / 2)
     return r.agg(F.sum("pos").alias("positives"), (F.sum("n") - F.sum("pos")).alias("negatives"), F.sum(F.col("rank") * F.col("pos")).alias("s")).select(
         "positives", "negatives", ((F.col("s") - F.col("positives") * (F.col("positives") + 1) / 2) / (F.col("positives") * F.col("negatives"))).alias("auc"))
 
@@ -114,6 +116,28 @@ def martingale(df: DataFrame, by: list[str], order: list[str], hit: str, base: f
 
 
 def date_blocks(df: DataFrame, day: str, n: int) -> DataFrame:
-    """The number of each row's block of distinct dates, 1 to n; the dates alone are ranked."""
-    dates = df.select(day).distinct().withColumn("block", F.ntile(n).over(Window.orderBy(day)))
-    return df.join(dates, day)
+    """The number of each row's block of distinct dates, 1 to n, the first ones a date longer where they don't come out even."""
+    dates, total = ranks.positions(df.select(day).where(F.col(day).isNotNull()).distinct(), day)
+    size, longer = divmod(total, n)
+    k = F.col("position")
+    block = F.when(k < longer * (size + 1), F.floor(k / (size + 1))).otherwise(longer + F.floor((k - longer * (size + 1)) / max(size, 1))) + 1
+    return df.join(dates.select(day, block.cast("int").alias("block")), day)
+
+
+def block_improvement(df: DataFrame, day: str, old: str, new: str, n: int = 3, least: int = 60) -> DataFrame:
+    """Per block of dates the rows, the mean change new - old of a loss (null under `least` rows), and whether it fell."""
+    found = date_blocks(df, day, n).groupBy("block").agg(F.count("*").alias("n"), F.avg(F.col(new) - F.col(old)).alias("__d"))
+    return found.select("block", "n", F.when(F.col("n") >= least, F.col("__d")).alias("change"), F.coalesce(F.when(F.col("n") >= least, F.col("__d") < 0), F.lit(False)).alias("better"))
+
+
+def time_split(df: DataFrame, day: str, train: float = 0.6, valid: float = 0.15, out: str = "role") -> DataFrame:
+    """1 for the first share of distinct dates, 2 for the next, 3 for the rest (60/15/25); null dates are left out."""
+    dates, total = ranks.positions(df.select(day).where(F.col(day).isNotNull()).distinct(), day)
+    role = F.when(F.col("position") < int(total * train), 1).when(F.col("position") < int(total * (train + valid)), 2).otherwise(3)
+    return df.join(dates.select(day, role.alias(out)), day)
+
+
+def days_split(df: DataFrame, day: str, last: str, test_days: int, valid_days: int, out: str = "role") -> DataFrame:
+    """3 for the `test_days` up to the day `last`, 2 for the `valid_days` before these, else 1."""
+    age = F.datediff(F.lit(last).cast("date"), day)
+    return df.withColumn(out, F.when(age <= test_days, 3).when(age <= test_days + valid_days, 2).otherwise(1))

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
 from .evaluate import unit_random
 
 
@@ -102,15 +103,15 @@ def null_max_test(df: DataFrame, part: str, slot: str, market: str, odds: str, h
     One row: the best slot, its return, and the share of `sims` worlds, drawn from the market's probabilities, whose best return is as
     high. A contest's winner is picked where md5(contest:sim) falls into its cumulative probabilities, all sims of a contest at once.
     """
-    entries = df.groupBy(part).agg(F.array_sort(F.collect_list(F.struct(F.col(slot).alias("slot"), F.col(market).alias("q"), F.col(odds).alias("o"), F.col(hit).alias("hit")))).alias("e"))
-    runs = F.aggregate("e", F.struct(F.lit(0.0).alias("t"), F.expr("cast(array() as array<double>)").alias("c")), lambda acc, x: F.struct(
-        (acc["t"] + x["q"]).alias("t"), F.concat(acc["c"], F.array(acc["t"] + x["q"])).alias("c")))["c"]
-    drawn = entries.select(part, "e", runs.alias("cum"), F.explode(F.sequence(F.lit(1), F.lit(sims))).alias("sim")).withColumn("u", unit_random(F.col(part), F.col("sim")))
-    at = F.least(F.size(F.filter("cum", lambda c: c < F.col("u"))), F.size("e") - 1)
-    won = drawn.select("sim", F.get("e", at).alias("w"))
+    w = Window.partitionBy(part).orderBy(slot).rowsBetween(Window.unboundedPreceding, 0)
+    summed = df.select(part, F.col(slot).alias("slot"), F.col(odds).alias("o"), F.sum(market).over(w).alias("cum"))
+    entries = summed.groupBy(part).agg(F.array_sort(F.collect_list(F.struct("slot", "cum", "o"))).alias("e"))
+    drawn = entries.select("e", F.explode(F.transform(F.sequence(F.lit(1), F.lit(sims)), lambda sim: F.struct(sim.alias("sim"), unit_random(F.col(part), sim).alias("u")))).alias("d"))
+    at = F.least(F.size(F.filter("e", lambda x: x["cum"] < F.col("d.u"))), F.size("e") - 1)
+    won = drawn.select(F.col("d.sim").alias("sim"), F.get("e", at).alias("w")).select("sim", "w.slot", "w.o")
     n = df.groupBy(slot).agg(F.count("*").alias("n"), F.sum(F.when(F.col(hit), F.col(odds)).otherwise(0.0)).alias("back"))
     real = n.select(slot, "n", (F.col("back") / F.col("n")).alias("roi"))
-    worlds = won.groupBy("sim", F.col("w.slot").alias(slot)).agg(F.sum("w.o").alias("back")).join(F.broadcast(n.select(slot, "n")), slot)
+    worlds = won.groupBy("sim", F.col("slot").alias(slot)).agg(F.sum("o").alias("back")).join(F.broadcast(n.select(slot, "n")), slot)
     best_null = worlds.groupBy("sim").agg(F.max(F.col("back") / F.col("n")).alias("top"))
     best = real.agg(F.max(F.struct(F.round("roi", 9).alias("roi"), (-F.col(slot)).alias("minus"))).alias("b")).select((-F.col("b.minus")).alias("best"), F.col("b.roi").alias("roi"))
     return best_null.join(F.broadcast(best)).groupBy("best", "roi").agg(((1 + F.sum((F.round("top", 9) >= F.col("roi")).cast("int"))) / (sims + 1)).alias("p"))
@@ -147,11 +148,11 @@ def best_rule(found: DataFrame, least: int) -> DataFrame:
 def quantile_table(df: DataFrame, score: str, hit: str, n: int = 5) -> DataFrame:
     """Rate by n equal parts of the score's order; equal scores stay together, in the part of the first of them.
 
-    One row a distinct score is ranked, not one a row.
+    One row a distinct score is ranked, by range.
     """
     by = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count("*").alias("n"), F.sum(F.col(hit).cast("int")).alias("hits"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = by.withColumn("part", F.floor(n * below / F.sum("n").over(Window.partitionBy())).cast("long") + 1)
+    found, total = ranks.before_sum(ranks.place(by, score), "n", "__below")
+    parts = found.withColumn("part", F.floor(n * F.col("__below") / F.lit(total)).cast("long") + 1)
     return parts.groupBy("part").agg(F.sum("n").alias("n"), (F.sum("hits") / F.sum("n")).alias("rate"), F.min(score).alias("lo"), F.max(score).alias("hi"))
 
 
