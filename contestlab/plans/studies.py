@@ -49,7 +49,7 @@ def q1_ledger_audit(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(", " + LEDGER + """, t as (select day, sum(stake) as stake, sum(coalesce(returned, 0)) + (day(day) % 5 = 0)::int as returned from led group by day), m as (select day, sum(stake) as stake, sum(coalesce(returned, 0)) as returned from led group by day)
-select cast(day as varchar) as day, m.stake as rows_stake, t.stake as total_stake, m.returned as rows_returned, t.returned as total_returned from m join t using (day) where m.stake <> t.stake or m.returned <> t.returned""", ent=True)
+select cast(day as varchar) as day, m.stake::double as rows_stake, t.stake::double as total_stake, m.returned::double as rows_returned, t.returned::double as total_returned from m join t using (day) where m.stake <> t.stake or m.returned <> t.returned""", ent=True)
 def q2_audit_rollup(spark: SparkSession, d: str) -> DataFrame:
     rows = ledger(spark, d).withColumn("returned", F.coalesce("returned", F.lit(0.0)))
     totals = rows.groupBy("day").agg(F.sum("stake").alias("stake"), (F.sum("returned") + (F.dayofmonth("day") % 5 == 0).cast("int")).alias("returned"))
@@ -65,7 +65,7 @@ def q3_validate(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(""", b as (select class, day, count(*) as bets, sum((finish = 1)::int) as hits, 100.0 * count(*) as stake, sum(case when finish = 1 then 100 * odds else 0 end) as returned from ent where slot = 1 group by class, day)
-select class, cast(date_trunc('week', day) as date)::varchar as week, count(*) as days, sum(bets)::bigint as bets, sum(hits)::bigint as hits, round(sum(stake), 4) as stake, round(sum(returned), 4) as returned,
+select class, cast(date_trunc('week', day) as date)::varchar as week, count(*) as days, sum(bets)::bigint as bets, sum(hits)::bigint as hits, round(sum(stake)::double, 4) as stake, round(sum(returned), 4) as returned,
   sum((returned > stake)::int)::bigint as days_up, round(min(returned - stake), 4) as worst_day, round(sum(returned) / sum(stake), 6) as roi from b group by 1, 2""", ent=True)
 def q4_weekly(spark: SparkSession, d: str) -> DataFrame:
     bets = HIT(entrants(spark, d).where("slot = 1")).withColumns({"stake": F.lit(100.0), "returned": F.when(F.col("finish") == 1, 100 * F.col("odds")).otherwise(0.0)})
@@ -389,7 +389,7 @@ def _hits(words: list[str]) -> str:
     return " + ".join(f"contains(text, '{w}')::int" for w in words)
 
 
-@query("select doc_id, a as speed, b as start, round(greatest(least((a + b) * 0.1, 0.3), -0.3), 6) as delta, mixed, case when a + b > 0 then 'good' when a + b < 0 then 'bad' else 'plain' end as label from (select doc_id, sign("
+@query("select doc_id, a as speed, b as start, round(greatest(least((a + b) * 0.1, 0.3), -0.3), 6)::double as delta, mixed, case when a + b > 0 then 'good' when a + b < 0 then 'bad' else 'plain' end as label from (select doc_id, sign("
        + ") as a, sign(".join(f"({_hits(g)}) - ({_hits(b)})" for g, b in TOPICS.values()) + ") as b, " + " or ".join(f"({_hits(g)} > 0 and {_hits(b)} > 0)" for g, b in TOPICS.values()) + " as mixed from documents where text is not null)")
 def f15_comment_score(spark: SparkSession, d: str) -> DataFrame:
     ways, delta, mixed, label = T.comment_score(F.col("text"), TOPICS)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from contestlab.storage import shared_dir
+
 
 def first_tick(stream: DataFrame, keys: list[str], ts: str, minutes_left: Column, within: float, tie: str, cols: list[str], late: str = "1 hour", span: str = "1 hour") -> DataFrame:
     """The first tick of each key at most `within` minutes before its deadline; it fixes the decision, later ticks don't change it.
@@ -91,24 +92,29 @@ def notify_once(stream: DataFrame, keys: list[str], ts: str, late: str = "1 hour
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
+def stream_wrote(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def run_available(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
     """Run a stream over all that has arrived and return its table, in the folder that the cluster shares.
 
     Each micro-batch writes its own folder, so that a batch repeated after a failure replaces itself. `update`: of each of `keys` the
-    newest batch's row counts. Where spark.checkpoint.dir is unset all must run in one process.
+    newest batch's row counts. `complete` is refused: each batch would write the whole table again. Where spark.checkpoint.dir is unset all must
+    run in one process.
     """
+    if mode not in ("append", "update"):
+        raise ValueError("mode must be append or update")
     spark: SparkSession = stream.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="spark-")
-    at = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
 
     stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    if not stream_wrote(spark, f"{at}/rows"):
+        return spark.createDataFrame([], stream.schema)
     rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", IntegerType())])).parquet(f"{at}/rows")
     if mode == "update":
         newest = F.max_by(F.struct(*stream.columns), "batch").alias("r")

@@ -1,13 +1,15 @@
 """Tiny frames for selection, discovery, text sources and streams."""
 
 import datetime
+import random
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructType
 
 from contestlab.operators import discover, select, trends
 from contestlab.sources import text
-from contestlab.streaming import live
+from contestlab.streaming import live, stateful
 
 
 def rows(df, *order):
@@ -63,8 +65,61 @@ def test_streams_run_over_several_batches(spark, tmp_path):
     for k, data in enumerate([[("a", at(56), 1), ("a", at(58), 2)], [("a", at(57), 3), ("b", at(59), 4), ("b", at(10), 5)]]):
         spark.createDataFrame(data, "k string, ts timestamp, id int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     make = lambda: spark.readStream.schema("k string, ts timestamp, id int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    first = live.run_available(live.first_tick(make(), ["k"], "ts", 60 - F.minute("ts"), 5.5, "id", []), "complete")
+    first = live.run_available(live.first_tick(make(), ["k"], "ts", 60 - F.minute("ts"), 5.5, "id", []), "update", ["k"])
     assert rows(first.select("k", "id"), "k") == [("a", 1), ("b", 4)]
-    total = live.run_available(live.window_totals(make(), ["k"], "ts", "1 hour", {"s": F.col("id")}), "complete")
+    total = live.run_available(live.window_totals(make(), ["k"], "ts", "1 hour", {"s": F.col("id")}), "update", ["k"])
+    with pytest.raises(ValueError):
+        live.run_available(make(), "complete")
     assert rows(total.select("k", "n", "s"), "k") == [("a", 3, 6), ("b", 2, 9)]
     assert rows(live.run_available(live.notify_once(make(), ["k"], "ts"), "append").select("k"), "k") == [("a",), ("b",)]
+
+
+def test_decisions_and_alerts_equal_their_batch_twins(spark, tmp_path):
+    base, draw = datetime.datetime(2024, 1, 1, 10), random.Random(1)
+    at = lambda m: base + datetime.timedelta(minutes=m)
+    every, n = [], 0
+    for b in range(4):
+        data = []
+        for _ in range(40):
+            n, key = n + 1, draw.choice("abcdef")
+            data.append((key, at(b * 25 + draw.random() * 24 - (5 if draw.random() < 0.3 else 0)), at(20 + 15 * "abcdef".index(key)), n))
+        every += data + data[:3]
+        spark.createDataFrame(data + data[:3], "k string, ts timestamp, due timestamp, id int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    make = lambda: spark.readStream.schema("k string, ts timestamp, due timestamp, id int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    df = spark.createDataFrame(every, "k string, ts timestamp, due timestamp, id int")
+    passed = max(r[1] for r in every) - datetime.timedelta(minutes=10)
+    got = live.run_available(stateful.decide(make(), ["k"], "ts", "due", "id", ["id"], late="10 minutes"), "append")
+    want = stateful.decide_batch(df.where(F.col("due") < F.lit(passed)), ["k"], "ts", "due", "id", ["id"])
+    assert rows(got.where("kind = 'fixed'").select("k", "at", "id"), "k") == rows(want, "k") and len(rows(want)) > 2
+    assert got.where("kind = 'provisional'").count() > len(rows(want))
+    checks = make().withColumn("bad", F.when(F.col("id") % 7 != 0, F.col("id") % 3 != 0))
+    told = live.run_available(stateful.alerts(checks, ["k"], "ts", "bad", resend_hours=0.3, late="10 minutes"), "append")
+    twin = df.select("k", F.timestamp_millis(F.unix_millis("ts")).alias("ts"), F.coalesce(F.when(F.col("id") % 7 != 0, F.col("id") % 3 != 0), F.lit(False)).alias("bad")).distinct()
+    want = live.alert_state(twin, "k", "ts", "bad", 2, "18 minutes").where(F.col("ts") < F.lit(passed))
+    assert rows(told, "k", "at") == rows(want.select("k", "ts", "kind"), "k", "ts") and {r.kind for r in told.collect()} == {"alert", "recovered"}
+
+
+def test_giving_up_comes_out_when_the_watermark_has_passed(spark, tmp_path):
+    at = lambda h, m=0: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h, minutes=m)
+    for data in ([("a", at(1), 1, "bet"), ("b", at(1), 2, "bet")], [("a", at(2), 3, "result")], [("z", at(20), 4, "bet"), ("z", at(20, 1), 5, "result")]):
+        spark.createDataFrame(data, "k string, ts timestamp, id int, what string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    make = lambda: spark.readStream.schema("k string, ts timestamp, id int, what string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    bets = make().where("what = 'bet'").select("k", F.col("ts").alias("bet_ts"), F.col("id").alias("bet"))
+    found = make().where("what = 'result'").select(F.col("k").alias("result_key"), F.col("ts").alias("result_ts"), F.col("id").alias("result"))
+    out = live.run_available(live.settle_late(bets, found, "k", "bet_ts", "result_ts", how="leftOuter"), "append")
+    assert rows(out.select("bet", "result"), "bet") == [(1, 3), (2, None)]
+
+
+def test_a_replayed_batch_changes_no_swap(spark, tmp_path):
+    day = datetime.date(2024, 1, 1)
+    first = spark.createDataFrame([("s", day, 0.0)] * 7 + [("t", day, 1.0)] * 13 + [(None, day, 0.0)], "site string, day date, v double")
+    second = spark.createDataFrame([("s", day, None)] * 2 + [("s", day, 3.0)] * 4, "site string, day date, v double")
+    take = stateful.swap_recorder(str(tmp_path), "site", "day", "v")
+    take(first, 0)
+    assert rows(stateful.read_swaps(spark, str(tmp_path))) == []
+    take(second, 1)
+    want = [("s", day, 13, 9)]
+    assert rows(stateful.read_swaps(spark, str(tmp_path))) == want
+    take(second, 1)
+    take(first, 0)
+    assert rows(stateful.read_swaps(spark, str(tmp_path))) == want

@@ -11,7 +11,7 @@ from contestlab.functions import text as T
 from contestlab.operators import asof, evaluate, ingest, tuples, within
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events documents".split()
 D = datetime.date
 
 
