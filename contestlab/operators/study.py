@@ -205,17 +205,6 @@ def ev_filter_study(df: DataFrame, ev: Column, thresholds: list[float], second:
     return rows.groupBy("threshold", (F.col("ev") >= F.col("threshold")).alias("kept"), "second").agg(F.count("*").alias("bets"), (F.sum(returned) / F.sum(stake)).alias("roi"))
 
 
-def rule_study(df: DataFrame, rules: list[tuple[str, str, str]], by: str, least: int) -> DataFrame:
-    """For each rule (name, condition, outcome: SQL expressions) and group: rows, rate of the outcome under the condition, and without it.
-
-    One pass unpivots all rules, one aggregation counts them; groups with fewer than `least` rows under the condition are left out.
-    """
-    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.expr(c).alias("met"), F.expr(o).cast("int").alias("y")) for n, c, o in rules])).alias("c")
-    out = df.select(by, cells).groupBy("c.rule", by).agg(
-        F.count(F.when(F.col("c.met"), 1)).alias("n"), F.avg(F.when(F.col("c.met"), F.col("c.y"))).alias("rate"), F.avg("c.y").alias("base"))
-    return out.where(F.col("n") >= least)
-
-
 def verify(df: DataFrame, part: str, slot: str, p: str, hit: str, sure: float) -> DataFrame:
     """Match, mismatch, or not applicable where the first choice is less than `sure` or no winner is known."""
     each = df.groupBy(part).agg(F.max_by(slot, F.struct(F.round(p, 9), -F.col(slot))).alias("choice"), F.max(p).alias("p"), F.max(F.when(F.col(hit), F.col(slot))).alias("winner"))

@@ -222,19 +222,6 @@ def e28_ev_filter_study(spark: SparkSession, d: str) -> DataFrame:
     return study.ev_filter_study(b, F.round(F.col("p") * F.col("odds"), 9), [0.6, 0.75, 0.9], F.col("slot") > 3, "stake", "returned").withColumn("roi", R("roi"))
 
 
-#: Named rules: (name, condition, outcome), in SQL that both engines read.
-RULES = [(f"slot_{k}_{what}", f"slot = {k}", outcome) for k in range(1, 7) for what, outcome in (("wins", "finish = 1"), ("in_two", "finish <= 2"), ("in_three", "finish <= 3"), ("last_but", "finish >= 5"))]
-RULES += [(f"class_{c}_{what}", f"class = '{c}'", outcome) for c in "ANR" for what, outcome in (("wins", "finish = 1"), ("in_three", "finish <= 3"))]
-RULES += [(f"rank_{k}_{what}", f"score_rank = {k}", outcome) for k in range(1, 7) for what, outcome in (("wins", "finish = 1"), ("in_two", "finish <= 2"), ("in_three", "finish <= 3"))]
-RULES += [(f"discount_{k}_wins", f"discount >= 0.0{k}", "finish = 1") for k in range(1, 10)] + [("inner_fast", "slot <= 2 and score_rank <= 2", "finish = 1")]
-
-
-@query(", c as (" + " union all ".join(f"select '{n}' as rule, site, ({c}) as met, ({o})::int as y from ent" for n, c, o in RULES) + """)
-select rule, site, count(*) filter (met) as n, round(avg(y) filter (met), 6) as rate, round(avg(y), 6) as base from c group by rule, site having count(*) filter (met) >= 20""", ent=True)
-def e30_rule_study(spark: SparkSession, d: str) -> DataFrame:
-    return study.rule_study(entrants(spark, d), RULES, "site", 20).select("rule", "site", "n", R("rate").alias("rate"), R("base").alias("base"))
-
-
 @query(", v as (select contest, arg_max(slot, (round(p, 9), -slot)) as choice, max(p) as p, max(slot) filter (finish = 1 and odds < 8) as winner from ent group by contest) select contest, choice, winner, case when p < 0.25 or winner is null then 'not applicable' when choice = winner then 'match' else 'mismatch' end as verdict from v", ent=True)
 def e33_verify(spark: SparkSession, d: str) -> DataFrame:
     e = entrants(spark, d).withColumn("hit", (F.col("finish") == 1) & (F.col("odds") < 8))

@@ -1,6 +1,6 @@
 """All registered queries and the SQL that checks them."""
 
-from contestlab.plans import joins_aggregates, live_batches, models, selection, studies, tickets  # noqa: F401  (they register their queries)
+from contestlab.plans import joins_aggregates, live_batches, models, rule_tables, selection, studies, tickets  # noqa: F401  (they register their queries)
 from contestlab.plans.queries import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
