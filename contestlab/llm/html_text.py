@@ -1,10 +1,10 @@
 """Main text of web pages by line-block distribution (operator 8).
 
-Markup is stripped into lines, one for each block of text. Lines of marked-up boilerplate (menus, headers, footers, sidebars,
-notices, adverts, forms, comments) are left out, and lines that are mostly link text weigh nothing. The lengths are summed over a sliding window
-of lines. Where the sum surges the main text begins, where it dives to nothing it ends, and the text between is kept. A page
-with an article or main element has its bounds there, and any text in it surges; elsewhere a surge needs `SURGE` characters, or is
-the heaviest stretch of the page.
+Markup is stripped into lines, one for each block of text. A line weighs its length; one that speaks against itself (mostly link text, or outside
+the article or main element of a page that has one) weighs an eighth and is called light, one inside such an element weighs SURGE more. The weights are
+summed over a sliding window of lines. The text lies where the sums surge to SURGE or more, and reaches on both sides to the points where they dive
+under DIVE; light lines at its two ends don't belong to it. All lines between are kept but those of marked-up boilerplate (menus, headers, footers,
+sidebars, notices, adverts, forms, comments), which weigh nothing. A page without a surge keeps its heaviest stretch.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-WINDOW, SURGE = 3, 80
+WINDOW, SURGE, DIVE = 3, 80, 8
 
 # HTML elements by role.
 RAW = {"script", "style", "template", "noscript", "iframe", "object", "svg", "math", "canvas", "audio", "video", "textarea", "select", "title"}
@@ -35,6 +35,9 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 #: Elements that end by themselves where the next block begins.
 SHORT = {"p", "li", "dt", "dd", "td", "th", "tr", "option"}
 NEVER = {"html", "body", "main", "article"}
+#: Elements of running text, and marks that are also plain words, by which such an element inside an article is not taken for boilerplate.
+PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"}
+PLAIN = {"share", "menu", "notice", "notices", "alert", "search", "widget", "widgets", "related", "reply", "replies", "banner", "social", "skip", "recommended", "promotion", "respond", "aside"}
 #: Words of class, id and role values that mark boilerplate.
 MARKS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "adslot", "banner", "sponsor", "sponsored", "promo", "promotion", "nav", "navbar", "navigation", "menu", "breadcrumb",
@@ -64,7 +67,7 @@ def _is_mark(word: str) -> bool:
     return any(marks) and all(m or (x in BOXES or x[0].isdigit()) and any(marks[:k]) or x in PLACES and any(marks[k:]) for k, (x, m) in enumerate(zip(parts, marks)))
 
 
-def _marked(name: str, attributes: str) -> bool:
+def _marked(name: str, attributes: str, article: bool) -> bool:
     if not attributes or name in NEVER or name in VOID:
         return False
     found: dict[str, str] = {}
@@ -76,7 +79,8 @@ def _marked(name: str, attributes: str) -> bool:
     role = found.get("role", "").split()
     if "main" in role or "article" in role:
         return False
-    return any(_is_mark(word) for key in ("class", "id", "role") for word in found.get(key, "").split())
+    spared = PLAIN if article and name in PROSE else ()
+    return any(_is_mark(word) and word not in spared for key in ("class", "id", "role") for word in found.get(key, "").split())
 
 
 def _markup(html: str) -> Iterator[tuple[int, int, bool, str, str]]:
@@ -114,17 +118,21 @@ def _markup(html: str) -> Iterator[tuple[int, int, bool, str, str]]:
         at = html.find("<", end if end > 0 else at + 1)
 
 
-def lines_of(html: str) -> list[tuple[str, bool, bool, int]]:
-    """(text, boilerplate, inside the article, characters of link text) for each block of text in page order; empty blocks are left out."""
+def lines_of(html: str) -> list[tuple[str, bool, bool, int, bool]]:
+    """(text, boilerplate, inside the article, characters of link text, in a heading) for each block of text in page order; empty blocks are left out.
+
+    Boilerplate inside a line, as an advert in a paragraph, is taken out of it, and the line goes on.
+    """
     lines, now, links = [], [], 0
-    skip, depth, article, within, anchor, at = "", 0, 0, False, 0, 0
+    skip, depth, article, within, anchor, at, heading = "", 0, 0, False, 0, 0, False
+    held: tuple[list[str], int] | None = None  # the line that inline boilerplate interrupts
     endless: set[str] = set()  # raw elements that no closing tag follows any more
 
     def flush() -> None:
         nonlocal now, links
         text = " ".join(unescape("".join(now)).split())
         if text:
-            lines.append((text, bool(skip), article > 0, links))
+            lines.append((text, bool(skip), article > 0, links, heading))
         now, links = [], 0
 
     for start, stop, close, name, attributes in _markup(html):
@@ -147,6 +155,7 @@ def lines_of(html: str) -> list[tuple[str, bool, bool, int]]:
             continue
         if name in BLOCK:
             flush()
+            heading = not close and name in PROSE and name[0] == "h"
         elif name == "br":
             now.append(" ")
         if name == "a":
@@ -155,38 +164,53 @@ def lines_of(html: str) -> list[tuple[str, bool, bool, int]]:
             if name == skip:
                 depth += -1 if close else name not in VOID
             if depth <= 0 or skip in SHORT and (name in BLOCK and not close and name != skip) or not within and name in ("article", "main") and not close or close and name in ("body", "article") and within >= (name == "article"):
+                flush()
                 skip, depth = "", 0
-        elif not close and name not in VOID and (name in BOILERPLATE or name == "header" and not article or _marked(name, attributes)) and not attributes.endswith("/"):
+                if held:
+                    (now, links), held = held, None
+                    if name in BLOCK:
+                        flush()
+        elif not close and name not in VOID and (name in BOILERPLATE or name == "header" and not article or _marked(name, attributes, article > 0)) and not attributes.endswith("/"):
             if name not in BLOCK:
-                flush()
+                held, now, links = (now + [" "], links), [], 0
             skip, depth, within = name, 1, article > 0
         if name in ("article", "main"):
             article = max(0, article - 1) if close else article + 1
     now.append(html[at:])
     flush()
+    if held:
+        skip, (now, links) = "", held
+        flush()
     return lines
 
 
-def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
+def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE, dive: int = DIVE) -> str:
     """The main text: kept blocks in page order joined by a line feed; empty if there is none."""
-    lines = [(t, a, k) for t, b, a, k in lines_of(html or "") if not b]
-    bounded = any(a for _, a, _ in lines)
-    weight = [0 if bounded and not a or not bounded and 2 * k > len(t) else len(t) for t, a, k in lines]
+    lines = [(t, a, k, h) for t, b, a, k, h in lines_of(html or "") if not b]
+    bounded = any(a for _, a, _, _ in lines)
+    light = [not a if bounded else 2 * k > len(t) and not h for t, a, k, h in lines]
+    weight = [len(t) / 8 if x else len(t) + (surge if bounded else 0) for (t, *_), x in zip(lines, light)]
     n = len(weight)
     sums = [sum(weight[k: k + window]) for k in range(n)]
     kept, k, stretches = [], 0, []
     while k < n:
-        if not weight[k]:
+        if sums[k] < dive and light[k]:
             k += 1
             continue
-        begin = k  # the stretch up to where a whole window of lines weighs nothing
-        while k < n and sums[k]:
+        begin = k  # up to the dive point
+        while k < n and not (sums[k] < dive and light[k]):
             k += 1
-        stretches.append((max(sums[begin: k]), begin, k))
+        a, b = begin, k
+        while a < b and light[a]:
+            a += 1
+        while b > a and light[b - 1]:
+            b -= 1
+        if a < b:
+            stretches.append((max(sums[begin: k]), a, b))
     most = max((s for s, _, _ in stretches), default=0)
     for s, a, b in stretches:
-        if bounded or s >= surge or s == most:
-            kept += [lines[j][0] for j in range(a, b) if weight[j]]
+        if s >= surge or s == most:
+            kept += [t for t, *_ in lines[a:b]]
     return "\n".join(kept)
 
 

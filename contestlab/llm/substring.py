@@ -24,8 +24,11 @@ import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import only, written
+from contestlab.operators import ranks
+
+from .common import written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -105,7 +108,7 @@ def _settle(hashes, more, docs, starts):
     return h, x, d, s, d[first][group], s[first][group]
 
 
-def _send(ids: list[int], counts: list[int], words: list[bytes], window: int, blocks: int) -> pa.RecordBatch | None:
+def _send(ids: list[int], counts: list[int], words: list[bytes], window: int, blocks: int, share: int) -> pa.RecordBatch | None:
     """Settle what repeats among these documents; the rows to send: seeds by block, and the settled ranges."""
     ids, counts = np.array(ids, np.int64), np.array(counts, np.int64)
     hashes, more = _seed_hashes(words, window)
@@ -116,7 +119,7 @@ def _send(ids: list[int], counts: list[int], words: list[bytes], window: int, bl
     at = np.arange(len(hashes))
     whole = at + window <= ends[doc]
     h, x, d, s, least_doc, least_start = _settle(hashes[whole], more[whole], ids[doc[whole]], (at - (ends - counts)[doc])[whole])
-    later = d > least_doc
+    later = d // share > least_doc // share
     keep = np.lexsort((s[later], d[later]))
     here = _ranges(*(v[later][keep] for v in (d, s, least_doc, least_start)))
     block = (h >> np.uint64(40)) % np.uint64(blocks)
@@ -138,53 +141,56 @@ def _send(ids: list[int], counts: list[int], words: list[bytes], window: int, bl
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.binary()))], names=["block", "settled", "records"])
 
 
-def _seeds(window: int, blocks: int):
+def _seeds(window: int, blocks: int, share: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, counts, words = [], [], []
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 own = (text.as_py() or b"").split()
                 if words and len(words) + len(own) > SETTLE_WORDS:
-                    made = _send(ids, counts, words, window, blocks)
+                    made = _send(ids, counts, words, window, blocks, share)
                     ids, counts, words = [], [], []
                     if made:
                         yield made
                 ids.append(doc_id.as_py())
                 counts.append(len(own))
                 words += own
-        made = _send(ids, counts, words, window, blocks)
+        made = _send(ids, counts, words, window, blocks, share)
         if made:
             yield made
 
     return run
 
 
-def _look_up(table: pa.Table) -> pa.Table:
-    done, found = [], []
-    for settled, data in zip(table.column("settled"), table.column("records")):
-        if settled.as_py():
-            done += list(pa.ipc.open_stream(data.as_buffer()))
-        else:
-            found.append(_unpack(data.as_py()))
-    if found:
-        _, _, d, s, least_doc, least_start = _settle(*(np.concatenate(x) for x in zip(*found)))
-        later = d > least_doc
-        order = np.lexsort((s[later], d[later]))
-        done.append(_ranges(*(x[later][order] for x in (d, s, least_doc, least_start))))
-    return pa.Table.from_batches(done)
+def _look_up(share: int):
+    def run(table: pa.Table) -> pa.Table:
+        done, found = [], []
+        for settled, data in zip(table.column("settled"), table.column("records")):
+            if settled.as_py():
+                done += list(pa.ipc.open_stream(data.as_buffer()))
+            else:
+                found.append(_unpack(data.as_py()))
+        if found:
+            _, _, d, s, least_doc, least_start = _settle(*(np.concatenate(x) for x in zip(*found)))
+            later = d // share > least_doc // share
+            order = np.lexsort((s[later], d[later]))
+            done.append(_ranges(*(x[later][order] for x in (d, s, least_doc, least_start))))
+        return pa.Table.from_batches(done)
+
+    return run
 
 
-def seed_matches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW) -> DataFrame:
+def seed_matches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, share: int = 1) -> DataFrame:
     """(doc_id, start, seeds, ref_doc, ref_start): runs of seed positions that occur in a document with a smaller id.
 
-    Rows without an id take no part. Rows that share an id count as one document.
+    Ids are whole numbers; those with the same quotient by `share` are one document's, and no copies of each other. Rows without an id take no part.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).where("doc_id is not null")
     # the number of index blocks follows the amount of text: a word has about 6 bytes
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, round(size / 6 / BLOCK_SEEDS))
-    seeds = rows.mapInArrow(_seeds(window, blocks), "block int, settled boolean, records binary")
-    return seeds.groupBy("block").applyInArrow(_look_up, RANGES)
+    seeds = rows.mapInArrow(_seeds(window, blocks, share), "block int, settled boolean, records binary")
+    return seeds.groupBy("block").applyInArrow(_look_up(share), RANGES)
 
 
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,18 +239,53 @@ def _parse(window: int, keep_text: bool):
     return run
 
 
+def _keyed(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, int]:
+    """(doc_id, key, text), and how many keys an id has (0: too many for 63 bits): key // that number is the id, and rows of one id with different texts have different keys."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), F.xxhash64(F.col(text)).alias("mark"))
+    several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where("a <> b").select("doc_id")
+    several = written(several)
+    if several.isEmpty():
+        return rows.select("doc_id", F.col("doc_id").alias("key"), "text"), 1
+    texts = rows.join(several, "doc_id", "left_semi").select("doc_id", "mark").distinct()
+    number, n = ranks.positions(texts, "doc_id", "mark")
+    least, most = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+    if (max(abs(least), abs(most)) + 1) * n >= 1 << 62:  # no room for several keys an id
+        return rows, 0
+    return rows.join(number, ["doc_id", "mark"], "left").select("doc_id", (F.col("doc_id") * n + F.coalesce("position", F.lit(0))).alias("key"), "text"), n
+
+
 def drop_repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, keep_text: bool = True) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, kept_sha256, kept_text and factors (start, n_words, ref_doc, ref_start).
 
     A word goes if a run of `window` words that covers it also starts in a document with a smaller id. Runs are judged on
     the input. Null and empty texts, and texts under `window` words, keep all. Repeated rows come back repeated and are no
-    copies of each other, as they share an id. Rows without an id keep all their words. An empty table gives an empty result.
-    With keep_text=False the kept texts and factors stay empty, for callers who need the digests alone.
+    copies of each other, as they share an id; rows of one id with different texts each lose what smaller ids have, and nothing else. Rows without
+    an id keep all their words. Ids may be of any type that sorts; those that are no whole numbers, or too large, are numbered by their order first. An empty
+    table gives an empty result. With keep_text=False the kept texts and factors stay empty, for callers who need the digests alone.
     """
+    kind = docs.schema[doc_id].dataType
+    keyed, share = _keyed(docs, text, doc_id) if isinstance(kind, IntegralType) else (None, 0)
+    if not share:
+        named = docs.select(F.col(f"`{doc_id}`").alias("name"), F.col(f"`{text}`").alias("text"))
+        number = written(ranks.positions(named.where("name is not null").select("name").distinct(), "name")[0])
+        found = drop_repeated_spans(named.join(number, "name", "left").select(F.col("position").cast("long").alias("doc_id"), "text"), window=window, keep_text=keep_text)
+        found = found.withColumn("row", F.monotonically_increasing_id())
+        found = written(found) if keep_text else found
+        names = number.select(F.col("position").alias("doc_id"), F.col("name"))
+        out = found.drop("factors").join(names, "doc_id", "left")
+        if keep_text:
+            named = found.select("row", F.explode("factors").alias("f")).join(number, F.col("f.ref_doc") == F.col("position")).groupBy("row").agg(F.sort_array(F.collect_list(
+                F.struct("f.start", "f.n_words", F.col("name").alias("ref_doc"), "f.ref_start"))).alias("factors"))
+            out = out.join(named, "row", "left")
+        else:
+            out = out.withColumn("factors", F.array().cast(f"array<struct<start:int,n_words:int,ref_doc:{kind.simpleString()},ref_start:int>>"))
+        return out.select(F.col("name").alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept_text", F.coalesce("factors", F.array()).alias("factors"))
+    # a quotient that rounds down below zero too
+    whole = lambda c: F.expr(f"({c} - pmod({c}, {share}L)) div {share}L") if share > 1 else F.col(c)
     # written first, so that the seeds' shuffle is gone before the texts are moved
-    spans = written(seed_matches(docs, text, doc_id, window)).groupBy("doc_id").agg(F.collect_list(F.struct("start", "seeds", "ref_doc", "ref_start")).alias("spans"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    rows = rows.mapInArrow(_squeeze, "doc_id long, size long, text binary")
-    return only(rows.join(spans, "doc_id", "left"), "doc_id", "size", "text", "spans").mapInArrow(
+    spans = written(seed_matches(keyed, "text", "key", window, share)).groupBy(F.col("doc_id").alias("key")).agg(
+        F.collect_list(F.struct("start", "seeds", whole("ref_doc").alias("ref_doc"), "ref_start")).alias("spans"))
+    rows = keyed.select("key", "text").mapInArrow(_squeeze, "doc_id long, size long, text binary").withColumnRenamed("doc_id", "key")
+    return rows.join(spans, "key", "left").select(whole("key").alias("doc_id"), "size", "text", "spans").mapInArrow(
         _parse(window, keep_text),
         "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, factors array<struct<start:int,n_words:int,ref_doc:bigint,ref_start:int>>")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from contestlab.llm import bpe, divergence, queries, vector_codes
+from contestlab.llm import bpe, divergence, html_text, queries, substring, vector_codes
 
 SF = "/root/testdata/sf0.001"
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
@@ -184,3 +184,62 @@ def test_cells_give_the_nearest_entry_for_any_side_and_cache():
 def test_large_components_are_held(spark):
     df = spark.createDataFrame([(1, 1, [3e38] * 4), (2, 1, [-3e38] * 4), (3, 1, [0.0] * 4)], "vec_id long, label int, embedding array<float>")
     assert [r.error for r in vector_codes.label_errors(df).collect()] == [0, 0, 0]
+
+
+def brute_spans(rows, window):
+    """Removed words and the kept text of each (id, text), by trying every run of words against all texts of smaller ids."""
+    runs = defaultdict(set)
+    words = [re.findall(r"[^\x20\x09-\x0D]+", text or "") for _, text in rows]
+    for (k, _), own in zip(rows, words):
+        if k is not None:
+            runs[k] |= {tuple(own[j: j + window]) for j in range(len(own) - window + 1)}
+    out = []
+    for (k, _), own in zip(rows, words):
+        gone = set()
+        for j in range(len(own) - window + 1):
+            if k is not None and any(tuple(own[j: j + window]) in found for o, found in runs.items() if o < k):
+                gone |= set(range(j, j + window))
+        out.append((k, len(own), len(gone), " ".join(w for j, w in enumerate(own) if j not in gone)))
+    return sorted(out, key=str)
+
+
+def test_spans_of_one_id_with_different_texts_and_of_text_ids(spark):
+    p, q = " ".join(f"p{k}" for k in range(30)), " ".join(f"q{k}" for k in range(60))
+    rows = [(1, p), (2, p), (2, q), (3, q), (3, p + " " + q), (3, "x " + q), (None, p), (4, None), (4, ""), (-5, "a " + q[:90]), (2, q)]
+    for kind, name in (("long", lambda k: k), ("string", lambda k: None if k is None else f"id {k + 10:03d}"), ("int", lambda k: k), ("long", lambda k: None if k is None else k * (1 << 59))):
+        named = [(name(k), t) for k, t in rows]
+        df = spark.createDataFrame(named, f"doc_id {kind}, text string").withColumn("key", F.lit("clash"))
+        got = substring.drop_repeated_spans(df).collect()
+        assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got), key=str) == brute_spans(named, 13)
+        refs = {(r.doc_id, f.ref_doc) for r in got for f in r.factors}
+        assert all(a > b for a, b in refs) and refs
+        assert sum(r.n_removed for r in substring.drop_repeated_spans(df, keep_text=False).collect()) == sum(r.n_removed for r in got)
+
+
+def test_text_is_located_by_the_window():
+    body = "Long text stands here. " * 8
+    read = html_text.main_text
+    assert read('<p>Text <span class="ad">Buy now</span> more</p>') == "Text more"
+    assert read("<p>A <button>Buy</button> b</p>") == read("<p>A <span hidden>secret</span> b</p>") == "A b"
+    assert read(f'<p>{body}</p><p>Mid <a class="share">Tell all</a><label class="newsletter">Mail</label> end.</p>') == f"{body.strip()}\nMid end."
+    assert read('<main><p class="share">Share price rose.</p><p class=menu>Lunch menu text</p><div class="share">Tell all</div></main>') == "Share price rose.\nLunch menu text"
+    linked = '<h2><a href="x">Linked heading</a></h2><ul><li><a href="y">Ref one</a></li><li><a href="z">Ref two</a></li></ul>'
+    want = f"{body.strip()}\nLinked heading\nRef one\nRef two\n{body.strip()}"
+    menu = "".join(f'<li><a href="{k}">Item {k}</a></li>' for k in range(9))
+    assert read(f"<ul>{menu}</ul><p>{body}</p>{linked}<p>{body}</p><ul>{menu}</ul>") == want
+    # no bounds: the surge decides, and short far text is left out; with bounds, text outside is light
+    assert read(f"<p>Far.</p><ul>{menu}</ul><p>{body}</p>") == body.strip()
+    assert read(f"<p>Outside text.</p><article><p>Yes.</p><p>{body}</p></article><p>{body}</p>".replace(f"<p>{body}</p>", "<p>After.</p>", 2).replace("<p>After.</p>", f"<p>{body}</p>", 1)) == f"Yes.\n{body.strip()}"
+    assert read("<article></article>") == read("<ul><li><a>only a link</a></li></ul>") == ""
+
+
+def test_pages_without_article_tags_keep_their_text(spark):
+    pages = [r.html for r in queries.table(spark, SF, "pages").collect() if r.html]
+    bare = [re.sub(r"</?(article|main)\b[^>]*>", "", x) for x in pages]
+    assert sum(a != b for a, b in zip(pages, bare)) == len(pages) > 0
+    assert [html_text.main_text(x) for x in bare] == [html_text.main_text(x) for x in pages]
+
+
+def test_repeated_pages_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "<p>One</p>", "x"), (1, "<p>One</p>", "x"), (None, None, None)], "page_id long, html string, text string").withColumn("n_chars", F.lit("c"))
+    assert sorted(map(str, (tuple(r) for r in html_text.extract_main_text(df).select("page_id", "text", "n_chars").collect()))) == ["(1, 'One', 'c')", "(1, 'One', 'c')", "(None, '', 'c')"]
