@@ -12,12 +12,12 @@ from contestlab.storage import written
 AT, PART = "__at", "__part"
 
 
-def place(df: DataFrame, *order) -> DataFrame:
+def place(df: DataFrame, *order, parts: int | None = None) -> DataFrame:
     """`df` in range partitions by `order`, sorted and written once: `__part` says which, `__at` ascends in the order of all rows.
 
-    Equal keys fall into one partition, so `order` should end in a column that tells rows apart.
+    Equal keys fall into one partition, so `order` should end in a column that tells rows apart. Without `parts` their number follows the data's size.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = df.repartitionByRange(*([parts] if parts else []), *order).sortWithinPartitions(*order)
     return written(ranged.withColumn(AT, F.monotonically_increasing_id()).withColumn(PART, F.shiftright(AT, 33)))
 
 

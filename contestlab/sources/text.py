@@ -19,6 +19,26 @@ def read_sections(spark: SparkSession, path: str, headers: dict[str, str], row:
     return held.where(F.col("line").rlike(row)).select("file", "line_no", *headers, *[F.nullif(F.regexp_extract("line", row, k), F.lit("")).alias(name) for k, name in enumerate(fields, 1)])
 
 
+def read_split_sections(spark: SparkSession, path: str, headers: dict[str, str], row: str, fields: list[str]) -> DataFrame:
+    """S14 for files of any size: as `read_sections`, with a file read in as many splits as Spark makes of it.
+
+    Headings are carried within a split by a window over that split; what holds at its start is the last heading of the splits before it, found from one
+    small row a split. Lines end in a line feed (a carriage return before it is dropped). `line_no` counts from 0 within the file.
+    """
+    first = lambda pattern, k: F.when(F.col("line").rlike(pattern), F.regexp_extract("line", pattern, k))
+    text = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("line"))
+    marked = text.withColumns({name: first(p, 1) for name, p in headers.items()})
+    ends = marked.groupBy("file", "block").agg(F.count("*").alias("__n"), *[F.max_by(F.col(n), F.when(F.col(n).isNotNull(), F.col("at"))).alias(f"__{n}") for n in headers])
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select("file", "block", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"), *[F.last(f"__{n}", ignorenulls=True).over(earlier).alias(f"__held_{n}") for n in headers])
+    here = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    held = marked.select("*", F.count("*").over(here).alias("__k"), *[F.last(n, ignorenulls=True).over(here).alias(f"__own_{n}") for n in headers]).where(F.col("line").rlike(row))
+    out = held.join(starts, ["file", "block"])
+    return out.select("file", (F.col("__before") + F.col("__k") - 1).alias("line_no"), *[F.coalesce(f"__own_{n}", f"__held_{n}").alias(n) for n in headers],
+                      *[F.nullif(F.regexp_extract("line", row, k), F.lit("")).alias(name) for k, name in enumerate(fields, 1)])
+
+
 def cut_fixed_width(lines: DataFrame, col: str, layout: dict[str, tuple[int, int, float | None]]) -> DataFrame:
     """Columns of (start from 1, width, divisor): text trimmed (divisor None) or a number over the divisor; blank or bad is null."""
     def field(start: int, width: int, divisor: float | None):
