@@ -115,6 +115,28 @@ def martingale(df: DataFrame, by: list[str], order: list[str], hit: str, base: f
     return out.withColumn("stake", base * F.pow(F.lit(mult), F.col("step"))).drop("__i")
 
 
+def martingale_summary(df: DataFrame, by: list[str], order: list[str], hit: str, odds: str, base: float, mult: float, most: int) -> DataFrame:
+    """Per group bets, busts (the largest stake lost), money staked and returned, the lowest running total (shortfall) and the greatest fall from a high."""
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = martingale(df, by, order, hit, base, mult, most).withColumn("__back", F.when(F.col(hit), F.col("stake") * F.col(odds)).otherwise(0.0))
+    rows = rows.withColumn("__total", F.sum(F.col("__back") - F.col("stake")).over(w)).withColumn("__high", F.greatest(F.max("__total").over(w), F.lit(0.0)))
+    return rows.groupBy(*by).agg(F.count("*").alias("bets"), F.count_if(~F.col(hit) & (F.col("step") == most - 1)).alias("busts"), F.sum("stake").alias("staked"), F.sum("__back").alias("returned"),
+                                 F.least(F.min("__total"), F.lit(0.0)).alias("shortfall"), F.max(F.col("__high") - F.col("__total")).alias("drawdown"))
+
+
+def scaled_equity(df: DataFrame, by: list[str], order: list[str], hit: str, odds: str, ev: Column, base: float, most: float, fund: float) -> DataFrame:
+    """Stakes of base * (ev - 1), from 0 to `most` times the base in tenths, until the fund is gone: per group bets, staked, the end and lowest of the fund, and whether it went bust.
+
+    Bets after the first one that leaves less than nothing are not made.
+    """
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    stake = base * F.greatest(F.lit(0.0), F.least(F.lit(float(most)), F.round(ev - 1, 1)))
+    rows = df.withColumn("__s", stake).where("__s > 0").withColumn("__f", fund + F.sum(F.when(F.col(hit), F.col("__s") * (F.col(odds) - 1)).otherwise(-F.col("__s"))).over(w))
+    gone = F.coalesce(F.max((F.col("__f") <= 0).cast("int")).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    made = rows.withColumn("__gone", gone).where("__gone = 0")
+    return made.groupBy(*by).agg(F.count("*").alias("bets"), F.sum("__s").alias("staked"), F.max_by("__f", F.struct(*order)).alias("fund"), F.min("__f").alias("lowest"), (F.min("__f") <= 0).alias("bust"))
+
+
 def date_blocks(df: DataFrame, day: str, n: int) -> DataFrame:
     """The number of each row's block of distinct dates, 1 to n, the first ones a date longer where they don't come out even."""
     dates, total = ranks.positions(df.select(day).where(F.col(day).isNotNull()).distinct(), day)

@@ -55,10 +55,20 @@ def implied(df: DataFrame, part: str, odds: str, into: str = "market") -> DataFr
     return df.withColumn("__i", inverse).withColumn("__i", F.coalesce("__i", F.min("__i").over(w))).withColumn(into, F.col("__i") / F.sum("__i").over(w)).drop("__i")
 
 
-def pool(df: DataFrame, part: str, p: str, market: str, a: float, b: float, into: str = "pooled") -> DataFrame:
-    """Log-linear pool p^a * market^b, divided by its sum."""
-    raw = F.exp(a * F.log(F.greatest(F.col(p), F.lit(1e-9))) + b * F.log(F.greatest(F.col(market), F.lit(1e-9))))
-    return df.withColumn("__r", raw).withColumn(into, F.col("__r") / F.sum("__r").over(Window.partitionBy(part))).drop("__r")
+def pool(df: DataFrame, part: str, p: str, market: str, a: float, b: float, into: str = "pooled", move: str | None = None, c: float = 0.0) -> DataFrame:
+    """Log-linear pool p^a * market^b (* move^c, where no movement is known that factor is 1), divided by its sum."""
+    log = lambda x: F.log(F.greatest(F.col(x), F.lit(1e-9)))
+    power = a * log(p) + b * log(market)
+    if move:
+        power = power + F.coalesce(c * log(move), F.lit(0.0))
+    return df.withColumn("__r", F.exp(power)).withColumn(into, F.col("__r") / F.sum("__r").over(Window.partitionBy(part))).drop("__r")
+
+
+def triple_scores(triples: DataFrame, results: DataFrame, part: str, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """Contests, mean log-loss of the triple that came, and how often it was among the first k by probability (ties by ticket). results: (part, result)."""
+    place = F.row_number().over(Window.partitionBy(part).orderBy(F.desc(F.round("prob", 9)), "ticket"))
+    came = triples.withColumn("__k", place).join(results.select(part, "result"), part).where("ticket = result")
+    return came.agg(F.count("*").alias("contests"), F.avg(-F.log(F.greatest("prob", F.lit(1e-9)))).alias("triple_log_loss"), *[F.avg((F.col("__k") <= k).cast("int")).alias(f"top_{k}") for k in ks])
 
 
 def composite(df: DataFrame, part: str, rank: str, odds: str, least: float) -> DataFrame:

@@ -67,3 +67,12 @@ def streaks(df: DataFrame, part: list[str], order: list[str], hit: str) -> DataF
     last = lost.groupBy(*part).agg(F.max("__island").alias("__last"), F.count("*").alias("n_rows"), F.sum(F.col(hit).cast("int")).alias("hits"))
     return last.join(runs.groupBy(*part).agg(F.max("n").alias("longest"), F.max(F.struct("__island", "n")).alias("__end")), part, "left").select(
         *part, "n_rows", "hits", F.coalesce("longest", F.lit(0)).alias("longest"), F.when(F.col("__end.__island") == F.col("__last"), F.col("__end.n")).otherwise(0).alias("current"))
+
+
+def losing_runs(df: DataFrame, part: list[str], order: list[str], hit: str) -> DataFrame:
+    """Each losing run of a group: where it starts (the first of `order`), its length, and whether it still goes on."""
+    w = Window.partitionBy(*part).orderBy(*order)
+    lost = df.withColumn("__island", F.sum(F.col(hit).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    last = lost.groupBy(*part).agg(F.max("__island").alias("__last"))
+    runs = lost.where(~F.col(hit)).groupBy(*part, "__island").agg(F.min(order[0]).alias("start"), F.count("*").alias("length"))
+    return runs.join(last, part).select(*part, "start", "length", (F.col("__island") == F.col("__last")).alias("current"))
