@@ -34,7 +34,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WINDOW = 13
 #: Seeds in a block of the index, on average; a block is handled in one task's memory (about 100 bytes a seed).
-BLOCK_SEEDS = 1_000_000
+BLOCK_SEEDS = 600_000
 #: Words that a task settles among themselves before it sends seeds (one longer document is settled alone).
 SETTLE_WORDS = 400_000
 RANGES = "doc_id long, start int, seeds int, ref_doc long, ref_start int"
@@ -175,6 +175,8 @@ def _look_up(share: int):
             later = d // share > least_doc // share
             order = np.lexsort((s[later], d[later]))
             done.append(_ranges(*(x[later][order] for x in (d, s, least_doc, least_start))))
+        # a worker waits for its next task without what this one held
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_batches(done)
 
     return run
@@ -235,6 +237,7 @@ def _parse(window: int, keep_text: bool):
                 out[4].append(factors if keep_text else [])
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("n_words", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32())])))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(out, kinds))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "factors"])
+        pa.default_memory_pool().release_unused()
 
     return run
 
