@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -119,27 +119,43 @@ def connected_components(edges: DataFrame, keep: Callable[..., DataFrame] = writ
                 now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+#: A gram that more keys hold is split by finer ones, where there are any.
+CROWD = 128
+
+
 def linked_groups(prefixed: DataFrame, sets: DataFrame, sketched: Callable[[DataFrame], DataFrame], may: Callable[[Column, Column], Column],
-                  verified: Callable[[DataFrame, DataFrame], DataFrame], keep: Callable[..., DataFrame]) -> DataFrame:
+                  verified: Callable[[DataFrame, DataFrame], DataFrame], keep: Callable[..., DataFrame],
+                  finer: Sequence[Callable[[DataFrame], DataFrame]] = (), order: str = "key") -> DataFrame:
     """(key, component): keys that are linked to others, with the smallest key of their group.
 
     Candidates are pairs of keys that share a `gram` of `prefixed` (gram, key) and whose sketches pass `may`, which is false only for pairs
     that are no links. `sketched` takes the rows of `sets` (one a key) that candidates need and gives (key, sketch); `verified` takes pairs
     (a, b) and the same rows, and gives the pairs that are links. Each key is first tried with the first key and the two
-    before it under each of its grams, then with all others that it isn't connected to; sketches are compared where two keys meet, so that only likely pairs are
-    written. Tables are written by `keep`.
+    before it, by `order` (a column of `prefixed`), under each of its grams, then with all others that it isn't connected to; sketches are compared
+    where two keys meet, so that only likely pairs are written. Under a gram of more than CROWD keys they don't meet: each of `finer` in turn takes the rows of these keys
+    and gives other grams, of which linked keys have one in common as well; the last one's grams are not split. Tables are written by `keep`.
     """
-    under = Window.partitionBy("gram").orderBy("key")
+    own = Window.partitionBy("gram")
+    under = own.orderBy(*dict.fromkeys([order, "key"]))
     tried = [F.first("key").over(under).alias("lead"), F.lag("key", 1).over(under).alias("last"), F.lag("key", 2).over(under).alias("last_2")]
-    shared = keep(prefixed.select("*", *tried).where("key <> lead"), dictionary=False)
-    members = keep(sets.join(shared.select(F.explode(F.array("lead", "key")).alias("key")).distinct(), "key", "left_semi"), dictionary=False)
+
+    def met(grams: DataFrame, last: bool) -> DataFrame:
+        crowd = F.lit(0) if last else F.count("*").over(own).cast("int")
+        return keep(grams.select("gram", "key", *tried, crowd.alias("crowd")).where("key <> lead"), dictionary=False)
+
+    shared = [met(prefixed, not finer)]
+    members = keep(sets.join(shared[0].select(F.explode(F.array("lead", "key")).alias("key")).distinct(), "key", "left_semi"), dictionary=False)
+    for k, split in enumerate(finer, 1):
+        # the lead of each gram is tried with all others under it
+        crowded = shared[-1].where(F.col("crowd") > CROWD).select("key").distinct()
+        shared.append(met(split(members.join(crowded, "key", "left_semi")), k == len(finer)))
     sketches = keep(sketched(members), dictionary=False)
+    shared = reduce(DataFrame.unionByName, shared)
     led = shared.select(F.explode(F.array("lead", "last", "last_2")).alias("a"), F.col("key").alias("b")).where("a <> b").distinct()
     led = led.join(sketches.toDF("a", "a_sketch"), "a").join(sketches.toDF("b", "b_sketch"), "b").where(may(F.col("a_sketch"), F.col("b_sketch"))).select("a", "b")
     links = keep(verified(led, members))
     joined = connected_components(links, keep).select(F.col("node").alias("key"), "component")
-    # the lead of each gram has been tried
-    halves = shared.select("gram", "key").join(sketches.join(joined, "key", "left").withColumn("component", F.coalesce("component", "key")), "key")
+    halves = shared.where(F.col("crowd") <= CROWD).select("gram", "key").join(sketches.join(joined, "key", "left").withColumn("component", F.coalesce("component", "key")), "key")
     halves = keep(halves, dictionary=False)
     a, b = halves.alias("a"), halves.alias("b")
     across = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & may(F.col("a.sketch"), F.col("b.sketch"))).select(

@@ -8,8 +8,9 @@ filter, `_prefixed`). SimHash can't do that: lines at 0.8 differ in about 13 of
 puts runs of rare words first and runs that are often repeated last, as samples count them; it decides the cost and never the
 result. Lines under a common run are tested by length and by a sketch (256 bits, of which each edit turns two at most), by the words
 that one has and the other lacks, and then by edit distance. So that a crowd of near copies
-does not make all its pairs, each line is first linked to the first line under each of its runs; then all lines are compared
-that are not yet connected. One occurrence of each connected group stays: the first by document id and line number.
+does not make all its pairs, each line is first linked to the shortest line and its two neighbours in length under each of its runs; then all
+lines are compared that are not yet connected. A run that very many lines have (a passage that they share) is split: of these lines,
+pairs are found by runs of two words instead, and under crowded ones of these by single words, of which prefixes are shorter and hold rare words only. One occurrence of each connected group stays: the first by document id and line number.
 """
 
 from __future__ import annotations
@@ -119,7 +120,19 @@ def _prefixed(lines: DataFrame, often: Column) -> DataFrame:
     """(gram, key): each line once for each of its first runs: of two words in lines up to six, which may have no three left, of three from six on."""
     words, n = F.col("words"), F.size("words")
     first = F.when(n > 6, _first_runs(words, 3, often)).when(n == 6, F.concat(_first_runs(words, 2, often), _first_runs(words, 3, often))).otherwise(_first_runs(words, 2, often))
-    return lines.select("key", F.explode(first).alias("gram")).select("gram", "key")
+    return lines.select("key", F.size("words").alias("n"), F.explode(first).alias("gram")).select("gram", "n", "key")
+
+
+def _pairs_prefixed(lines: DataFrame) -> DataFrame:
+    """As `_prefixed`, by runs of two words: fewer of them are enough, so that long lines need not name a passage that many share."""
+    return lines.select("key", F.size("words").alias("n"), F.explode(_first_runs(F.col("words"), 2, F.array())).alias("gram"))
+
+
+def _words_prefixed(lines: DataFrame) -> DataFrame:
+    """As `_prefixed`, by single words: lines of n and m >= n words share m - E(m) of them."""
+    n = F.size("words")
+    first = F.slice(F.sort_array("words"), F.lit(1), F.greatest(most_edits(n), most_edits(n + 1) - 1) + 1)
+    return lines.select("key", n.alias("n"), F.explode(F.array_distinct(first).cast("array<bigint>")).alias("gram"))
 
 
 def _sketched(members: DataFrame) -> DataFrame:
@@ -130,9 +143,10 @@ def _sketched(members: DataFrame) -> DataFrame:
 
 
 def _may(a: Column, b: Column) -> Column:
+    """False only for lines that can't be similar: of E edits, n - m only take a word away, and the others turn two bits at most."""
     most = most_edits(F.greatest(a["n"], b["n"]))
     turned = sum((F.bit_count(a[f"b{k}"].bitwiseXOR(b[f"b{k}"])) for k in range(1, 4)), F.bit_count(a["b0"].bitwiseXOR(b["b0"])))
-    return (F.abs(a["n"] - b["n"]) <= most) & (turned <= 2 * most)
+    return (F.abs(a["n"] - b["n"]) <= most) & (turned <= 2 * most - F.abs(a["n"] - b["n"]))
 
 
 def _within(a: Column, b: Column, alphabet: Callable[[Column], Column], most: Column) -> Column:
@@ -170,7 +184,7 @@ def line_groups(lines: DataFrame, keep: Callable[..., DataFrame]) -> DataFrame:
         near = pairs.join(one, "a").join(two, "b").where(may_be_similar(F.col("a_words"), F.col("b_words")))
         return similar_pairs(near, keep).select("a", "b")
 
-    return linked_groups(_prefixed(lines, often_repeated(lines)), lines, _sketched, _may, verified, keep)
+    return linked_groups(_prefixed(lines, often_repeated(lines)), lines, _sketched, _may, verified, keep, (_pairs_prefixed, _words_prefixed), "n")
 
 
 def kept_lines(docs: DataFrame, keep: Callable[..., DataFrame], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
