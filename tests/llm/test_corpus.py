@@ -292,6 +292,30 @@ def test_lines_against_brute_force_edit_similarity(spark):
     assert [r.text for r in line_dedup.drop_repeated_lines(df).orderBy("doc_id").collect()] == [ten, ""]
 
 
+def test_lines_that_share_a_crowded_passage_against_brute_force(spark, monkeypatch):
+    import random
+    from contestlab.llm import common
+    rnd, seen = random.Random(5), {}
+    passage = [f"p{k}" for k in range(30)]
+    texts = [[f"o{rnd.randrange(4000)}" for _ in range(n)] + passage for n in (0, 1, 5, 6, 7, 8, 9, 12, 14, 20, 26) * 4]
+    for base in texts[:30]:
+        w = list(base)
+        for at in rnd.sample(range(len(w)), len(w) // 5 + rnd.choice((0, 1))):
+            w[at] = f"e{rnd.randrange(4000)}"
+        texts.append(w)
+    label = linked(range(len(texts)), lambda a, b: 5 * slow_edits(texts[a], texts[b]) <= max(len(texts[a]), len(texts[b])))
+    for name in ("_pairs_prefixed", "_words_prefixed"):
+        def counted(lines, split=getattr(line_dedup, name), name=name):
+            seen[name] = split(lines).count()
+            return split(lines)
+        monkeypatch.setattr(line_dedup, name, counted)
+    monkeypatch.setattr(common, "CROWD", 3)
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in line_dedup.drop_repeated_lines(df).collect()}
+    assert got == {k: int(label[k] < k) for k in range(len(texts))} and 20 < sum(got.values()) < len(texts) - 8
+    assert seen["_pairs_prefixed"] > 0 and seen["_words_prefixed"] > 0
+
+
 def test_queries_with_sql(spark):
     con = duckdb.connect()
     for t in ("documents", "pages"):
