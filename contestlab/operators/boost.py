@@ -417,3 +417,32 @@ def ablate(binned: Binned, fits: list[Fit]) -> tuple[DataFrame, dict[str, Model]
     named = losses.select("part", F.substring_index("fit", "/", 1).alias("fold"), F.substring_index("fit", "/", -1).alias("group"), "loss")
     base = named.where("group = ''").select("part", "fold", F.col("loss").alias("base"))
     return named.where("group <> ''").join(base, ["part", "fold"]).select("part", "fold", "group", (F.col("loss") - F.col("base")).alias("diff")), models
+
+
+def history_role(age: Column, start: int, test: int, valid: int, days: int | None) -> Column:
+    """The role of a row `age` days before the last one: TEST for the `test` days from `start` on, VALID for the `valid` days before these, TRAIN for the
+    `days` before them (None: all), else 0."""
+    taught = age >= start + test + valid
+    if days is not None:
+        taught = taught & (age < start + test + valid + days)
+    return F.when((age >= start) & (age < start + test), TEST).when((age >= start + test) & (age < start + test + valid), VALID).when(taught, TRAIN).otherwise(0)
+
+
+def refit(binned: Binned, base: Fit, folds: dict[str, tuple[str, str]], factor: float, least: int = 1) -> tuple[Binned, dict[str, Model]]:
+    """For each fold (roles with validation, roles without) the tuned model, and one taught without validation with `factor` times the trees that the tuned one kept."""
+    tuned = boost(binned, [replace(base, name=a, role=a) for a, _ in folds.values()])
+    again = boost(binned, [replace(base, name=b, role=b, trees=max(least, round(len(tuned[a].trees) * factor))) for a, b in folds.values()])
+    return binned, tuned | again
+
+
+def compare_histories(binned: Binned, models: dict[str, Model], folds: dict[str, tuple[str, str]]) -> DataFrame:
+    """(fold, fit, trees, contests, loss, change, z): each fit's mean loss on its fold's test, and how far it lies below that of the fold's base, contest by contest.
+
+    folds: fit -> (fold, its base fit). Contests are told apart by one shuffle; positive change: better than the base.
+    """
+    names = {name: (fold, base, len(models[name].trees)) for name, (fold, base) in folds.items()}
+    losses = contest_losses(binned, models)
+    per = losses.groupBy("part").pivot("fit", list(names)).agg(F.first("loss"))
+    rows = per.select(F.inline(F.array(*[F.struct(F.lit(fold).alias("fold"), F.lit(name).alias("fit"), F.lit(trees).alias("trees"), F.col(name).alias("loss"), (F.col(base) - F.col(name)).alias("d")) for name, (fold, base, trees) in names.items()]))).where("loss is not null")
+    out = rows.groupBy("fold", "fit", "trees").agg(F.count("*").alias("contests"), F.avg("loss").alias("loss"), F.avg("d").alias("change"), (F.stddev_samp("d") / F.sqrt(F.count("d"))).alias("__se"))
+    return out.withColumn("z", F.when(F.col("__se") > 0, F.col("change") / F.col("__se")).otherwise(0.0)).drop("__se")

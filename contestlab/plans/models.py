@@ -109,3 +109,28 @@ def e20_ablation(spark: SparkSession, d: str) -> DataFrame:
         one = study.paired_verdict(diffs.where(F.col("group") == name), "fold", "diff").withColumn("group", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out.select("group", "n", "folds", "helped", R("mean").alias("mean"), R("z", 4).alias("z"), "verdict")
+
+
+@query()
+def e21_history_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """The same model taught on the last 200, 400, 800 and all days before its validation, side by side: entrants taught, trees, and loss by fold of 200 test days; `change` against all days."""
+    rows = featured(spark, d)
+    last = str(rows.agg(F.max("day")).first()[0])
+    age = F.datediff(F.lit(last).cast("date"), "day")
+    roles = {f"f{k}_{days or 'all'}": boost.history_role(age, 200 * k, 200, 200, days) for k in range(2) for days in (200, 400, 800, None)}
+    binned = contests(rows.withColumns(roles), list(roles))
+    models = boost.boost(binned, [Fit(name, objective="softmax", role=name, trees=8, depth=3, rate=0.3, patience=4) for name in roles])
+    found = boost.compare_histories(binned, models, {name: (name.split("_")[0], name.split("_")[0] + "_all") for name in roles})
+    return found.select("fold", "fit", "trees", "contests", R("loss").alias("loss"), R("change").alias("change"), R("z", 4).alias("z"))
+
+
+@query()
+def e21_refit(spark: SparkSession, d: str) -> DataFrame:
+    """Whether to teach the days of validation too: the model as tuned, and one of 1.1 times its trees taught on all days before the test, over two folds of 200 days."""
+    rows = featured(spark, d)
+    last = str(rows.agg(F.max("day")).first()[0])
+    age = F.datediff(F.lit(last).cast("date"), "day")
+    roles = {f"f{k}_{kind}": boost.history_role(age, 200 * k, 200, 200 if kind == "tuned" else 0, None) for k in range(2) for kind in ("tuned", "refit")}
+    models = boost.refit(contests(rows.withColumns(roles), list(roles)), Fit("x", objective="softmax", trees=8, depth=3, rate=0.3, patience=4), {f"f{k}": (f"f{k}_tuned", f"f{k}_refit") for k in range(2)}, 1.1)
+    found = boost.compare_histories(models[0], models[1], {name: (name.split("_")[0], name.split("_")[0] + "_tuned") for name in roles})
+    return found.select("fold", "fit", "trees", "contests", R("loss").alias("loss"), R("change").alias("change"), R("z", 4).alias("z"))

@@ -157,3 +157,18 @@ def test_patience_empty_tables_and_ablation(spark, data):
 def test_model_queries_give_rows(spark):
     for name in ("e22_win_models", "e22_importance", "e21_objectives", "e20_ablation"):
         assert registry.QUERIES[name](spark, SF).count() > 0
+
+
+def test_history_roles_and_refits(spark):
+    ages = spark.range(0, 12).withColumn("age", F.col("id").cast("int"))
+    role = lambda days, valid=2: [r[0] for r in ages.orderBy("id").select(boost.history_role(F.col("age"), 1, 3, valid, days)).collect()]
+    assert role(None) == [0, 3, 3, 3, 2, 2, 1, 1, 1, 1, 1, 1] and role(2) == [0, 3, 3, 3, 2, 2, 1, 1, 0, 0, 0, 0] and role(None, 0) == [0, 3, 3, 3, 1, 1, 1, 1, 1, 1, 1, 1]
+    data = [(c, k, float((c * 7 + k * 5) % 11), k == max(range(3), key=lambda j: ((c * 7 + j * 5) % 11, j)), c % 12) for c in range(240) for k in range(3)]
+    df = spark.createDataFrame(data, "c int, k int, x double, win boolean, age int").withColumns({"a": boost.history_role(F.col("age"), 0, 3, 3, None), "b": boost.history_role(F.col("age"), 0, 3, 0, None)})
+    binned, models = boost.refit(boost.bin_contests(df, "c", "k", ["x"], ["win"], ["a", "b"]), boost.Fit("x", objective="softmax", trees=4, depth=2, rate=0.5, least=5), {"f": ("a", "b")}, 1.5)
+    assert len(models["a"].trees) == 4 and len(models["b"].trees) == 6
+    got = {r.fit: r for r in boost.compare_histories(binned, models, {"a": ("f", "a"), "b": ("f", "a")}).collect()}
+    losses = {(r.fit, r.part): r.loss for r in boost.contest_losses(binned, models).collect()}
+    mean = lambda n: sum(v for (f, _), v in losses.items() if f == n) / 60
+    assert got["a"].contests == got["b"].contests == 60 and got["a"].change == 0 and got["a"].z == 0
+    assert abs(got["b"].loss - mean("b")) < 1e-9 and abs(got["b"].change - (mean("a") - mean("b"))) < 1e-9 and got["b"].change > 0
