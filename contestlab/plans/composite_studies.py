@@ -141,7 +141,7 @@ def e38_trend_fit(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: The likeliest ticket of each contest under filters laid on top of each other, with a martingale by title.
-FILTERS = {"calm": F.col("discount") >= 0.02, "quick": F.col("score_rank") <= 3, "value": F.round(F.col("p") * F.col("odds"), 9) >= 0.5}
+FILTERS = {"calm": "discount >= 0.02", "quick": "score_rank <= 3", "value": "round(p * odds, 9) >= 0.5"}
 
 
 @query(f", {HALF_SQL}, a as (select * from (select *, finish = 1 as hit, row_number() over (partition by contest order by round(p, 9) desc, slot) as kp from ent) join hf using (day) where kp = 1), " + """
@@ -155,7 +155,7 @@ def e38_stacked_filters(spark: SparkSession, d: str) -> DataFrame:
 
 def _filtered(spark: SparkSession, d: str) -> DataFrame:
     top = tuples.top_k(entrants(spark, d).withColumns({"hit": F.col("finish") == 1, "q": F.round("p", 9)}), ["contest"], [F.desc("q"), F.asc("slot")], 1, "kp")
-    return composite.cases(halved(top), composite.stacked(FILTERS))
+    return composite.cases(halved(top), composite.stacked({k: F.expr(c) for k, c in FILTERS.items()}))
 
 
 @query(""", a as (select * from (select *, finish = 1 as hit, row_number() over (partition by contest order by round(p, 9) desc, slot) as kp from ent) where kp = 1),
