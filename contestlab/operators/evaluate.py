@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import ranks
+from . import draws, ranks
 
 
 def unit_random(*key: Column) -> Column:
@@ -45,15 +45,16 @@ def fit_and_apply_pool(df: DataFrame, grid: DataFrame, part: str, p: str, market
 def bootstrap_ratio(df: DataFrame, unit: str, num: str, den: str, reps: int) -> DataFrame:
     """`reps` replicates of sum(num) / sum(den) with Poisson(1) weights per unit, drawn from md5(unit:rep).
 
-    Weights of resampled units are independent, so each replicate is a partial aggregate; the limits are those of resampling n units.
+    Weights of resampled units are independent, so each replicate is a partial sum; the limits are those of resampling n units.
+    A task draws all replicates of its units in Arrow batches and gives out one row a replicate. Rows are dealt over all cores, as
+    the draws and not the rows take the time.
     """
-    u = unit_random(F.col(unit), F.col("rep"))
-    cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    weight = F.lit(0)
-    for c in cuts:
-        weight = weight + (u >= c).cast("int")
-    rows = df.select(unit, num, den, F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).withColumn("w", weight)
-    return rows.groupBy("rep").agg((F.sum(F.col("w") * F.col(num)) / F.sum(F.col("w") * F.col(den))).alias("ratio"))
+    spark = df.sparkSession
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = df.select(F.coalesce(F.concat(F.col(unit).cast("string"), F.lit(":")), F.lit("")).cast("binary").alias("head"), F.col(num).cast("double").alias("num"), F.col(den).cast("double").alias("den"))
+    drawn = rows.repartition(parts).mapInArrow(draws.weighted_sums(reps), "rep int, num double, den double, nums long, dens long")
+    total = lambda x: F.when(F.sum(f"{x}s") > 0, F.sum(x))
+    return drawn.groupBy("rep").agg((total("num") / total("den")).alias("ratio"))
 
 
 def bootstrap_limits(df: DataFrame, unit: str, num: str, den: str, reps: int = 1000) -> DataFrame:

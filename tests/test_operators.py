@@ -122,3 +122,24 @@ def test_pool_is_fitted_on_the_first_half_and_applied_to_the_second(spark):
     got = evaluate.fit_and_apply_pool(df, spark.createDataFrame(cells, "a double, b double"), "contest", "p", "market", "hit", "second").first()
     assert (got.a, got.b) == best[1:] and [got.first_loss, got.second_loss] == pytest.approx([best[0], loss(got.a, got.b, 1)], abs=1e-9)
     assert registry.QUERIES["e2_fit_pool_halves"](spark, SF).count() == 1
+
+
+def test_bootstrap_draws_equal_md5_and_deal_their_work_over_all_cores(spark):
+    import hashlib
+
+    import numpy as np
+    from contestlab.operators import draws
+    for size in (0, 1, 6, 50, 51, 52, 60):  # from one block to two
+        heads = [f"{k:0{size}d}"[:size].encode() for k in range(9)]
+        for tails in ([b"1", b"7"], [b"10", b"99"], [b"1000"]):
+            want = [[int(hashlib.md5(h + t).hexdigest()[:8], 16) for t in tails] for h in heads]
+            assert draws.md5_numbers(heads, tails).tolist() == want
+    data = [("a", 1.5, 1.0), (None, 2.5, 2.0), ("x" * 70, None, 1.0), ("b", 4.0, 3.0)] + [(str(k), k / 7, 1.0) for k in range(95, 105)]
+    df = spark.createDataFrame(data, "unit string, num double, den double").coalesce(1)
+    u = evaluate.unit_random(F.col("unit"), F.col("rep"))
+    weight = sum(((u >= c).cast("int") for c in draws.POISSON_CUTS), F.lit(0))
+    old = df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(12)))).withColumn("w", weight).groupBy("rep").agg((F.sum(F.col("w") * F.col("num")) / F.sum(F.col("w") * F.col("den"))).alias("ratio"))
+    found = evaluate.bootstrap_ratio(df, "unit", "num", "den", 12)
+    assert {r.rep: r.ratio for r in found.collect()} == pytest.approx({r.rep: r.ratio for r in old.collect()}, abs=1e-12)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()  # no row a unit and replicate
+    assert evaluate.bootstrap_ratio(df.limit(0), "unit", "num", "den", 12).isEmpty()
