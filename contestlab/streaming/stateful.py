@@ -1,11 +1,13 @@
 """Keyed state with event-time timers: decisions that are provisional until a timer fixes them (R1), alerts with hysteresis (R9), swaps merged once.
 
 Both processors wait for the watermark before they settle anything, so that the result is that of the batch twin however rows are dealt into
-micro-batches, as long as none comes later than the watermark allows. State of a key goes when its timer has fired.
+micro-batches, as long as none comes later than the watermark allows. State of a key goes when it is settled. Keys share their state in buckets, so that
+a batch costs a few calls to the state store for each bucket and not for each key or row.
 """
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections.abc import Iterator
 
@@ -14,7 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -31,49 +33,91 @@ def _millis(column: str) -> Column:
     return F.unix_millis(F.col(column).cast("timestamp"))
 
 
-class Decide(StatefulProcessor):
-    """State: the first tick within the last stretch, or before it the newest one (provisional). A timer at the deadline settles it."""
+#: Keys are dealt into this many buckets, whose keys share one row of state and one timer: a call to the store costs more than a key's work.
+BUCKETS = 512
+#: How keys and carried columns are packed; times keep their microseconds and offset.
+PACKED = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
-    def __init__(self, within_ms: int, columns: list[str]):
-        self.within, self.columns = within_ms, columns
+
+class Bucketed(StatefulProcessor):
+    """The keys of a bucket in one packed row of state, with a timer at the earliest time that one of them waits for."""
+
+    #: Columns of the rows given out.
+    columns: tuple[str, ...] = ()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.best = handle.getValueState("best", StructType([StructField("inside", BooleanType()), StructField("at", LongType()), StructField("tie", StringType()), StructField("what", StringType())]))
+        self.state = handle.getValueState("bucket", StructType([StructField("next", LongType()), StructField("keys", BinaryType())]))
+
+    def load(self) -> tuple[int | None, dict]:
+        held = self.state.get() if self.state.exists() else None
+        return (held[0], pickle.loads(held[1])) if held else (None, {})
+
+    def save(self, timer: int | None, earliest: int | None, keys: dict) -> None:
+        """`timer` is the one that is set, or None; a later one that is left behind finds nothing to do."""
+        if not keys:
+            self.state.clear()
+            return
+        if earliest is not None and (timer is None or earliest < timer):
+            self.handle.registerTimer(earliest)
+            timer = earliest
+        self.state.update((timer, pickle.dumps(keys, pickle.HIGHEST_PROTOCOL)))
+
+    def given(self, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        if rows:
+            yield pd.DataFrame(rows, columns=list(self.columns))
+
+    def close(self) -> None:
+        pass
+
+
+class Decide(Bucketed):
+    """State of a key: the first tick within the last stretch, or before it the newest one (provisional), and its deadline, at which it is settled."""
+
+    columns = ("who", "kind", "at", "tie", "what")
+
+    def __init__(self, within_ms: int):
+        self.within = within_ms
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.best.get() if self.best.exists() else None
-        first, due = held, None
+        timer, keys = self.load()
+        changed, opened = set(), {}
         for frame in rows:
-            for at, due, tie, what in zip(frame["at_ms"], frame["due_ms"], frame["tie_text"], frame["what_json"]):
-                inside = due - at <= self.within
-                better = held is None or (inside and not held[0]) or (inside == held[0] and ((at, tie) < (held[1], held[2]) if inside else (at, tie) > (held[1], held[2])))
-                if better:
-                    held = (bool(inside), int(at), str(tie), what)
-        if held is None or held == first:
-            return
-        if first is None:
-            self.handle.registerTimer(int(due))
-        self.best.update(held)
-        yield self._row(key, "provisional", held)
+            for who, at, due, tie, what in zip(*[frame[c].tolist() for c in ("who", "at_ms", "due_ms", "tie_text", "what_json")]):
+                held, inside = keys.get(who), due - at <= self.within
+                if held is None:
+                    opened[who] = due
+                elif not ((inside and not held[0]) or (inside == held[0] and ((at, tie) < held[1:3] if inside else (at, tie) > held[1:3]))):
+                    continue
+                keys[who] = (inside, at, tie, what, held[4] if held else due)
+                changed.add(who)
+        if changed:
+            self.save(timer, min(opened.values(), default=None), keys)
+        return self.given([(who, "provisional", *keys[who][1:4]) for who in changed])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = self.best.get() if self.best.exists() else None
-        self.best.clear()
-        if held is not None and held[0]:
-            yield self._row(key, "fixed", held)
+        fired, passed = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        timer, keys = self.load()
+        if timer is None or timer > fired:
+            return iter(())
+        over = [who for who, held in keys.items() if held[4] <= fired or held[4] < passed]
+        settled = [(who, keys.pop(who)) for who in over]
+        self.save(None, min((held[4] for held in keys.values()), default=None), keys)
+        return self.given([(who, "fixed", *held[1:4]) for who, held in settled if held[0]])
 
-    def _row(self, key, kind: str, held) -> pd.DataFrame:
-        return pd.DataFrame({**{c: [k] for c, k in zip(self.columns, key)}, "kind": [kind], "at": [held[1]], "tie": [held[2]], "what": [held[3]]})
 
-    def close(self) -> None:
-        pass
+def _packed(*columns: str) -> Column:
+    return F.to_json(F.struct(*columns), PACKED)
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("who"), F.lit(BUCKETS)).cast("int").alias("bucket")
 
 
-def _untied(rows: DataFrame, keys: list[str], what: list[str], kinds: StructType) -> DataFrame:
-    """Times and the carried columns out of their packed form."""
-    shape = StructType([f for f in kinds.fields if f.name in what])
-    return rows.withColumn("__w", F.from_json("what", shape, {"timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"})).select(*keys, "kind", F.timestamp_millis("at").alias("at"), *[F.col(f"__w.{c}").alias(c) for c in what])
+def _untied(rows: DataFrame, packed: str, columns: list[str], kinds: StructType) -> DataFrame:
+    """Columns out of their packed form."""
+    shape = StructType([StructField(f.name, f.dataType) for f in kinds.fields if f.name in columns])
+    return rows.withColumn("__w", F.from_json(packed, shape, PACKED)).select(*[c for c in rows.columns if c != packed], *[F.col(f"__w.{c}").alias(c) for c in columns])
 
 
 def decide(stream: DataFrame, keys: list[str], ts: str, deadline: str, tie: str, what: list[str], within: float = 5.5, late: str = "1 minute") -> DataFrame:
@@ -84,11 +128,10 @@ def decide(stream: DataFrame, keys: list[str], ts: str, deadline: str, tie: str,
     """
     use_rocksdb(stream.sparkSession)
     packed = stream.withWatermark(ts, late).where(F.col(ts) <= F.col(deadline)).select(
-        *keys, ts, _millis(ts).alias("at_ms"), _millis(deadline).alias("due_ms"), F.coalesce(F.col(tie).cast("string"), F.lit("")).alias("tie_text"),
-        F.to_json(F.struct(*what), {"timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}).alias("what_json"))
-    out = StructType([stream.schema[k] for k in keys]).add("kind", "string").add("at", "long").add("tie", "string").add("what", "string")
-    found = packed.groupBy(*keys).transformWithStateInPandas(Decide(int(within * 60_000), keys), out, "Append", "EventTime")
-    return _untied(found, keys, what, stream.schema)
+        ts, _packed(*keys).alias("who"), _millis(ts).alias("at_ms"), _millis(deadline).alias("due_ms"), F.coalesce(F.col(tie).cast("string"), F.lit("")).alias("tie_text"), _packed(*what).alias("what_json"))
+    found = packed.withColumn("bucket", _bucket()).groupBy("bucket").transformWithStateInPandas(Decide(int(within * 60_000)), "who string, kind string, at long, tie string, what string", "Append", "EventTime")
+    rows = found.select("who", "kind", F.timestamp_millis("at").alias("__at"), "what")
+    return _untied(_untied(rows, "who", keys, stream.schema), "what", what, stream.schema).select(*keys, "kind", F.col("__at").alias("at"), *what)
 
 
 def decide_batch(ticks: DataFrame, keys: list[str], ts: str, deadline: str, tie: str, what: list[str], within: float = 5.5) -> DataFrame:
@@ -99,56 +142,57 @@ def decide_batch(ticks: DataFrame, keys: list[str], ts: str, deadline: str, tie:
     return first.select(*keys, "__d.*")
 
 
-class Alert(StatefulProcessor):
-    """State: checks that the watermark has not passed, and how the run of failures stands. A timer at each check's time takes it up in order."""
+class Alert(Bucketed):
+    """State of a key: checks that the watermark has not passed, by their times, and how the run of failures stands. They are taken up in order."""
 
-    def __init__(self, confirm: int, resend_ms: int, columns: list[str]):
-        self.confirm, self.resend, self.columns = confirm, resend_ms, columns
+    columns = ("who", "at", "kind")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getMapState("waiting", StructType([StructField("at", LongType())]), StructType([StructField("bad", BooleanType())]))
-        self.run = handle.getValueState("run", StructType([StructField("failures", LongType()), StructField("sent", LongType())]))
+    def __init__(self, confirm: int, resend_ms: int):
+        self.confirm, self.resend = confirm, resend_ms
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        timer, keys = self.load()
+        earliest = None
         for frame in rows:
-            for at, bad in zip(frame["at_ms"], frame["is_bad"]):
-                known = self.waiting.getValue((int(at),)) if self.waiting.containsKey((int(at),)) else None
-                self.waiting.updateValue((int(at),), (bool(bad) or bool(known and known[0]),))
-                if known is None:
-                    self.handle.registerTimer(int(at))
+            for who, at, bad in zip(*[frame[c].tolist() for c in ("who", "at_ms", "is_bad")]):
+                waiting = keys.setdefault(who, ({}, 0, -1))[0]
+                waiting[at] = waiting.get(at, False) or bad
+                earliest = at if earliest is None else min(at, earliest)
+        self.save(timer, earliest, keys)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # timers of a key fire in the order of their times
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        bad = self.waiting.getValue((at,))[0]
-        self.waiting.removeKey((at,))
-        failures, sent = self.run.get() if self.run.exists() else (0, -1)
-        kind = None
-        if bad:
-            failures += 1
-            if failures >= self.confirm and (sent < 0 or at - sent >= self.resend):
-                kind, sent = "alert", at
-            self.run.update((failures, sent))
-        else:
-            kind = "recovered" if sent >= 0 else None
-            self.run.clear()
-        if kind:
-            yield pd.DataFrame({**{c: [k] for c, k in zip(self.columns, key)}, "at": [at], "kind": [kind]})
-
-    def close(self) -> None:
-        pass
+        fired, passed = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        timer, keys = self.load()
+        if timer is None or timer > fired:
+            return iter(())
+        told, left, earliest = [], {}, None
+        for who, (waiting, failures, sent) in keys.items():
+            for at in sorted(t for t in waiting if t <= fired or t < passed):
+                if waiting.pop(at):
+                    failures += 1
+                    if failures >= self.confirm and (sent < 0 or at - sent >= self.resend):
+                        told.append((who, at, "alert"))
+                        sent = at
+                else:
+                    if sent >= 0:
+                        told.append((who, at, "recovered"))
+                    failures, sent = 0, -1
+            if waiting:
+                earliest = min(waiting) if earliest is None else min(earliest, min(waiting))
+            if waiting or failures:
+                left[who] = (waiting, failures, sent)
+        self.save(None, earliest, left)
+        return self.given(told)
 
 
 def alerts(checks: DataFrame, keys: list[str], ts: str, bad: str, confirm: int = 2, resend_hours: float = 6, late: str = "1 minute") -> DataFrame:
     """(keys, at, kind): an `alert` at the `confirm`th failure in a row, again at the first failure `resend_hours` after the last one told, and `recovered`
     at the first success after a told failure. Checks of one key and millisecond are one, bad if any is. Null `bad` is a success."""
     use_rocksdb(checks.sparkSession)
-    rows = checks.withWatermark(ts, late).where(F.col(ts).isNotNull()).select(*keys, ts, _millis(ts).alias("at_ms"), F.coalesce(F.col(bad), F.lit(False)).alias("is_bad"))
-    out = StructType([checks.schema[k] for k in keys]).add("at", "long").add("kind", "string")
-    found = rows.groupBy(*keys).transformWithStateInPandas(Alert(confirm, int(resend_hours * 3_600_000), keys), out, "Append", "EventTime")
-    return found.select(*keys, F.timestamp_millis("at").alias("at"), "kind")
+    rows = checks.withWatermark(ts, late).where(F.col(ts).isNotNull()).select(ts, _packed(*keys).alias("who"), _millis(ts).alias("at_ms"), F.coalesce(F.col(bad), F.lit(False)).alias("is_bad"))
+    found = rows.withColumn("bucket", _bucket()).groupBy("bucket").transformWithStateInPandas(Alert(confirm, int(resend_hours * 3_600_000)), "who string, at long, kind string", "Append", "EventTime")
+    return _untied(found.select("who", F.timestamp_millis("at").alias("__at"), "kind"), "who", keys, checks.schema).select(*keys, F.col("__at").alias("at"), "kind")
 
 
 def swap_recorder(folder: str, site: str, day: str, value: str, least: int = 12, share: float = 0.6):

@@ -123,3 +123,45 @@ def test_a_replayed_batch_changes_no_swap(spark, tmp_path):
     take(second, 1)
     take(first, 0)
     assert rows(stateful.read_swaps(spark, str(tmp_path))) == want
+
+
+def test_a_buckets_keys_share_their_calls_to_the_state_store():
+    import pandas as pd
+
+    class Store:
+        def __init__(self):
+            self.held, self.calls, self.timers = None, 0, []
+
+        def getValueState(self, *_):
+            return self
+
+        def exists(self):
+            self.calls += 1
+            return self.held is not None
+
+        def get(self):
+            self.calls += 1
+            return self.held
+
+        def update(self, value):
+            self.calls, self.held = self.calls + 1, value
+
+        def clear(self):
+            self.calls, self.held = self.calls + 1, None
+
+        def registerTimer(self, at):
+            self.calls += 1
+            self.timers.append(at)
+
+    class At:
+        def __init__(self, ms):
+            self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: ms
+
+    for processor, columns in ((stateful.Decide(1000), {"due_ms": 1500, "tie_text": "", "what_json": "{}"}), (stateful.Alert(2, 10), {"is_bad": True})):
+        store = Store()
+        processor.init(store)
+        for at in (1000, 1100):
+            list(processor.handleInputRows((0,), iter([pd.DataFrame({"who": [str(k) for k in range(500)], "at_ms": at, **columns})]), At(0)))
+        told = pd.concat(processor.handleExpiredTimer((0,), At(2000), At(2000)))
+        assert len(told) == 500 and set(told["at"]) == ({1000} if isinstance(processor, stateful.Decide) else {1100})
+        assert store.calls < 20 and len(store.timers) == 1  # not some for each of 500 keys
