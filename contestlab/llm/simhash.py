@@ -60,8 +60,8 @@ def fingerprint_column(text: Column, shingle: int = SHINGLE, seed: int = SEED) -
     return F.pandas_udf(batch, "long")(text.cast("binary"))
 
 
-def _keyed(prints: DataFrame) -> DataFrame:
-    """One row for each fingerprint and key: (fp, key)."""
+def keyed(prints: DataFrame, *carried: str) -> DataFrame:
+    """One row for each fingerprint `fp` and key of the filter: (fp, ring) and the carried columns. Fingerprints within 3 bits share a key."""
     options = []
     for i in range(4):
         ring = F.col("fp") if i == 0 else F.shiftrightunsigned("fp", 16 * i).bitwiseOR(F.shiftleft("fp", 64 - 16 * i))
@@ -70,7 +70,7 @@ def _keyed(prints: DataFrame) -> DataFrame:
             combo = 5 * i + p
             key = F.lit(combo << 32).bitwiseOR(F.shiftleft(ring.bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseOR(F.shiftleft(byte[a], 8)).bitwiseOR(byte[b])
             options.append(key)
-    return prints.select("fp", F.explode(F.array(*options)).alias("key"))
+    return prints.select("fp", *carried, F.explode(F.array(*options)).alias("ring"))
 
 
 def _passes(x: Column) -> Column:
@@ -97,7 +97,7 @@ def fingerprint_groups(prints: DataFrame, keep: Callable[..., DataFrame]) -> Dat
     A crowd of close fingerprints does not make all its pairs: each is tried with the first one under each of its keys, then with those
     under its keys that it isn't connected to.
     """
-    groups = linked_groups(_keyed(only(prints, "fp")).select(F.col("key").alias("gram"), F.col("fp").alias("key")), prints.select(F.col("fp").alias("key")),
+    groups = linked_groups(keyed(only(prints, "fp")).select(F.col("ring").alias("gram"), F.col("fp").alias("key")), prints.select(F.col("fp").alias("key")),
                            lambda members: members.select("key", F.col("key").alias("sketch")), linked, lambda pairs, members: pairs, keep)
     return groups.select(F.col("key").alias("node"), "component")
 

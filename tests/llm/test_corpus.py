@@ -392,6 +392,23 @@ def test_pipeline_near_copies_against_brute_force(spark):
     assert corpus_pipeline.drop_near_duplicates(spark, df.limit(0), SF).isEmpty()
 
 
+def test_pipeline_takes_its_pairs_from_simhash(spark):
+    """Documents whose fingerprints are within 3 bits meet under a key of SimHash, also if their sets share no first shingle."""
+    from contestlab.llm import shingles
+    base = 0x0123456789ABCDEF
+    prints = [base, base ^ 0b1, base ^ (1 << 63 | 1 << 40 | 1 << 20), base ^ (7 << 30), base ^ (0xF << 8), base ^ (1 << 64) - 1]
+    once = spark.createDataFrame([(k, (p + (1 << 63)) % (1 << 64) - (1 << 63), [k]) for k, p in enumerate(prints)], "key long, fp long, first array<long>")
+    met = defaultdict(set)
+    for r in shingles.grams(once).collect():
+        met[r.key].add(r.gram)
+    for a in range(len(prints)):
+        assert a in met[a]
+        for b in range(a):
+            if bin(prints[a] ^ prints[b]).count("1") <= 3:
+                assert met[a] & met[b]
+    assert not met[0] & met[5]
+
+
 def test_queries_without_the_package_on_the_workers(tmp_path):
     """Workers that can't import the package get all they need with the tasks."""
     import os
