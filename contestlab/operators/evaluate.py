@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import draws, ranks
+from . import draws, pools, ranks
 
 
 def unit_random(*key: Column) -> Column:
@@ -22,14 +22,14 @@ def log_loss(df: DataFrame, by: list[str], p: str, hit: str) -> DataFrame:
 def fit_pool(df: DataFrame, grid: DataFrame, part: str, p: str, market: str, hit: str) -> DataFrame:
     """Mean log-loss of p^a * market^b for every grid cell (a, b).
 
-    The grid is a constant list of cells (hundreds), crossed as an array inside each row; a contest's cells are aggregated
-    twice with partial sums and nothing is joined back.
+    The grid is a constant list of cells (hundreds), which goes to the tasks with the function. A contest's entrants meet in one row, as
+    they are few by meaning; a task takes all cells of its contests at once and gives out one row a cell.
     """
-    cells = grid.agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("cells"))
-    rows = df.join(F.broadcast(cells)).select(part, p, market, hit, F.explode("cells").alias("g"))
-    raw = F.exp(F.col("g.a") * F.log(F.greatest(F.col(p), F.lit(1e-9))) + F.col("g.b") * F.log(F.greatest(F.col(market), F.lit(1e-9))))
-    contest = rows.withColumn("raw", raw).groupBy(part, "g").agg((F.log(F.sum("raw")) - F.sum(F.when(F.col(hit), F.log("raw")))).alias("loss"))
-    return contest.groupBy(F.col("g.a").alias("a"), F.col("g.b").alias("b")).agg(F.avg("loss").alias("log_loss"))
+    cells = [(float(r.a), float(r.b)) for r in grid.select("a", "b").collect()]
+    log = lambda c: F.log(F.greatest(F.col(c), F.lit(1e-9)))
+    contests = df.groupBy(part).agg(F.collect_list(F.struct(log(p).alias("lp"), log(market).alias("lm"), F.col(hit).alias("hit"))).alias("rows")).select("rows")
+    sums = contests.mapInArrow(pools.cell_losses(cells), "a double, b double, loss double, n long")
+    return sums.groupBy("a", "b").agg((F.sum("loss") / F.nullif(F.sum("n"), F.lit(0))).alias("log_loss"))
 
 
 def fit_and_apply_pool(df: DataFrame, grid: DataFrame, part: str, p: str, market: str, hit: str, second: str) -> DataFrame:

@@ -143,3 +143,30 @@ def test_bootstrap_draws_equal_md5_and_deal_their_work_over_all_cores(spark):
     assert {r.rep: r.ratio for r in found.collect()} == pytest.approx({r.rep: r.ratio for r in old.collect()}, abs=1e-12)
     assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()  # no row a unit and replicate
     assert evaluate.bootstrap_ratio(df.limit(0), "unit", "num", "den", 12).isEmpty()
+
+
+def test_pool_makes_no_row_an_entrant_and_cell(spark):
+    import random
+    from math import exp, log
+    rnd = random.Random(4)
+    data = [(c, rnd.random(), rnd.random() if k else None, k == c % 7) for c in range(40) for k in range(2 + c % 5)]  # some contests without a winner
+    cells = [(a / 10, b / 10) for a in range(5, 31) for b in range(16)]
+    got = evaluate.fit_pool(spark.createDataFrame(data, "contest long, p double, market double, hit boolean"), spark.createDataFrame(cells, "a double, b double"), "contest", "p", "market", "hit")
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for a, b in cells:
+        each = []
+        for c in range(40):
+            raw = [(exp(a * log(max(p, 1e-9)) + b * log(max(m or 0, 1e-9))), y) for i, p, m, y in data if i == c]
+            if any(y for _, y in raw):
+                each.append(log(sum(x for x, _ in raw)) - sum(log(x) for x, y in raw if y))
+        want[a, b] = sum(each) / len(each)
+    assert {(r.a, r.b): r.log_loss for r in got.collect()} == pytest.approx(want, abs=1e-9)
+
+
+def test_large_tables_are_dealt_into_parts_by_their_size(spark):
+    from contestlab.plans import standins
+    small = standins.spread(spark, SF, "lineitem", "l_orderkey")
+    parts = standins.spread(spark, SF, "lineitem", "l_orderkey", 1 << 13)
+    assert "Exchange" not in small._jdf.queryExecution().executedPlan().toString() and parts.rdd.getNumPartitions() > 4
+    assert sorted(parts.collect()) == sorted(small.collect())
