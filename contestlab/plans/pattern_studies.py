@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from contestlab.operators import patterns
 from contestlab.operators.rules import rank_of, wide
 from contestlab.plans.queries import R, query
-from contestlab.plans.standins import entrants, table
+from contestlab.plans.standins import entrants, spread, table
 from contestlab.sources import text
 from contestlab.storage import shared_dir
 
@@ -95,7 +95,7 @@ def e39_upset_study(spark: SparkSession, d: str) -> DataFrame:
 @query("select o_orderkey::varchar as contest, o_orderdate::date::varchar as day, l_linenumber::varchar as slot, l_quantity::bigint::varchar as score, count(*) as n from lineitem join orders on l_orderkey = o_orderkey group by all")
 def s14_sections(spark: SparkSession, d: str) -> DataFrame:
     """Order lines written as a log under headings of the order and its day, and read back in splits."""
-    lines = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = spread(spark, d, "lineitem", "l_orderkey").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     head = F.concat(F.lit("== "), F.col("l_orderkey").cast("string"), F.lit("\n#day "), F.to_date("o_orderdate").cast("string"), F.lit("\n"))
     rows = lines.groupBy("l_orderkey", "o_orderdate").agg(F.array_sort(F.collect_list(F.concat_ws(" ", F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("bigint").cast("string")))).alias("r"))
     path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"

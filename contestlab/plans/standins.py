@@ -15,9 +15,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a table's files for each part of it: a task sorts and groups one part, whatever the size of the table.
+PART_BYTES = 2 << 20
+
+
+def spread(spark: SparkSession, sf_dir: str, name: str, key: str, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The table, dealt by `key` into parts of about `part_bytes` of its files, where that makes more parts than a shuffle does anyway.
+
+    Windows, groups and joins on the key keep these parts.
+    """
+    df = table(spark, sf_dir, name)
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    size = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    parts = -(-size // part_bytes)
+    return df.repartition(parts, key) if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def entrants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each contest (order) and slot (line 1 to 6), latest version only."""
-    lines = latest_by(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], [F.desc(c) for c in VERSION]).where("l_linenumber <= 6")
+    lines = latest_by(spread(spark, sf_dir, "lineitem", "l_orderkey"), ["l_orderkey", "l_linenumber"], [F.desc(c) for c in VERSION]).where("l_linenumber <= 6")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"), F.col("o_orderpriority").alias("title"))
     sites = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("site"))
     contest = Window.partitionBy("contest")
