@@ -129,3 +129,46 @@ def weighted_sums(reps: int):
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, reps + 1), pa.int32()), pa.array(sums[0]), pa.array(sums[1]), pa.array([counts[0]] * reps, pa.int64()), pa.array([counts[1]] * reps, pa.int64())], ["rep", "num", "den", "nums", "dens"])
 
     return run
+
+
+def drawn_winners(sims: int, slot: pa.DataType):
+    """A function for mapInArrow over contests (head binary, e: list of structs (slot, cum, o)): for each sim 1 to `sims` and slot that wins in it, the sum of its odds.
+
+    The winner is the first entry whose cumulative probability is not under the number of md5(head + sim), or the last one. Null odds count nothing.
+    """
+    columns: dict[int, list[bytes]] = {}
+    for sim in range(1, sims + 1):
+        columns.setdefault(len(str(sim)), []).append(str(sim).encode())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[object, np.ndarray] = {}
+        for batch in batches:
+            heads, lists = batch.column(0).to_pylist(), batch.column(1)
+            rows, offsets = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+            starts, sizes = offsets[:-1] - offsets[0], np.diff(offsets)
+            names = rows.field(0).dictionary_encode(null_encoding="encode")
+            codes, names = names.indices.to_numpy().astype(np.int64), names.dictionary.to_pylist()
+            cum, odds = rows.field(1).fill_null(np.nan).to_numpy(zero_copy_only=False), rows.field(2).fill_null(0.0).to_numpy(zero_copy_only=False)
+            sums, counts = np.zeros((len(names), sims)), np.zeros((len(names), sims), np.int64)
+            lengths = np.array([len(h) for h in heads], np.int64)
+            for length, size in {*zip(lengths.tolist(), sizes.tolist())}:
+                same = np.flatnonzero((lengths == length) & (sizes == size))
+                for texts in columns.values():
+                    first, step = int(texts[0]) - 1, max(1, BLOCK // (len(texts) * size))
+                    for k in range(0, len(same), step):
+                        some = same[k: k + step]
+                        drawn = md5_numbers([heads[i] for i in some], texts) / 2.0 ** 32
+                        at = np.zeros(drawn.shape, np.int64)
+                        for j in range(size):
+                            at += cum[starts[some] + j][:, None] < drawn
+                        entry = starts[some][:, None] + np.minimum(at, size - 1)
+                        cell = (codes[entry] * sims + first + np.arange(len(texts))).reshape(-1)
+                        sums += np.bincount(cell, odds[entry].reshape(-1), sums.size).reshape(sums.shape)
+                        counts += np.bincount(cell, minlength=sums.size).reshape(sums.shape)
+            for name, s, c in zip(names, sums, counts):
+                found[name] = found.get(name, 0) + np.stack([s, c])
+        for name, (s, c) in found.items():
+            won = np.flatnonzero(c)
+            yield pa.RecordBatch.from_arrays([pa.array(won + 1, pa.int32()), pa.array([name] * len(won), slot), pa.array(s[won])], ["sim", "slot", "o"])
+
+    return run

@@ -170,3 +170,23 @@ def test_large_tables_are_dealt_into_parts_by_their_size(spark):
     parts = standins.spread(spark, SF, "lineitem", "l_orderkey", 1 << 13)
     assert "Exchange" not in small._jdf.queryExecution().executedPlan().toString() and parts.rdd.getNumPartitions() > 4
     assert sorted(parts.collect()) == sorted(small.collect())
+
+
+def test_null_worlds_make_no_row_a_contest_and_sim(spark):
+    from contestlab.operators import study
+    data = [(c, s, 1 / (2 + c % 3), 1.5 + s + c / 100, s == c % (2 + c % 3)) for c in range(95, 125) for s in range(2 + c % 3)]
+    got = study.null_max_test(spark.createDataFrame(data, "contest long, slot int, market double, odds double, hit boolean"), "contest", "slot", "market", "odds", "hit", 60)
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    import hashlib
+    n, back, tops = {}, {}, []
+    for _, s, _, o, y in data:
+        n[s], back[s] = n.get(s, 0) + 1, back.get(s, 0) + o * y
+    best = min((-round(back[s] / n[s], 9), s) for s in n)
+    for sim in range(1, 61):
+        won = {}
+        for c in range(95, 125):
+            u, size = int(hashlib.md5(f"{c}:{sim}".encode()).hexdigest()[:8], 16) / 2 ** 32, 2 + c % 3
+            s = min(sum((k + 1) / size < u for k in range(size)), size - 1)
+            won[s] = won.get(s, 0) + 1.5 + s + c / 100
+        tops.append(round(max(won[s] / n[s] for s in won), 9))
+    assert tuple(got.first()) == pytest.approx((best[1], -best[0], (1 + sum(t >= -best[0] for t in tops)) / 61))
