@@ -137,59 +137,95 @@ def bin_contests(df: DataFrame, part: str, slot: str, features: list[str], label
             x = frame.column("x")
             values = x.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, n)
             made = np.stack([to_bins(values[:, k], cuts[f], f in categorical) for k, f in enumerate(features)], axis=1) if n else np.zeros((len(values), 0), np.uint8)
-            ends = np.cumsum([len(v) // max(1, n) for v in x])
-            blobs = [m.tobytes() for m in np.split(made, ends[:-1])]
+            ends = np.append(0, np.cumsum(x.value_lengths().to_numpy(zero_copy_only=False))).astype(np.int32)
+            blobs = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(made.tobytes())])
             names = [c for c in schema.names if c != "bins"]
-            yield pa.RecordBatch.from_arrays([*[frame.column(c) for c in names], pa.array(blobs, pa.binary())], names=[*names, "bins"])
+            yield pa.RecordBatch.from_arrays([*[frame.column(c) for c in names], blobs], names=[*names, "bins"])
 
     return Binned(written(whole.mapInArrow(batch, schema)), features, labels, roles, cuts, categorical)
 
 
-def walk(tree: dict, bins: np.ndarray, levels: int | None = None) -> np.ndarray:
-    """The node of each row after `levels` steps (all by default); children of node k are 2k + 1 and 2k + 2."""
-    feature, left = tree["feature"], tree["left"]
-    node = np.zeros(len(bins), np.int64)
-    rows = np.arange(len(bins))
-    for _ in range(tree["depth"] if levels is None else levels):
-        f = np.where(node < len(feature), feature[np.minimum(node, len(feature) - 1)], -1)
-        go = left[np.minimum(node, len(left) - 1), bins[rows, np.maximum(f, 0)]] if bins.shape[1] else np.zeros(len(bins), bool)
-        node = np.where(f >= 0, 2 * node + 2 - go, node)
+def walk(tree: dict, columns: list[bytes], levels: int | None = None) -> np.ndarray:
+    """The node of each row after `levels` steps (all by default); children of node k are 2k + 1 and 2k + 2. `columns`: the rows' bins, feature by feature."""
+    levels = tree["depth"] if levels is None else levels
+    kind = np.uint8 if levels < 8 else np.int64
+    node = np.zeros(len(columns[0]) if columns else 0, kind)
+    for level in range(levels):
+        came = node
+        for k in range((1 << level) - 1, min((2 << level) - 1, len(tree["feature"]))):
+            f = tree["feature"][k]
+            if f >= 0:
+                went = np.frombuffer(columns[f].translate(_sides(tree["left"][k])), np.uint8).astype(kind, copy=False)
+                node = np.where(came == k, 2 * k + 1 + went, node).astype(kind, copy=False) if level else (1 + went).astype(kind, copy=False)
     return node
 
 
-def add_trees(margin: np.ndarray, trees: list[dict], bins: np.ndarray) -> np.ndarray:
+def _sides(left: np.ndarray) -> bytes:
+    """0 for each bin that goes left, 1 for others, as a table of 256."""
+    return np.append(~left, np.ones(256 - len(left), bool)).astype(np.uint8).tobytes()
+
+
+def add_trees(margin: np.ndarray, trees: list[dict], columns: list[bytes]) -> np.ndarray:
     for tree in trees:
-        margin = margin + tree["value"][walk(tree, bins)]
+        margin = margin + (tree["value"][walk(tree, columns)] if columns else tree["value"][0])
     return margin
 
 
-def gradients(objective: str, margin: np.ndarray, y: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gradient, Hessian, loss) of each row; `starts` are the first rows of contests. The loss of a contest without a winner is 0, as are its gradients."""
+def gradients(objective: str, margin: np.ndarray, y: np.ndarray, starts: np.ndarray, measured: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """(gradient, Hessian, loss if `measured`) of each row; `starts` are the first rows of contests. The loss of a contest without a winner is 0, as are its gradients."""
     if objective == "binary":
         p = 1 / (1 + np.exp(-margin))
-        return p - y, np.maximum(p * (1 - p), 1e-6), -np.log(np.maximum(np.where(y > 0, p, 1 - p), LEAST_P))
+        return p - y, np.maximum(p * (1 - p), 1e-6), -np.log(np.maximum(np.where(y > 0, p, 1 - p), LEAST_P)) if measured else None
     n = np.diff(np.append(starts, len(margin)))
     spread = lambda v: np.repeat(v, n)
     e = np.exp(margin - spread(np.maximum.reduceat(margin, starts)))
     p = e / spread(np.add.reduceat(e, starts))
     won = spread(np.add.reduceat(y, starts)) > 0
     share = np.where(won, y / np.maximum(spread(np.add.reduceat(y, starts)), 1), 0.0)
-    return np.where(won, p - share, 0.0), np.where(won, np.maximum(p * (1 - p), 1e-6), 0.0), share * -np.log(np.maximum(p, LEAST_P))
+    return np.where(won, p - share, 0.0), np.where(won, np.maximum(p * (1 - p), 1e-6), 0.0), share * -np.log(np.maximum(p, LEAST_P)) if measured else None
 
 
 def _arrays(frame: pa.RecordBatch, n_features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bins by row, first row of each contest, contest of each row)."""
-    n = np.array([len(s) for s in frame.column("slots")], np.int64)
-    bins = np.frombuffer(b"".join(b.as_py() for b in frame.column("bins")), np.uint8).reshape(-1, n_features) if n_features else np.zeros((int(n.sum()), 0), np.uint8)
+    n = frame.column("slots").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    blobs = frame.column("bins").cast(pa.large_binary())
+    ends = np.frombuffer(blobs.buffers()[1], np.int64)[blobs.offset: blobs.offset + len(blobs) + 1] if len(blobs) else np.zeros(2, np.int64)
+    bins = np.frombuffer(blobs.buffers()[2], np.uint8)[ends[0]: ends[-1]].reshape(-1, n_features) if ends[-1] > ends[0] else np.zeros((int(n.sum()), n_features), np.uint8)
     return bins, np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
 
 
+def _columns(bins: np.ndarray) -> list[bytes]:
+    """Each feature's bins of all rows."""
+    return [c.tobytes() for c in bins.T]
+
+
+def _sums(node: np.ndarray, places: list[tuple[list[int], np.ndarray]], steps: np.ndarray, width: int, features: int, bins: int) -> np.ndarray:
+    """Sums of gradients, Hessians and rows by (node, feature, bin); rows at node `width` are left out. Two features share a count by both their bins."""
+    out = np.zeros((3, width, features, bins), np.int64)
+    for own, place in places:
+        cells = bins ** len(own)
+        at = place + node * cells if width > 1 or node.any() else place
+        for s in range(3):
+            found = np.bincount(at, steps[s] if s < 2 else None, (width + 1) * cells)[: width * cells].reshape(width, *[bins] * len(own))
+            for k, f in enumerate(own):
+                # whole numbers below 2^53, so that any order of adding gives the same
+                out[s, :, f] = found if len(own) == 1 else found.sum(axis=2 - k)
+    return out
+
+
 def _margins(frame: pa.RecordBatch, k: int, rows: int, base: float) -> np.ndarray:
     """The stored margin of fit k; before the first store, the base."""
     name = f"m_{k}"
     return frame.column(name).flatten().to_numpy(zero_copy_only=False).astype(float) if name in frame.schema.names else np.full(rows, base)
 
 
+def _places(bins: np.ndarray, n_bins: int, width: int) -> list[tuple[list[int], np.ndarray]]:
+    """Features in twos (alone where a count by both would be large) and each row's cell in them."""
+    columns = [c.astype(np.int64) for c in bins.T]
+    step = 2 if (width + 1) * n_bins ** 2 <= 1 << 15 else 1
+    return [(list(range(f, min(f + step, len(columns)))), columns[f] * n_bins + columns[f + 1] if step == 2 and f + 1 < len(columns) else columns[f]) for f in range(0, len(columns), step)]
+
+
 def _histograms(table: DataFrame, binned: Binned, models: list[Model], fresh: list[int], growing: list[dict | None], level: int) -> dict:
     """{fit: (G, H, N) by (node, feature, bin)} of the nodes at `level`, and {(fit, role): (loss, n)}; one job. `fresh`: trees already in the margins."""
     features, bins, width = len(binned.features), binned.bins, 1 << level
@@ -199,34 +235,41 @@ def _histograms(table: DataFrame, binned: Binned, models: list[Model], fresh: li
         sums = {k: np.zeros((3, width, features, bins), np.int64) for k, *_ in plans}
         losses: dict[tuple[int, int], list] = {}
         for frame in frames:
-            own, starts, contest = _arrays(frame, features)
-            for k, fit, base, trees, tree in plans:
-                role = frame.column(f"r_{fit.role}").to_numpy(zero_copy_only=False)
-                y = frame.column(f"y_{fit.label}").flatten().to_numpy(zero_copy_only=False).astype(float)
-                margin = add_trees(_margins(frame, k, len(own), base), trees, own)
-                g, h, loss = gradients(fit.objective, margin, y, starts)
-                if level == 0:
-                    for r in (TRAIN, VALID, TEST):
-                        used = role[contest] == r
-                        held = losses.setdefault((k, r), [0, 0])
-                        held[0] += int(np.rint(loss[used] * GRAIN).astype(np.int64).sum())
-                        held[1] += int(used.sum()) if fit.objective == "binary" else int((role == r).sum())
-                used = role[contest] == TRAIN
-                node = walk(tree, own[used], level) - (width - 1)
-                open_ = node >= 0
-                node, part = node[open_], own[used][open_]
-                steps = np.rint(np.stack([g[used][open_], h[used][open_]]) * GRAIN)
-                for f in range(features):
-                    at = node * bins + part[:, f]
-                    for s in range(2):
-                        sums[k][s, :, f] += np.bincount(at, steps[s], width * bins).astype(np.int64).reshape(width, bins)
-                    sums[k][2, :, f] += np.bincount(at, minlength=width * bins).reshape(width, bins)
-        out = [(k, int(a), int(f), int(b), *map(int, s[:, a, f, b])) for k, s in sums.items() for a, f, b in zip(*np.nonzero(s[2]))]
-        out += [(k, -r, 0, 0, loss, 0, n) for (k, r), (loss, n) in losses.items()]
-        columns = list(zip(*out)) or [[]] * 7
+            every, starts, contest = _arrays(frame, features)
+            n = np.bincount(contest, minlength=len(frame))
+            for name in dict.fromkeys(fit.role for _, fit, *_ in plans):
+                role = frame.column(f"r_{name}").to_numpy(zero_copy_only=False)
+                taught = role[contest] == TRAIN
+                # the losses of all roles are summed with the first level, later ones need the training rows only
+                kept = np.ones(len(every), bool) if level == 0 else taught
+                own, at = _columns(every[kept]), n if level == 0 else n[role == TRAIN]
+                first, places = np.cumsum(at) - at, _places(every[taught], bins, width)
+                for k, fit, base, trees, tree in plans:
+                    if fit.role != name or not len(first):
+                        continue
+                    y = frame.column(f"y_{fit.label}").flatten().to_numpy(zero_copy_only=False).astype(float)[kept]
+                    margin = add_trees(_margins(frame, k, len(every), base)[kept], trees, own)
+                    g, h, loss = gradients(fit.objective, margin, y, first, level == 0)
+                    if level == 0:
+                        for r in (TRAIN, VALID, TEST):
+                            used = role[contest] == r
+                            held = losses.setdefault((k, r), [0, 0])
+                            held[0] += int(np.rint(loss[used] * GRAIN).astype(np.int64).sum())
+                            held[1] += int(used.sum()) if fit.objective == "binary" else int((role == r).sum())
+                        g, h = g[taught], h[taught]
+                    node = walk(tree, own, level).astype(np.int64) - (width - 1) if level else np.zeros(len(g), np.int64)
+                    node = np.where(node >= 0, node, width) if level else node
+                    sums[k] += _sums(node, places, np.rint(np.stack([g, h]) * GRAIN), width, features, bins)
+        out = [np.zeros((7, 0), np.int64)]
+        for k, s in sums.items():
+            at = np.nonzero(s[2])
+            out.append(np.stack([np.full(len(at[0]), k), *at, *s[(slice(None), *at)]]))
+        out.append(np.array([(k, -r, 0, 0, loss, 0, n) for (k, r), (loss, n) in losses.items()], np.int64).reshape(-1, 7).T)
+        columns = np.concatenate(out, axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["fit", "node", "feature", "bin", "g", "h", "n"])
 
-    found = table.mapInArrow(batch, "fit long, node long, feature long, bin long, g long, h long, n long").groupBy("fit", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
+    needed = dict.fromkeys(["slots", "bins", *[f"{c}_{v}" for _, fit, *_ in plans for c, v in (("y", fit.label), ("r", fit.role))], *[f"m_{k}" for k, *_ in plans if f"m_{k}" in table.columns]])
+    found = table.select(*needed).mapInArrow(batch, "fit long, node long, feature long, bin long, g long, h long, n long").groupBy("fit", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
     rows = found.toPandas()
     out = {k: np.zeros((3, width, features, bins)) for k, *_ in plans}
     losses = {(int(r.fit), -int(r.node)): (r.g / GRAIN, int(r.n)) for r in rows[rows["node"] < 0].itertuples()}
@@ -345,8 +388,9 @@ def _stored(table: DataFrame, binned: Binned, models: list[Model], fresh: list[i
     def batch(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             own, starts, _ = _arrays(frame, features)
+            columns = _columns(own)
             ends = pa.array(np.append(starts, len(own)).astype(np.int32))
-            made = [pa.ListArray.from_arrays(ends, pa.array(add_trees(_margins(frame, k, len(own), base), trees, own))) for k, base, trees in plans]
+            made = [pa.ListArray.from_arrays(ends, pa.array(add_trees(_margins(frame, k, len(own), base), trees, columns))) for k, base, trees in plans]
             yield pa.RecordBatch.from_arrays([*[frame.column(c) for c in kept], *made], names=schema.names)
 
     return written(table.mapInArrow(batch, schema))
@@ -358,7 +402,7 @@ def predict(df: DataFrame, model: Model, part: str, out: str = "q") -> DataFrame
 
     def margin(*columns: pd.Series) -> pd.Series:
         bins = np.stack([to_bins(c.to_numpy(float, na_value=np.nan), cuts[f], f in categorical) for f, c in zip(model_features, columns)], axis=1)
-        return pd.Series(add_trees(np.full(len(bins), base), trees, bins))
+        return pd.Series(add_trees(np.full(len(bins), base), trees, _columns(bins)))
 
     model_features = model.features
     scored = df.withColumn(out, F.pandas_udf(margin, "double")(*[F.col(f).cast("double") for f in model_features]))
@@ -394,9 +438,10 @@ def contest_losses(binned: Binned, models: dict[str, Model], role: int = TEST) -
     def batch(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             own, starts, contest = _arrays(frame, features)
+            columns = _columns(own)
             for fit, base, trees in plans:
                 y = frame.column(f"y_{fit.label}").flatten().to_numpy(zero_copy_only=False).astype(float)
-                p = add_trees(np.full(len(own), base), trees, own)
+                p = add_trees(np.full(len(own), base), trees, columns)
                 p = np.exp(p) if fit.objective == "softmax" else 1 / (1 + np.exp(-p))
                 p = p / np.repeat(np.add.reduceat(p, starts), np.diff(np.append(starts, len(own)))) if len(own) else p
                 won = np.add.reduceat(y, starts) if len(own) else np.zeros(0)

@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from contestlab.operators import study
+from contestlab.operators import boost, study
 
 
 def test_rule_search_counts_tickets_before_they_meet_the_grid(spark):
@@ -28,3 +29,15 @@ def test_rule_search_counts_tickets_before_they_meet_the_grid(spark):
         assert got[key][0] == n1 and got[key][2] == n2 and all(g is None if not n else abs(g - b / n) < 1e-9 for g, b, n in ((got[key][1], b1, n1), (got[key][3], b2, n2)))
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan[plan.index("Join"):]  # the join's rows are counted ones
+
+
+def test_histograms_count_two_features_at_once_as_one_by_one():
+    rng = np.random.default_rng(16)
+    for features, n_bins, width in ((5, 9, 4), (2, 33, 1), (3, 251, 2)):
+        bins, node = rng.integers(0, n_bins, (500, features)).astype(np.uint8), rng.integers(0, width + 1, 500)
+        steps = rng.integers(-boost.GRAIN, boost.GRAIN, (2, 500)).astype(float)
+        got, want = boost._sums(node, boost._places(bins, n_bins, width), steps, width, features, n_bins), np.zeros((3, width, features, n_bins), np.int64)
+        for r in np.flatnonzero(node < width):
+            for f in range(features):
+                want[:, node[r], f, bins[r, f]] += (*steps[:, r].astype(np.int64), 1)
+        assert (got == want).all()
