@@ -33,22 +33,24 @@ def context_audit(df: DataFrame, dims: list[str], hit: Column, least: int, weak:
     return found.withColumn("rate", rate).withColumn("verdict", F.when(rate < weak, "weak").when(rate >= strong, "strong").otherwise("observe"))
 
 
-def backoff_history(df: DataFrame, wanted: DataFrame, actor: str, dims: list[str], hit: Column, least: int) -> DataFrame:
+def backoff_history(df: DataFrame, wanted: DataFrame, actor: str, dims: list[str], hit: Column, least: int, parts: int | None = None) -> DataFrame:
     """Each wanted row's rate over the largest set of matching conditions with `least` earlier rows; equal sets by cases, then mask.
 
-    History is counted once for all subsets of the conditions (a cube, combined before the shuffle); each wanted row looks up its 2^n cells.
+    Rows are dealt by actor once (into `parts`, if given) and counted by all conditions there; each of these cells then sums the 2^n sets
+    of conditions that it belongs to, within its actor, so that a task holds the cells of its actors only.
     """
-    stats = df.cube(actor, *dims).agg(F.grouping_id().alias("mask"), F.count("*").alias("__n"), F.sum(hit.cast("long")).alias("__h")).where(
-        (F.col("mask") < (1 << len(dims))) & (F.col("__n") >= least))
-    masks = F.explode(F.array(*[F.lit(m).cast("long") for m in range(1 << len(dims))]))
-    asked = wanted.select(actor, *dims).distinct().withColumn("mask", masks)
-    cell = [F.when(F.col("mask").bitwiseAND(F.lit(1 << (len(dims) - 1 - k))) == 0, F.col(c)).alias(f"__c{k}") for k, c in enumerate(dims)]
-    have = stats.select(F.col(actor).alias("__a"), F.col("mask").alias("__m"), *[F.col(c).alias(f"__s{k}") for k, c in enumerate(dims)], "__n", "__h")
-    on = (F.col(actor) == F.col("__a")) & (F.col("mask") == F.col("__m"))
-    for k in range(len(dims)):
-        on = on & F.col(f"__c{k}").eqNullSafe(F.col(f"__s{k}"))
+    rows = df.select(actor, *dims, F.lit(1).alias("__n"), hit.cast("long").alias("__h"), F.lit(wanted is df).alias("__asked"))
+    if wanted is not df:
+        rows = rows.unionByName(wanted.select(actor, *dims, F.lit(0).alias("__n"), F.lit(None).cast("long").alias("__h"), F.lit(True).alias("__asked")))
+    rows = rows.where(F.col(actor).isNotNull())
+    rows = rows.repartition(parts, actor) if parts else rows.repartition(actor)
+    cells = rows.groupBy(actor, *dims).agg(F.sum("__n").alias("__n"), F.sum("__h").alias("__h"), F.max("__asked").alias("__asked"))
+    masks = cells.withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in range(1 << len(dims))])))
+    shared = [F.when(F.col("mask").bitwiseAND(F.lit(1 << (len(dims) - 1 - k))) == 0, F.col(c)) for k, c in enumerate(dims)]
+    w = Window.partitionBy(actor, "mask", *shared)
+    found = masks.withColumns({"__n": F.sum("__n").over(w), "__h": F.sum("__h").over(w)}).where(F.col("__asked") & (F.col("__n") >= least))
     score = F.struct(len(dims) - F.bit_count("mask"), F.col("__n"), -F.col("mask"))
-    best = asked.select(actor, *dims, "mask", *cell).join(have, on).groupBy(actor, *dims).agg(F.max_by(F.struct("mask", "__n", "__h"), score).alias("b"))
+    best = found.groupBy(actor, *dims).agg(F.max_by(F.struct("mask", "__n", "__h"), score).alias("b"))
     return best.select(actor, *dims, F.col("b.mask").alias("mask"), F.col("b.__n").alias("n"), (F.col("b.__h") / F.col("b.__n")).alias("rate"))
 
 

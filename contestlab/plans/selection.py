@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from contestlab.operators import discover, select, tuples
 from contestlab.plans.queries import RESULT, TRIPLES, R, query, results, triples
-from contestlab.plans.standins import entrants, table
+from contestlab.plans.standins import entrants, parts_of, table
 from contestlab.sources.text import cut_fixed_width
 from contestlab.streaming import live
 
@@ -139,7 +139,7 @@ from w join h on h.actor = w.actor and (h.mask & 4 <> 0 or h.slot = w.slot) and
 select actor, slot, class, title, mask, n, round(hits / n, 6) as rate from c where k = 1""", ent=True)
 def e34_backoff_history(spark: SparkSession, d: str) -> DataFrame:
     e = entrants(spark, d)
-    return discover.backoff_history(e, e, "actor", ["slot", "class", "title"], WIN(), 12).withColumn("rate", R("rate"))
+    return discover.backoff_history(e, e, "actor", ["slot", "class", "title"], WIN(), 12, parts_of(spark, d, "lineitem")).withColumn("rate", R("rate"))
 
 
 EXPECTED = """, x as (select *, case when title like '5%' then null else class end as cls from ent), y as (select *, case when cls is null then avg((finish = 1)::int) over (partition by slot) else avg((finish = 1)::int) over (partition by cls, slot) end as expected from x),

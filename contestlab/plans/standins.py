@@ -19,15 +19,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 PART_BYTES = 2 << 20
 
 
+def parts_of(spark: SparkSession, sf_dir: str, name: str, part_bytes: int = PART_BYTES) -> int:
+    """Parts of about `part_bytes` of the table's files; at least as many as a shuffle makes anyway."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    size = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    return max(-(-size // part_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def spread(spark: SparkSession, sf_dir: str, name: str, key: str, part_bytes: int = PART_BYTES) -> DataFrame:
     """The table, dealt by `key` into parts of about `part_bytes` of its files, where that makes more parts than a shuffle does anyway.
 
     Windows, groups and joins on the key keep these parts.
     """
     df = table(spark, sf_dir, name)
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
-    size = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
-    parts = -(-size // part_bytes)
+    parts = parts_of(spark, sf_dir, name, part_bytes)
     return df.repartition(parts, key) if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else df
 
 

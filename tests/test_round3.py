@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from contestlab.operators import boost, study
+from contestlab.operators import boost, discover, study
 
 
 def test_rule_search_counts_tickets_before_they_meet_the_grid(spark):
@@ -41,3 +41,12 @@ def test_histograms_count_two_features_at_once_as_one_by_one():
             for f in range(features):
                 want[:, node[r], f, bins[r, f]] += (*steps[:, r].astype(np.int64), 1)
         assert (got == want).all()
+
+
+def test_backoff_deals_rows_once_into_the_parts_asked_for(spark):
+    df = spark.createDataFrame([("a", 1, "x", 1)] * 3 + [("a", 1, "y", 0)] * 2 + [("b", 2, None, 1)] * 3 + [(None, 1, "x", 1)] * 4, "actor string, p int, t string, h int")
+    wanted = spark.createDataFrame([("a", 1, "z"), ("a", 3, "x"), ("b", 2, None), ("c", 1, "x"), (None, 1, "x")], "actor string, p int, t string")
+    found = discover.backoff_history(df, wanted, "actor", ["p", "t"], F.col("h") == 1, 3, 9)
+    assert {r[:3]: r[3:] for r in found.collect()} == {("a", 1, "z"): (1, 5, 0.6), ("a", 3, "x"): (2, 3, 1.0), ("b", 2, None): (0, 3, 1.0)}
+    plan = discover.backoff_history(df, df, "actor", ["p", "t"], F.col("h") == 1, 3, 9)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(actor" in plan and ", 9)" in plan
