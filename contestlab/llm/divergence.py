@@ -29,7 +29,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Documents of its language that a term must be in, the unit of shares, what is added to a count, and the ranks that part `term` gives.
 LEAST_DOCS, UNIT, ADDED, RANKS = 30, 1_000_000_000, 5, 50
 #: Terms of a transducer, its bytes that one pass sends out, terms that a task holds before it gives its counts on.
-BLOCK, PASS_BYTES, HELD = 1 << 16, 96_000_000, 400_000
+BLOCK, PASS_BYTES, HELD = 1 << 16, 96_000_000, 200_000
+#: Bytes of text that a task streams through a transducer at once (a longer text goes alone): each takes some 15 bytes of arrays.
+CHUNK = 2_000_000
 #: Cells (sources x terms) compared in one task, and its most terms.
 CELLS, WIDTH = 4_000_000, 4096
 #: Ways in which the rows of one (language, source) are dealt out.
@@ -176,7 +178,7 @@ def _stream(held):
             held.value["machines"] = dict(own)
         return held.value["machines"]
 
-    def counted(texts: list[bytes], sources: np.ndarray, blocks: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def counted(texts: list[bytes], sources: np.ndarray, blocks: list) -> tuple[np.ndarray, np.ndarray]:
         text = b" ".join(texts)
         data = np.frombuffer(text.translate(TERM_BYTES) + b" " * 9, np.uint8)
         inside = np.diff(np.concatenate([[False], data != 32]).astype(np.int8))
@@ -194,7 +196,19 @@ def _stream(held):
             number = machine.ordinals(data, start[own], length[own])
             hit = number >= 0
             out.append((source[own][hit].astype(np.int64) << 40) | (number[hit] + base))
-        both, n = np.unique(np.concatenate(out), return_counts=True)
+        return np.unique(np.concatenate(out), return_counts=True)
+
+    def summed(texts: list[bytes], sources: np.ndarray, blocks: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size, parts, first = 0, [], 0
+        for k, text in enumerate(texts):
+            if k > first and size + len(text) > CHUNK:
+                parts.append(counted(texts[first:k], sources[first:k], blocks))
+                first, size = k, 0
+            size += len(text)
+        parts.append(counted(texts[first:], sources[first:], blocks))
+        both, at = np.unique(np.concatenate([both for both, _ in parts]), return_inverse=True)
+        n = np.zeros(len(both), np.int64)
+        np.add.at(n, at, np.concatenate([n for _, n in parts]))
         return both >> 40, both & ((1 << 40) - 1), n
 
     def batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +222,7 @@ def _stream(held):
                     sources.append(names.setdefault(source, len(names)))
             labels = list(names)
             for lang, (texts, sources) in rows.items():
-                source, number, n = counted(texts, np.array(sources), own[lang])
+                source, number, n = summed(texts, np.array(sources), own[lang])
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array([labels[s] for s in source.tolist()], pa.string()), pa.array(number, pa.int64()), pa.array(n, pa.int64())],
                                                  names=["lang", "source", "ord", "n"])
 

@@ -70,6 +70,26 @@ def test_blocks_and_passes_give_the_same_counts(spark, texts):
     assert sorted(map(tuple, every.collect())) == sorted(map(tuple, whole[0].collect()))
 
 
+def test_streaming_memory_does_not_follow_the_batch():
+    import tracemalloc
+
+    import pyarrow as pa
+    from pyspark import cloudpickle
+    terms = [f"the{c}".encode() for c in "abcdefg"]
+    block = ("en", 0, terms[0], terms[-1], cloudpickle.dumps(vars(divergence.Transducer(terms))))
+    text = " ".join(t.decode() for t in terms) * 60
+    frame = pa.RecordBatch.from_arrays([pa.array(["en"] * 9000), pa.array(["a", "b", "c"] * 3000), pa.array([text.encode()] * 9000)], names=["lang", "source", "text"])
+    held = type("Held", (), {"value": {"blocks": [block]}})
+    tracemalloc.start()
+    out = [r for b in divergence._stream(held)(iter([frame])) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # the end of a repetition and the start of the next are one word
+    want = {k: 60 * 3000 if 0 < k < 6 else 3000 for k in range(7)}
+    assert {(r["source"], r["ord"], r["n"]) for r in out} == {(s, k, n) for s in "abc" for k, n in want.items()} and len(out) == 21
+    assert peak < 90_000_000, peak  # the texts themselves are 19 MB
+
+
 def test_transducer_is_minimal_and_ordered():
     words = sorted({w.encode() for w in ("tap", "taps", "top", "tops", "stop", "stops", "a", "é", "日本", "日")})
     machine = divergence.Transducer(words)
