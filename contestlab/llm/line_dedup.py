@@ -21,7 +21,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import linked_groups, scratch, written
+from .common import dropped, linked_groups, scratch, written
 
 SIMILARITY = 0.8
 #: A line of four words may be near one of five. Shorter lines are compared by equality alone.
@@ -30,8 +30,11 @@ LEAST_WORDS = 4
 BUCKETS, COUNTED = 1 << 16, 2_000_000
 #: A word's code: its hash, and in the upper four bits how common its bucket is (-8 to 7), so that rare words have low codes.
 HASH = (1 << 28) - 1
-#: Runs are counted in a sample of about COUNTED; those seen at least so often are marked in a bitmap of 64 * MARKS bits.
-OFTEN, MARKS = 6, 1 << 14
+#: Runs are counted in a sample of about COUNTED, or of one line in SHARE if that is more: a run that CROWD lines have must be seen there,
+#: whatever the size of the input. Those seen at least OFTEN times are marked in a bitmap of 64 bits a word, MARKS words or more.
+OFTEN, SHARE, MARKS, MOST_MARKS = 6, 8, 1 << 14, 1 << 18
+#: Bits of a run that lines meet by: other runs with the same ones only make candidates.
+MET = (1 << 40) - 1
 #: Blanks, control characters and ASCII punctuation part the words of a line.
 PARTS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -82,19 +85,20 @@ def _runs(words: Column, run: int) -> Column:
     return F.transform(runs, lambda xy: mixed(xy, level(xy)))
 
 
-def _place(gram: Column) -> tuple[Column, Column]:
-    """The word of the bitmap, and the bit in it, that a run has."""
-    return F.shiftrightunsigned(gram, 30).bitwiseAND(F.lit(MARKS - 1)).cast("int"), F.shiftrightunsigned(gram, 24).bitwiseAND(F.lit(63)).cast("int")
+def _place(gram: Column, marks: Column) -> tuple[Column, Column]:
+    """The word of a bitmap of `marks` words (a power of two), and the bit in it, that a run has."""
+    return F.shiftrightunsigned(gram, 30).bitwiseAND(marks - 1).cast("int"), F.shiftrightunsigned(gram, 24).bitwiseAND(F.lit(63)).cast("int")
 
 
 def often_repeated(lines: DataFrame) -> Column:
     """A bitmap of the runs of three words that a sample of the lines has often."""
     total = lines.agg(F.sum(F.size("words")).alias("n")).first().n or 0
-    sample = lines.where((F.pmod("key", F.lit(1 + total // COUNTED)) == 0) & (F.size("words") > 3)).select(F.explode(F.array_distinct(_runs(F.col("words"), 3))).alias("gram"))
-    word, bit = _place(F.col("gram"))
-    marks = [0] * MARKS
-    for r in sample.groupBy("gram").count().where(F.col("count") >= OFTEN).select(word.alias("word"), bit.alias("bit")).distinct().collect():
-        marks[r.word] |= 1 << r.bit
+    sample = lines.where((F.pmod("key", F.lit(min(SHARE, 1 + total // COUNTED))) == 0) & (F.size("words") > 3)).select(F.explode(F.array_distinct(_runs(F.col("words"), 3))).alias("gram"))
+    marks = [0] * max(MARKS, min(MOST_MARKS, 1 << (total >> 12).bit_length()))
+    word, bit = _place(F.col("gram"), F.lit(len(marks)))
+    found = sample.groupBy("gram").count().where(F.col("count") >= OFTEN).select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit"))
+    for r in found.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
+        marks[r.word] = r.bits & ((1 << 64) - 1)
     return F.split(F.lit(",".join(str(m - (1 << 64) if m >> 63 else m) for m in marks)), ",").cast("array<bigint>")
 
 
@@ -107,32 +111,33 @@ def _first_runs(words: Column, run: int, often: Column) -> Column:
     n, runs = F.size(words), _runs(words, run)
     if run == 3:
         def late(gram: Column) -> Column:
-            word, bit = _place(gram)
+            word, bit = _place(gram, F.size(often))
             marked = F.call_function("shiftrightunsigned", F.get(often, word), bit).bitwiseAND(F.lit(1))
             # the level, halved, and 16 for a marked run; both follow from the run alone
             return F.shiftleft(F.shiftright(gram, 58) + F.shiftleft(marked, 4), 58).bitwiseOR(gram.bitwiseAND(F.lit((1 << 58) - 1)))
 
         runs = F.transform(runs, late)
-    return F.array_distinct(F.slice(F.sort_array(runs), F.lit(1), F.greatest(run * most_edits(n), run * most_edits(n + 1) - 1) + 1))
+    first = F.slice(F.sort_array(runs), F.lit(1), F.greatest(run * most_edits(n), run * most_edits(n + 1) - 1) + 1)
+    return F.array_distinct(F.transform(first, lambda gram: gram.bitwiseAND(F.lit(MET))))
 
 
 def _prefixed(lines: DataFrame, often: Column) -> DataFrame:
     """(gram, key): each line once for each of its first runs: of two words in lines up to six, which may have no three left, of three from six on."""
     words, n = F.col("words"), F.size("words")
     first = F.when(n > 6, _first_runs(words, 3, often)).when(n == 6, F.concat(_first_runs(words, 2, often), _first_runs(words, 3, often))).otherwise(_first_runs(words, 2, often))
-    return lines.select("key", F.size("words").alias("n"), F.explode(first).alias("gram")).select("gram", "n", "key")
+    return lines.select("key", F.explode(first).alias("gram")).select("gram", "key")
 
 
 def _pairs_prefixed(lines: DataFrame) -> DataFrame:
     """As `_prefixed`, by runs of two words: fewer of them are enough, so that long lines need not name a passage that many share."""
-    return lines.select("key", F.size("words").alias("n"), F.explode(_first_runs(F.col("words"), 2, F.array())).alias("gram"))
+    return lines.select("key", F.explode(_first_runs(F.col("words"), 2, F.array())).alias("gram"))
 
 
 def _words_prefixed(lines: DataFrame) -> DataFrame:
     """As `_prefixed`, by single words: lines of n and m >= n words share m - E(m) of them."""
     n = F.size("words")
     first = F.slice(F.sort_array("words"), F.lit(1), F.greatest(most_edits(n), most_edits(n + 1) - 1) + 1)
-    return lines.select("key", n.alias("n"), F.explode(F.array_distinct(first).cast("array<bigint>")).alias("gram"))
+    return lines.select("key", F.explode(F.array_distinct(first).cast("array<bigint>")).alias("gram"))
 
 
 def _sketched(members: DataFrame) -> DataFrame:
@@ -176,7 +181,10 @@ def similar_pairs(near: DataFrame, keep: Callable[..., DataFrame], least: float
 
 
 def line_groups(lines: DataFrame, keep: Callable[..., DataFrame]) -> DataFrame:
-    """(key, component): keys of the lines (key, words; each once) that are linked to others, with the smallest key of their group."""
+    """(key, component): keys of the lines (key, words; each once) that are linked to others, with the smallest key of their group.
+
+    Lines meet in the order of their keys, which is best that of their lengths (`numbered`).
+    """
     lines = lines.where(F.size("words") >= LEAST_WORDS)
 
     def verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -184,19 +192,31 @@ def line_groups(lines: DataFrame, keep: Callable[..., DataFrame]) -> DataFrame:
         near = pairs.join(one, "a").join(two, "b").where(may_be_similar(F.col("a_words"), F.col("b_words")))
         return similar_pairs(near, keep).select("a", "b")
 
-    return linked_groups(_prefixed(lines, often_repeated(lines)), lines, _sketched, _may, verified, keep, (_pairs_prefixed, _words_prefixed), "n")
+    return linked_groups(_prefixed(lines, often_repeated(lines)), lines, _sketched, _may, verified, keep, (_pairs_prefixed, _words_prefixed))
+
+
+def numbered(n: Column) -> Column:
+    """A number for each row of a table that is written with it: the length in its upper bits, then the part and the row; numbers of a part are close."""
+    row, part = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)), F.shiftright(F.monotonically_increasing_id(), 33)
+    number = F.shiftleft(F.least(n, F.lit((1 << 14) - 1)).cast("long"), 49).bitwiseOR(F.shiftleft(part, 29)).bitwiseOR(row)
+    return F.when((part < 1 << 20) & (row < 1 << 29), number).otherwise(F.raise_error(F.lit("over 2^20 parts, or 2^29 lines in one")).cast("long"))
 
 
 def kept_lines(docs: DataFrame, keep: Callable[..., DataFrame], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, version, kept): the numbers of the lines of each text that repeat no earlier line, neither equal nor nearly so."""
     lines = keep(lines_of(docs, word_levels(docs, text), text, doc_id), dictionary=False, codec="zstd")
-    folded = keep(lines.select("key", "words").where(F.size("words") > 0).dropDuplicates(["key"]), dictionary=False, codec="zstd")
-    groups = keep(line_groups(folded, keep))
+    folded = lines.select("key", "words").where(F.size("words") >= LEAST_WORDS).dropDuplicates(["key"]).withColumn("number", numbered(F.size("words")))
+    folded = keep(folded, dictionary=False, codec="zstd")
     at = ["doc_id", "version", "line_no"]
+    placed = keep(lines.select(*at, "key", (F.size("words") == 0).alias("blank")), dictionary=False, codec="zstd")
+    # from here on words are needed once for each distinct line
+    dropped(lines)
+    groups = line_groups(folded.select(F.col("number").alias("key"), "words"), keep).withColumnRenamed("key", "number")
+    groups = keep(folded.select("number", "key").join(groups, "number").select("key", "component"))
     # blank lines stay, each by itself
-    blank = lines.where(F.size("words") == 0).select(*at)
-    placed = lines.where(F.size("words") > 0).select(*at, "key").join(groups, "key", "left").select(*at, F.coalesce("component", "key").alias("part"))
-    first = placed.groupBy("part").agg(F.min(F.struct(*at)).alias("first")).select("first.*")
+    blank = placed.where("blank").select(*at)
+    placed = placed.where("not blank").join(groups, "key", "left").select(*at, F.col("component").isNotNull().alias("linked"), F.coalesce("component", "key").alias("part"))
+    first = placed.groupBy("linked", "part").agg(F.min(F.struct(*at)).alias("first")).select("first.*")
     return keep(first.unionByName(blank).groupBy("doc_id", "version").agg(F.collect_set("line_no").alias("kept")))
 
 

@@ -316,6 +316,15 @@ def test_lines_that_share_a_crowded_passage_against_brute_force(spark, monkeypat
     assert seen["_pairs_prefixed"] > 0 and seen["_words_prefixed"] > 0
 
 
+def test_marks_of_common_runs_keep_up_with_the_input(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "COUNTED", 100)
+    rows = [(k, ([1, 2, 3] if k % 3 == 0 else []) + [1000 + 40 * k + j for j in range(20)]) for k in range(600)]
+    lines = spark.createDataFrame(rows, "key long, words array<int>")
+    marks = spark.range(1).select(line_dedup.often_repeated(lines).alias("marks")).first().marks
+    # the run that 200 of 600 lines have, however small a part of the input COUNTED is
+    assert sum((m & ((1 << 64) - 1)).bit_count() for m in marks) == 1
+
+
 def test_queries_with_sql(spark):
     con = duckdb.connect()
     for t in ("documents", "pages"):
