@@ -14,11 +14,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from contestlab.storage import written
-
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 POSITIONS = range(1, 7)
@@ -66,10 +64,28 @@ def margin_of(measure: str) -> str:
     return f"case when {known(measure)} >= 2 then least({rest}) - least({values}) end"
 
 
+def prior_means(df: DataFrame, day: str, actor: str, values: dict[str, tuple[str, int, list[str]]], days: int) -> DataFrame:
+    """Mean of whole numbers over the actor's rows of the `days` days before `day` (a number), the day itself left out: name: (value in SQL, least rows, other keys).
+
+    Each is the difference of two running sums, so that a row costs the same however many rows the days before it hold; sums of whole numbers
+    are exact. Null under the least number of known values.
+    """
+    for name, (value, least, keys) in values.items():
+        upto = Window.partitionBy(actor, *keys).orderBy(day)
+        of = lambda f: f.over(upto.rangeBetween(Window.unboundedPreceding, -1)) - F.coalesce(f.over(upto.rangeBetween(Window.unboundedPreceding, -days - 1)), F.lit(0))
+        n, total = of(F.count(F.expr(value))), of(F.sum(F.expr(value).cast("long")))
+        df = df.withColumn(name, F.when(n >= least, F.round(total / n, 9)))
+    return df
+
+
 def wide(df: DataFrame, part: str, slot: str, measures: list[str], contest: list[str]) -> DataFrame:
-    """One row a contest: `measure<position>` for positions 1 to 6, and the columns `contest` (any row's, as all of a contest have the same)."""
-    cols = [F.max(F.when(F.col(slot) == k, F.col(m))).alias(f"{m}{k}") for m in measures for k in POSITIONS]
-    return df.groupBy(part).agg(*[F.first(c, ignorenulls=True).alias(c) for c in contest], *cols)
+    """One row a contest: `measure<position>` for positions 1 to 6, and the columns `contest` (any row's, as all of a contest have the same).
+
+    A position's rows are gathered whole, as a case for each measure and position costs more on every row; of several rows the greatest value counts.
+    """
+    at = [F.collect_list(F.when(F.col(slot) == k, F.struct(*measures))).alias(f"__{k}") for k in POSITIONS]
+    rows = df.groupBy(part).agg(F.first(F.struct(*contest)).alias("__contest"), *at)
+    return rows.select(part, *[F.col(f"__contest.{c}").alias(c) for c in contest], *[F.array_max(F.col(f"__{k}.{m}")).alias(f"{m}{k}") for m in measures for k in POSITIONS])
 
 
 def rule_tables(contests: DataFrame, rules: list[Rule], by: list[str]) -> DataFrame:
@@ -81,8 +97,8 @@ def rule_tables(contests: DataFrame, rules: list[Rule], by: list[str]) -> DataFr
     cells = [(r, *c) for r in rules for c in r.cells()]
     conditions, outcomes = ({x: k for k, x in enumerate(dict.fromkeys(["true", *(c[at] for c in cells)] if at == 3 else [c[at] for c in cells]))} for at in (3, 4))
     pairs = list(dict.fromkeys((conditions[c], outcomes[y]) for _, _, _, c, y in cells)) + [(0, k) for k in outcomes.values()]
-    # ranks and margins are columns of their own before conditions name them many times
-    rows = written(contests).select(*by, F.expr("array(" + ", ".join(f"coalesce(({c}), false)" for c in conditions) + ")").alias("c"),
+    # Spark keeps ranks and margins in a projection of their own, as conditions name them many times
+    rows = contests.select(*by, F.expr("array(" + ", ".join(f"coalesce(({c}), false)" for c in conditions) + ")").alias("c"),
                                     F.expr("array(" + ", ".join(f"cast(coalesce(({y})::int, -1) as tinyint)" for y in outcomes) + ")").alias("y"))
     schema = rows.select(*by).schema.add("pair", "integer").add("hits", "long").add("n", "long")
     at, width = np.array(pairs), (len(conditions), len(outcomes))

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from contestlab.operators.rules import POSITIONS, Rule, known, margin_of, rank_of, rule_tables, wide
+from contestlab.operators.rules import POSITIONS, Rule, known, margin_of, prior_means, rank_of, rule_tables, wide
 from contestlab.plans.queries import R, query
-from contestlab.plans.standins import entrants
+from contestlab.plans.standins import entrants, parts_of
 
 MEASURES = ["f", "cls", "srk", "sr", "rate", "t3", "wall", "loc", "top", "ex", "lap", "turn", "sg", "es", "q"]
 CONTEST = ["title", "first_day", "last_day", "wind", "speed", "dir", "wave", "rain", "number", "changed", "women"]
@@ -126,10 +126,10 @@ DERIVED = {f"{m}_r{k}": rank_of(m, k) for m in RANKED for k in POSITIONS} | {f"e
 def contests(spark: SparkSession, d: str) -> DataFrame:
     e = entrants(spark, d).withColumn("q", (1 / F.col("odds")) / F.sum(1 / F.col("odds")).over(Window.partitionBy("contest")))
     e = e.withColumn("won1", F.max(F.expr("case when slot = 1 then (finish = 1)::int end")).over(Window.partitionBy("contest"))).withColumn("__d", F.datediff("day", F.lit("1970-01-01")).cast("long"))
-    for name, (value, least, keys) in PRIOR.items():
-        w = Window.partitionBy("actor", *keys).orderBy("__d").rangeBetween(-365, -1)
-        e = e.withColumn(name, F.when(F.count(F.expr(value)).over(w) >= least, F.round(F.avg(F.expr(value)).over(w), 9)))
+    e = prior_means(e, "__d", "actor", PRIOR, 365)
     e = e.select("contest", "slot", "title", "q", *PRIOR, *[F.expr(x).alias(n) for n, x in (ROW | OF_CONTEST).items()])
+    # a contest's rows meet while they are narrow
+    e = e.repartition(parts_of(spark, d, "lineitem"), "contest")
     return wide(e, "contest", "slot", MEASURES, CONTEST).select("*", *[F.expr(x).alias(n) for n, x in DERIVED.items()])
 
 

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from contestlab.operators import boost, discover, study
+from contestlab.operators import boost, discover, rules, study
 
 
 def test_rule_search_counts_tickets_before_they_meet_the_grid(spark):
@@ -50,3 +50,33 @@ def test_backoff_deals_rows_once_into_the_parts_asked_for(spark):
     assert {r[:3]: r[3:] for r in found.collect()} == {("a", 1, "z"): (1, 5, 0.6), ("a", 3, "x"): (2, 3, 1.0), ("b", 2, None): (0, 3, 1.0)}
     plan = discover.backoff_history(df, df, "actor", ["p", "t"], F.col("h") == 1, 3, 9)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "hashpartitioning(actor" in plan and ", 9)" in plan
+
+
+def test_prior_means_cost_no_frame_a_row(spark):
+    rng = random.Random(12)
+    rows = [(k, rng.randrange(5), rng.choice("xy"), rng.randrange(0, 1100), rng.choice([1, 2, 3, None])) for k in range(600)]
+    # both ends of the year, and two rows of one day
+    rows += [(600, 9, "x", 0, 2), (601, 9, "x", 365, 3), (602, 9, "x", 366, 1), (603, 9, "x", 366, 4), (604, 9, "y", 731, 1), (605, 9, "y", 732, 1)]
+    df = spark.createDataFrame(rows, "id int, actor int, title string, day long, v int")
+    values = {"a": ("v", 1, []), "b": ("(v = 1)::int", 3, ["title"])}
+    found = rules.prior_means(df, "day", "actor", values, 365)
+    # running sums only: a frame that ends behind the row and starts at a day is added up anew for every row
+    assert "-365, -1" not in found._jdf.queryExecution().optimizedPlan().toString().replace("$()", "")
+    got = {r.id: (r.a, r.b) for r in found.collect()}
+    for k, actor, title, day, _ in rows:
+        before = [r for r in rows if r[1] == actor and day - 365 <= r[3] < day and r[4] is not None]
+        a, b = [r[4] for r in before], [int(r[4] == 1) for r in before if r[2] == title]
+        assert got[k] == (round(sum(a) / len(a), 9) if a else None, round(sum(b) / len(b), 9) if len(b) >= 3 else None)
+
+
+def test_rule_study_gathers_a_position_once_and_writes_no_table(spark, monkeypatch):
+    df = spark.createDataFrame([(1, 1, 5, "A", "g"), (1, 2, None, "N", "g"), (1, 2, 3, "B", "g"), (2, 6, 1, None, "h"), (2, 7, 9, "A", "h")], "contest int, slot int, x int, c string, g string")
+    wide = rules.wide(df, "contest", "slot", ["x", "c"], ["g"])
+    # of two rows of a position the greatest value counts, measure by measure
+    got = {r.contest: r for r in wide.collect()}
+    assert (got[1].g, got[1].x1, got[1].x2, got[1].c2, got[1].x3) == ("g", 5, 3, "N", None) and (got[2].g, got[2].x6, got[2].c6, got[2].x1) == ("h", 1, None, None)
+    assert wide._jdf.queryExecution().optimizedPlan().toString().count("CASE WHEN") <= 6
+    monkeypatch.setattr("contestlab.storage.written", lambda *a: 1 / 0)
+    monkeypatch.setattr(rules, "written", lambda *a: 1 / 0, raising=False)
+    rule = rules.Rule(1, "r", {"all": "x1 > 1"}, {"y": "x2 = 3"})
+    assert [(r.n, r.rate) for r in rules.rule_tables(wide, [rule], ["g"]).collect()] == [(1, 1.0)]
