@@ -21,17 +21,28 @@ def habit_deviation(df: DataFrame, prior: DataFrame, keys: list[str], day: str,
     return own.withColumn("relative", F.col("deviation") - F.avg("deviation").over(Window.partitionBy(part)))
 
 
-def session_running(df: DataFrame, session: list[str], actor: str, day: str, best: str, points: str) -> DataFrame:
+def session_running(df: DataFrame, session: list[str], actor: str, day: str, best: str, points: str, parts: int | None = None) -> DataFrame:
     """Each actor's best value, points and starts earlier in the session, and the rank of the best among the day's actors.
 
-    The grid has a row for every actor of a session on every day of it; the day itself is left out. A session is a few days.
+    The result has a row for every actor of a session on every day of it; the day itself is left out. A session is a few days: it
+    is dealt to one of `parts` as a whole, once. What is known changes on an actor's own days only, so it is summed over these, and each
+    is then repeated for the session's days up to the actor's next one.
     """
-    daily = df.groupBy(*session, actor, day).agg(F.min(best).alias("__b"), F.sum(points).alias("__p"), F.count("*").alias("__n"))
-    days = df.groupBy(*session).agg(F.sort_array(F.collect_set(day)).alias("__days"))
-    grid = df.select(*session, actor).distinct().join(days, session).select(*session, actor, F.explode("__days").alias(day))
-    w = Window.partitionBy(*session, actor).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
-    run = grid.join(daily, [*session, actor, day], "left").select(
-        *session, actor, day, F.min("__b").over(w).alias("best"), F.coalesce(F.sum("__p").over(w), F.lit(0)).alias("points"), F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("starts"))
+    rows = df.where(" and ".join(f"`{c}` is not null" for c in session)).select(*session, actor, day, F.col(best).alias("__b"), F.col(points).alias("__p"))
+    rows = rows.repartition(parts, *session) if parts else rows.repartition(*session)
+    known = F.col(actor).isNotNull() & F.col(day).isNotNull()
+    daily = rows.groupBy(*session, actor, day).agg(F.min(F.when(known, F.col("__b"))).alias("__b"), F.sum(F.when(known, F.col("__p"))).alias("__p"), F.count(F.when(known, 1)).alias("__n"))
+    own = Window.partitionBy(*session, actor).orderBy(day)
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    run = daily.select(*session, actor, F.col(day).alias("__own"), F.min("__b").over(upto).alias("__b"), F.sum("__p").over(upto).alias("__p"), F.sum("__n").over(upto).alias("__n"),
+                       F.lead(day).over(own).alias("__next"), F.row_number().over(own).alias("__k"))
+    run = run.withColumn("__days", F.sort_array(F.collect_set("__own").over(Window.partitionBy(*session))))
+    at = lambda c: F.array_position("__days", F.col(c)).cast("int")
+    run = run.withColumn("__from", F.when(F.col("__k") == 1, 0).otherwise(at("__own"))).withColumn("__to", F.coalesce(at("__next"), F.size("__days")))
+    run = run.select(*session, actor, "__own", "__b", "__p", "__n", F.explode(F.slice("__days", F.col("__from") + 1, F.col("__to") - F.col("__from"))).alias(day))
+    # an actor's first row stands for the days up to it, too
+    later = F.col(day) > F.col("__own")
+    run = run.select(*session, actor, day, F.when(later, F.col("__b")).alias("best"), F.coalesce(F.when(later, F.col("__p")), F.lit(0)).alias("points"), F.coalesce(F.when(later, F.col("__n")), F.lit(0)).alias("starts"))
     rank = F.rank().over(Window.partitionBy(*session, day).orderBy(F.asc_nulls_last("best")))
     return run.withColumn("best_rank", F.when(F.col("best").isNotNull(), rank))
 

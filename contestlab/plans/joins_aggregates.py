@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from contestlab.operators import aggregate, asof, joins, trends
 from contestlab.plans.queries import DAILY, R, daily, query
-from contestlab.plans.standins import entrants, table
+from contestlab.plans.standins import entrants, parts_of, table
 
 WIN = lambda: F.col("finish") == 1
 TEXT = lambda c: F.col(c).cast("string").alias(c)
@@ -236,7 +236,7 @@ run as (select site, month, actor, day, min(b) over w as best, coalesce(sum(p) o
 
 def _session(spark: SparkSession, d: str) -> DataFrame:
     rows = entrants(spark, d).withColumn("month", F.trunc("day", "month")).withColumn("pts", (7 - F.col("finish")).cast("long"))
-    return trends.session_running(rows, ["site", "month"], "actor", "day", "score", "pts")
+    return trends.session_running(rows, ["site", "month"], "actor", "day", "score", "pts", parts_of(spark, d, "lineitem"))
 
 
 @query(SESSION + " select site, actor, cast(day as varchar) as day, best, case when best is not null then rank() over (partition by site, month, day order by best asc nulls last) end as best_rank from run", ent=True)

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from contestlab.operators import boost, discover, rules, study
+from contestlab.operators import boost, discover, rules, study, trends
 
 
 def test_rule_search_counts_tickets_before_they_meet_the_grid(spark):
@@ -80,3 +80,26 @@ def test_rule_study_gathers_a_position_once_and_writes_no_table(spark, monkeypat
     monkeypatch.setattr(rules, "written", lambda *a: 1 / 0, raising=False)
     rule = rules.Rule(1, "r", {"all": "x1 > 1"}, {"y": "x2 = 3"})
     assert [(r.n, r.rate) for r in rules.rule_tables(wide, [rule], ["g"]).collect()] == [(1, 1.0)]
+
+
+def test_sessions_are_dealt_once_and_summed_on_the_actors_own_days(spark):
+    rng = random.Random(23)
+    rows = [(rng.choice("st"), rng.choice([1, 2, 3, 4, None]), rng.choice([1, 3, 4, 8, 9, None]), rng.choice([5.0, 7.0, 9.0, None]), rng.choice([1, 2, None])) for _ in range(60)]
+    rows += [("u", 1, None, 5.0, 1), ("v", 1, None, 5.0, 1), ("v", 2, 4, 6.0, 2), ("v", 2, 6, 5.0, 2), (None, 1, 2, 1.0, 1)]
+    df = spark.createDataFrame(rows, "session string, actor int, day int, score double, pts long")
+    found = trends.session_running(df, ["session"], "actor", "day", "score", "pts", 3)
+    # no grid is joined, and the rows move once
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    want = set()
+    for s in "stuv":
+        own = [r for r in rows if r[0] == s]
+        for d in {r[2] for r in own} - {None}:
+            state = {}
+            for a in {r[1] for r in own}:
+                before = [r for r in own if a is not None and r[1] == a and r[2] is not None and r[2] < d]
+                state[a] = (min((r[3] for r in before if r[3] is not None), default=None), sum(r[4] or 0 for r in before), len(before))
+            for a, (best, points, starts) in state.items():
+                want.add((s, a, d, best, points, starts, None if best is None else 1 + sum(x[0] is not None and x[0] < best for x in state.values())))
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
