@@ -33,8 +33,10 @@ HASH = (1 << 28) - 1
 #: Runs are counted in a sample of about COUNTED, or of one line in SHARE if that is more: a run that CROWD lines have must be seen there,
 #: whatever the size of the input. Those seen at least OFTEN times are marked in a bitmap of 64 bits a word, MARKS words or more.
 OFTEN, SHARE, MARKS, MOST_MARKS = 6, 8, 1 << 14, 1 << 18
-#: Bits of a run that lines meet by: other runs with the same ones only make candidates.
-MET = (1 << 40) - 1
+#: Bits of a run that lines meet by, the lower ones: other runs with the same ones only make candidates. They are moved to the upper end of a
+#: long, where they stand beside the bytes of the key that differ from row to row: a shuffled row is then one piece that compresses
+#: badly, and not two.
+MET = 40
 #: Blanks, control characters and ASCII punctuation part the words of a line.
 PARTS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -118,7 +120,7 @@ def _first_runs(words: Column, run: int, often: Column) -> Column:
 
         runs = F.transform(runs, late)
     first = F.slice(F.sort_array(runs), F.lit(1), F.greatest(run * most_edits(n), run * most_edits(n + 1) - 1) + 1)
-    return F.array_distinct(F.transform(first, lambda gram: gram.bitwiseAND(F.lit(MET))))
+    return F.array_distinct(F.transform(first, lambda gram: F.shiftleft(gram, 64 - MET)))
 
 
 def _prefixed(lines: DataFrame, often: Column) -> DataFrame:

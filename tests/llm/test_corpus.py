@@ -482,3 +482,10 @@ def test_html_is_read_in_linear_time_and_keeps_what_is_text():
     assert html_text.main_text('<p title="a > b">x &lt; y') == "x < y"
     menu = "<nav><ul><li>a<li>b<li>c<li>d</ul></nav>"
     assert html_text.main_text(f"<p>{body}</p>{menu}<p>Closing.</p>") == f"{body.strip()}\nClosing."
+
+
+def test_grams_of_lines_stand_beside_the_keys_changing_bytes(spark):
+    lines = spark.createDataFrame([(k, [(k * 31 + i * i) % 9973 for i in range(4 + k % 40)]) for k in range(400)], "key long, words array<int>")
+    grams = [r.gram for r in line_dedup._prefixed(lines, line_dedup.often_repeated(lines)).collect()]
+    # the 40 bits that lines meet by are the upper ones, so that a shuffled row has one run of bytes that don't repeat
+    assert all(g % (1 << 24) == 0 for g in grams) and len({g >> 24 for g in grams}) > len(grams) // 2
