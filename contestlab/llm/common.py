@@ -139,7 +139,7 @@ def linked_groups(prefixed: DataFrame, sets: DataFrame, sketched: Callable[[Data
     Candidates are pairs of keys that share a `gram` of `prefixed` (gram, key) and whose sketches pass `may`, which is false only for pairs
     that are no links. `sketched` takes the rows of `sets` (one a key) that candidates need and gives (key, sketch); `verified` takes pairs
     (a, b) and the same rows, and gives the pairs that are links. Each key is first tried with the first key and the two
-    before it, in the order of keys, under each of its grams, then with all others that it isn't connected to; sketches are compared
+    before it, in the order of keys, under each of its grams (all pairs of up to four keys), then with all others that it isn't connected to; sketches are compared
     where two keys meet, so that only likely pairs are written. Under a gram of more than CROWD keys they don't meet: each of `finer` in turn takes the rows of these keys
     and gives other grams, of which linked keys have one in common as well; the last one's grams are not split. Tables are written by `keep`.
     """
@@ -148,14 +148,15 @@ def linked_groups(prefixed: DataFrame, sets: DataFrame, sketched: Callable[[Data
     tried = [F.first("key").over(under).alias("lead"), F.lag("key", 1).over(under).alias("last"), F.lag("key", 2).over(under).alias("last_2")]
 
     def met(grams: DataFrame, last: bool) -> DataFrame:
-        crowd = F.lit(0) if last else F.count("*").over(own).cast("int")
-        return keep(grams.select("gram", "key", *tried, crowd.alias("crowd")).where("key <> lead"), dictionary=False, codec="zstd")
+        split = F.lit(False) if last else F.col("crowd") > CROWD
+        rows = grams.select("gram", "key", *tried, F.count("*").over(own).alias("crowd")).where("key <> lead")
+        return keep(rows.withColumn("split", split).withColumn("untried", ~split & (F.col("crowd") > 4)).drop("crowd"), dictionary=False, codec="zstd")
 
     shared = [met(prefixed, not finer)]
     members = keep(sets.join(shared[0].select(F.explode(F.array("lead", "key")).alias("key")).distinct(), "key", "left_semi"), dictionary=False, codec="zstd")
     for k, split in enumerate(finer, 1):
         # the lead of each gram is tried with all others under it
-        crowded = shared[-1].where(F.col("crowd") > CROWD).select("key").distinct()
+        crowded = shared[-1].where("split").select("key").distinct()
         shared.append(met(split(members.join(crowded, "key", "left_semi")), k == len(finer)))
     sketches = keep(sketched(members), dictionary=False)
     shared = reduce(DataFrame.unionByName, shared)
@@ -163,7 +164,7 @@ def linked_groups(prefixed: DataFrame, sets: DataFrame, sketched: Callable[[Data
     led = led.join(sketches.toDF("a", "a_sketch"), "a").join(sketches.toDF("b", "b_sketch"), "b").where(may(F.col("a_sketch"), F.col("b_sketch"))).select("a", "b")
     links = keep(verified(led, members))
     joined = connected_components(links, keep).select(F.col("node").alias("key"), "component")
-    halves = shared.where(F.col("crowd") <= CROWD).select("gram", "key").join(sketches.join(joined, "key", "left").withColumn("component", F.coalesce("component", "key")), "key")
+    halves = shared.where("untried").select("gram", "key").join(sketches.join(joined, "key", "left").withColumn("component", F.coalesce("component", "key")), "key")
     halves = keep(halves, dictionary=False, codec="zstd")
     a, b = halves.alias("a"), halves.alias("b")
     across = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & may(F.col("a.sketch"), F.col("b.sketch"))).select(

@@ -418,6 +418,32 @@ def test_pipeline_takes_its_pairs_from_simhash(spark):
     assert not met[0] & met[5]
 
 
+def test_pipeline_documents_do_not_meet_under_a_passage_that_many_share(spark, monkeypatch):
+    """The share of documents in which shingles are counted does not shrink as the input grows, so few meet under a shared passage."""
+    import random
+
+    from contestlab.llm import shingles
+    rnd, crowds = random.Random(3), []
+    passage = " ".join(f"common{k}" for k in range(12))
+
+    def watched(prefixed, *rest):
+        crowds.append(prefixed.groupBy("gram").count().agg(F.max("count").alias("n")).first().n)
+        return common.linked_groups(prefixed, *rest)
+
+    monkeypatch.setattr(shingles, "linked_groups", watched)
+    monkeypatch.setattr(shingles, "COUNTED", 50)
+    texts = []
+    for k in range(240):
+        own = [f"w{rnd.randrange(10**9)}" for _ in range(40)]
+        texts.append(" ".join([*own[:20], passage, *own[20:]]))
+    # near copies of three documents are found all the same
+    texts += [t.replace("common0", "other", 1) for t in texts[:3]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups = {r.doc_id: r.component_id for r in shingles.similar_documents(df).collect()}
+    assert groups == {k: k - 240 if k >= 240 else k for k in range(243)}
+    assert max(crowds) <= 12
+
+
 def test_queries_without_the_package_on_the_workers(tmp_path):
     """Workers that can't import the package get all they need with the tasks."""
     import os
